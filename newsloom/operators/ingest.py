@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from newsloom import schemas
 from newsloom.functions.embedder import HashedWords, embed
 from newsloom.operators.numbering import hash_bucket, number_rows
-from newsloom.runtime import small
+from newsloom.runtime import settle, small
 
 JOINED = ["link", "link_hash", "headline", "date", "summarization", "tags", "key_insights"]
 
@@ -111,6 +111,7 @@ def article_tag_pairs(articles: DataFrame) -> DataFrame:
 def new_tags(pairs: DataFrame, stored_tags: DataFrame, used: int) -> DataFrame:
     """(tag_id, tag) of the tags that are not stored yet."""
     unknown = pairs.select("tag").distinct().join(stored_tags.select("tag"), "tag", "left_anti")
+    unknown = settle(unknown, "unknown_tags")
     return number_new(unknown, "tag_id", F.md5("tag"), ["tag"], used)
 
 

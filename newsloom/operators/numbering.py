@@ -6,11 +6,11 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BUCKETS = 10_000
+MAX_BUCKETS = 50_000
 
 
 def range_bucket(
-    df: DataFrame, column: str, rows_per_bucket: int = 500_000, name: str = "bucket"
+    df: DataFrame, column: str, rows_per_bucket: int = 200_000, name: str = "bucket"
 ) -> DataFrame:
     """Add the number of an order-preserving range of ``column``, ranges of about equal size.
 

@@ -73,18 +73,25 @@ def number_requests(indexed: DataFrame) -> DataFrame:
 
 
 def requests_from_table(
-    rows: DataFrame, order: str, rows_per_bucket: int = 500_000
+    rows: DataFrame, order: str, rows_per_bucket: int = 200_000
 ) -> DataFrame:
     """Number the rows of a table by its unique numeric column ``order``."""
     bucketed = range_bucket(rows.withColumn("reason", rejection()), order, rows_per_bucket)
     return number_requests(number_rows(bucketed, ["bucket"], [order]).drop("bucket"))
 
 
-def requests_from_lines(lines: DataFrame) -> DataFrame:
-    """Number the lines of content files in file order (see ``content_lines``)."""
-    checked = lines.withColumn("reason", rejection(F.col("decodable")))
-    indexed = number_rows(checked, ["file_path", "block_start"], ["line_order"])
-    return number_requests(indexed)
+def judge_lines(lines: DataFrame) -> DataFrame:
+    """Add ``reason`` to content lines (see ``content_lines``)."""
+    return lines.withColumn("reason", rejection(F.col("decodable")))
+
+
+def requests_from_lines(judged: DataFrame) -> DataFrame:
+    """Number judged lines in file order. Only what a request needs is shuffled."""
+    content = F.when(F.col("reason").isNull(), F.col("content")).alias("content")
+    places = ["file_path", "block_start", "line_order"]
+    needed = judged.select(*places, "link", content, "link_hash", "reason")
+    indexed = number_rows(needed, ["file_path", "block_start"], ["line_order"])
+    return number_requests(indexed.drop(*places))
 
 
 def request_lines(numbered: DataFrame, template: RequestTemplate | None = None) -> DataFrame:
@@ -103,6 +110,12 @@ def request_lines(numbered: DataFrame, template: RequestTemplate | None = None)
     )
 
 
-def rejected_lines(numbered: DataFrame) -> DataFrame:
-    """The quarantine: rows that became no request, with the reason."""
-    return numbered.where("reason IS NOT NULL")
+def rejected_lines(judged: DataFrame) -> DataFrame:
+    """The quarantine: lines that become no request, with the reason."""
+    return judged.where("reason IS NOT NULL").select("value", "reason", "file_path")
+
+
+def request_counts(judged: DataFrame) -> DataFrame:
+    """Rows per reason, ``prepared`` for those that become requests."""
+    outcome = F.coalesce("reason", F.lit("prepared")).alias("outcome")
+    return judged.groupBy(outcome).agg(F.count(F.lit(1)).alias("n_rows"))

@@ -36,12 +36,14 @@ def prepare_requests(
     output: str,
     rejected: str,
     template: requests.RequestTemplate | None = None,
-) -> None:
-    """Content file to one request file per chunk; refused lines go to ``rejected``."""
-    lines = jsonl.content_lines(jsonl.read_lines(spark, content))
-    numbered = requests.requests_from_lines(lines)
-    jsonl.write_chunks(requests.request_lines(numbered, template), output)
-    jsonl.write_jsonl(requests.rejected_lines(numbered).select("value", "reason", "row_index"), rejected)
+) -> DataFrame:
+    """Content file to one request file per chunk; refused lines go to ``rejected``.
+    Returns the rows per reason."""
+    judged = requests.judge_lines(jsonl.content_lines(jsonl.read_lines(spark, content)))
+    numbered = requests.requests_from_lines(judged)
+    jsonl.write_chunks(requests.request_lines(numbered, template), output, grouped=True)
+    jsonl.write_jsonl(requests.rejected_lines(judged), rejected)
+    return requests.request_counts(judged)
 
 
 def parse_responses(spark: SparkSession, responses_dir: str, output: str, rejected: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from newsloom import schemas
 from newsloom.functions.embedder import HashedWords
 from newsloom.operators import ingest
-from newsloom.runtime import settle
+from newsloom.runtime import drop_settled, settle, settled_so_far
 from newsloom.sources.store import Store, append_run, open_store
 
 
@@ -79,12 +79,15 @@ def upload(
     summary_order: list[str],
     run_time: datetime,
     make_embedder=HashedWords,
-) -> Upload:
+) -> None:
     """Add one run to the store at ``path``. Runs are numbered upwards; repeating the
-    last one replaces it."""
-    store = open_store(category.sparkSession, path, before_run=run)
+    last one replaces it. Refused articles go to ``refused`` beside the tables."""
+    spark = category.sparkSession
+    mark = settled_so_far()
+    store = open_store(spark, path, before_run=run)
     planned = plan_upload(
         store, category, summaries, category_order, summary_order, run_time, make_embedder
     )
+    planned.refused.write.mode("overwrite").parquet(f"{path}/refused/run={run}")
     append_run(planned.rows, path, run)
-    return planned
+    drop_settled(spark, mark)

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 # Rows of ids or tags (at most 255 characters each) that may be broadcast: well
 # under 100 MB even when every row has the full width.
 BROADCAST_ROWS = 200_000
+# Vectors that may be broadcast: about 100 MB at 1536 doubles each.
+BROADCAST_VECTORS = 8_000
+
+_settled: list[str] = []
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -46,9 +50,22 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
+    _settled.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled_so_far() -> int:
+    return len(_settled)
+
+
+def drop_settled(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables settled after ``since``; frames built on them are of no use then."""
+    for path in _settled[since:]:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    del _settled[since:]
+
+
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint for a side whose row count is known to be within the limit."""
     return F.broadcast(df) if rows <= limit else df

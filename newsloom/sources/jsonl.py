@@ -78,8 +78,13 @@ def append_new(df: DataFrame, path: str, key: str = "link_hash") -> None:
     df.write.mode("append").json(path)
 
 
-def write_chunks(lines: DataFrame, path: str) -> None:
-    """One file per chunk of requests, in request order; a rerun replaces them all."""
-    lines.repartition("chunk_number").sortWithinPartitions("chunk_number", "request_number").select(
+def write_chunks(lines: DataFrame, path: str, grouped: bool = False) -> None:
+    """One file per chunk of requests, in request order; a rerun replaces them all.
+
+    ``grouped`` says that a chunk's rows are in one partition already, as they are
+    when their numbers were just computed; that saves a shuffle of the texts.
+    """
+    rows = lines if grouped else lines.repartition("chunk_number")
+    rows.sortWithinPartitions("chunk_number", "request_number").select(
         "chunk_number", "value"
     ).write.mode("overwrite").partitionBy("chunk_number").text(path)

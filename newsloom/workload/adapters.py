@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import request_id
-from newsloom.runtime import prepare
+from newsloom.runtime import prepare, settle, small_if_counted
 from newsloom.sources.store import Store
 
 # Articles dated before this day count as stored, the others as arriving.
@@ -149,16 +149,18 @@ class Tables:
             .when(list_number == 1, F.lit("nicht,pour,para"))
             .otherwise(F.lit("hector,achilles"))
         )
-        return (
+        firsts = self.read("embeddings").groupBy("label").agg(F.min("vec_id").alias("vec_id"))
+        firsts = small_if_counted(firsts.select("vec_id"))
+        requests = (
             self.read("embeddings")
-            .groupBy("label")
-            .agg(F.min_by("embedding", "vec_id").cast("array<double>").alias("query_vec"))
+            .join(firsts, "vec_id", "left_semi")
             .select(
                 F.col("label").cast("bigint").alias("query_id"),
                 F.split(tags, ",").alias("tags"),
-                "query_vec",
+                F.col("embedding").cast("array<double>").alias("query_vec"),
             )
         )
+        return settle(requests, "searches")
 
     def search_texts(self) -> DataFrame:
         """Raw requests: the source and language of each document as tags, spelled in five ways."""

@@ -14,7 +14,7 @@ from newsloom.functions.embedder import HashedWords
 from newsloom.operators import audits, cells, extract, ingest, pages, requests, responses
 from newsloom.operators.insights import insights_per_article
 from newsloom.operators.search_requests import validate_lookups, validate_searches
-from newsloom.plans import search, upload
+from newsloom.plans import preparation, search, upload
 from newsloom.runtime import fresh_path, settle
 from newsloom.sources import jsonl
 from newsloom.sources.store import Store, open_store
@@ -135,7 +135,7 @@ def _fresh(t: Tables) -> DataFrame:
 
 def _fresh_with_ids(t: Tables) -> DataFrame:
     used = ingest.highest(t.stored_articles(), "article_id")
-    return settle(ingest.with_article_ids(_fresh(t), used), "fresh")
+    return settle(ingest.with_article_ids(settle(_fresh(t), "fresh"), used), "numbered")
 
 
 @case
@@ -154,7 +154,7 @@ def ingest_new_articles(t: Tables) -> DataFrame:
 @case
 def ingest_articles(t: Tables) -> DataFrame:
     used = ingest.highest(t.stored_articles(), "article_id")
-    return ingest.with_article_ids(_fresh(t), used).select(
+    return ingest.with_article_ids(settle(_fresh(t), "fresh"), used).select(
         "article_id", "link_hash", "link", "headline", "date"
     )
 
@@ -314,6 +314,11 @@ def request_build(t: Tables) -> DataFrame:
     )
 
 
+@case
+def request_counts(t: Tables) -> DataFrame:
+    return requests.request_counts(t.contents().withColumn("reason", requests.rejection()))
+
+
 @case
 def request_files(t: Tables) -> DataFrame:
     """Content lines written out, one of them broken per chunk of the order, then read and requested."""
@@ -321,9 +326,8 @@ def request_files(t: Tables) -> DataFrame:
     line = F.to_json(F.struct("link", "content", "link_hash"))
     broken = F.when(F.col("doc_id") % 13 == 0, F.concat(F.lit("{"), line)).otherwise(line)
     t.contents().select(broken.alias("value")).write.text(path)
-    numbered = requests.requests_from_lines(jsonl.content_lines(jsonl.read_lines(t.spark, path)))
     out = fresh_path(t.spark, "chunks")
-    jsonl.write_chunks(requests.request_lines(settle(numbered, "numbered")), out)
+    preparation.prepare_requests(t.spark, path, out, fresh_path(t.spark, "refused") + ".jsonl")
     parsed = F.from_json("value", "custom_id string, body struct<model string, messages array<struct<role string, content string>>>")
     written = t.spark.read.schema("value string, chunk_number int").text(out).select(parsed.alias("r"))
     text = F.col("r.body.messages")[1]["content"]

@@ -383,6 +383,11 @@ SELECT doc_id, CAST(chunk_number AS BIGINT) AS chunk_number, request_number,
        CASE WHEN reason IS NULL
             THEN concat('summary_for_', link_hash, '_', request_number) END AS custom_id, reason
 FROM numbered""",
+    "request_counts": _with(CONTENTS)
+    + """
+SELECT CASE WHEN content = '' THEN 'malformed' WHEN length(content) < 100 THEN 'short'
+            ELSE 'prepared' END AS outcome, count(*) AS n_rows
+FROM contents GROUP BY 1""",
     "request_files": _with(CONTENTS)
     + """
 SELECT link_hash, concat('Summarize the following web article content:', chr(10), chr(10), content) AS content
