@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 from pyspark.ml.clustering import KMeans
@@ -12,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.vectors import norm, unit
-from newsloom.operators.nearest import RESULT, best_per_request, request_blocks, scorer
+from newsloom.operators.nearest import in_passes, request_blocks
 from newsloom.runtime import fresh_path
 
 
@@ -66,20 +65,16 @@ def _probes(queries: np.ndarray, centres: np.ndarray, nprobe: int) -> np.ndarray
 
 def nearest_in_cells(index: CellIndex, requests: DataFrame, k: int, nprobe: int) -> DataFrame:
     """The ``k`` nearest among the vectors in each request's ``nprobe`` nearest cells."""
-    spark = index.vectors.sparkSession
-    passes = []
-    for query_ids, queries in request_blocks(requests):
-        probes = _probes(queries, index.centres, nprobe)
-        visited = [-1, *np.flatnonzero(probes.any(axis=0)).tolist()]
-        block = spark.sparkContext.broadcast((query_ids, queries, probes))
-        passes.append(
-            index.vectors.where(F.col("cell").isin(visited))
-            .select("article_id", "embedding", "cell")
-            .mapInArrow(scorer(block, k), RESULT)
-        )
-    if not passes:
-        return spark.createDataFrame([], RESULT)
-    return best_per_request(reduce(DataFrame.unionByName, passes), k)
+
+    def visited(block) -> DataFrame:
+        chosen = [-1, *np.flatnonzero(block[2].any(axis=0)).tolist()]
+        return index.vectors.where(F.col("cell").isin(chosen)).select("article_id", "embedding", "cell")
+
+    blocks = (
+        (ids, queries, _probes(queries, index.centres, nprobe))
+        for ids, queries in (request_blocks(requests) if k > 0 else ())
+    )
+    return in_passes(index.vectors.sparkSession, blocks, visited, k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

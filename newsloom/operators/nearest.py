@@ -9,14 +9,15 @@ however large the corpus is.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.runtime import fresh_path, settle
+
 RESULT = "query_id bigint, article_id bigint, distance double"
 # Requests held by one task at a time; more requests mean more passes over the vectors.
 BLOCK_REQUESTS = 1024
@@ -121,14 +122,17 @@ def scorer(block, k: int):
 
 
 def request_blocks(requests: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Request ids and vectors in blocks of bounded size."""
-    total = requests.count()
-    blocks = math.ceil(1.2 * total / BLOCK_REQUESTS) if total > BLOCK_REQUESTS else 1
+    """Request ids and vectors in blocks of bounded size; the driver holds one at a time."""
+    asked = requests.select("query_id", F.col("query_vec").cast("array<double>"))
+    total = asked.count()
+    blocks = 1
+    if total > BLOCK_REQUESTS:
+        blocks = math.ceil(1.2 * total / BLOCK_REQUESTS)
+        number = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
+        asked = settle(asked.withColumn("block", number), "requests", ["block"])
     for number in range(blocks):
-        part = requests
-        if blocks > 1:
-            part = requests.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)
-        rows = part.select("query_id", F.col("query_vec").cast("array<double>")).collect()
+        part = asked.where(F.col("block") == number) if blocks > 1 else asked
+        rows = part.select("query_id", "query_vec").collect()
         if rows:
             widths = {len(row[1]) for row in rows}
             if len(widths) > 1:
@@ -141,18 +145,34 @@ def best_per_request(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("_rank", F.row_number().over(order)).where(f"_rank <= {k}").drop("_rank")
 
 
+def in_passes(spark, blocks: Iterable, vectors_for: Callable, k: int) -> DataFrame:
+    """Search one block of requests after the other, each over its own choice of vectors.
+
+    The blocks share no request, so each pass is final. Every pass but a single one is
+    written before the next block is fetched.
+    """
+    path, waiting = None, []
+    for number, block in enumerate(blocks):
+        sent = spark.sparkContext.broadcast(block)
+        scored = vectors_for(block).mapInArrow(scorer(sent, k), RESULT)
+        waiting.append((best_per_request(scored, k), sent))
+        if number == 0:
+            continue
+        path = path or fresh_path(spark, "passes")
+        for result, used in waiting:
+            result.write.mode("append").parquet(path)
+            used.destroy()
+        waiting.clear()
+    if path:
+        return spark.read.schema(RESULT).parquet(path)
+    return waiting[0][0] if waiting else spark.createDataFrame([], RESULT)
+
+
 def nearest(embeddings: DataFrame, requests: DataFrame, k: int) -> DataFrame:
     """The ``k`` nearest articles of each request: (query_id, article_id, distance).
 
     Ties go to the smaller article_id; a vector without a distance comes last.
     """
-    spark = embeddings.sparkSession
     vectors = embeddings.select("article_id", "embedding")
-    passes = []
-    if k > 0:
-        for query_ids, queries in request_blocks(requests):
-            block = spark.sparkContext.broadcast((query_ids, queries, None))
-            passes.append(vectors.mapInArrow(scorer(block, k), RESULT))
-    if not passes:
-        return spark.createDataFrame([], RESULT)
-    return best_per_request(reduce(DataFrame.unionByName, passes), k)
+    blocks = ((ids, queries, None) for ids, queries in request_blocks(requests)) if k > 0 else ()
+    return in_passes(embeddings.sparkSession, blocks, lambda _: vectors, k)

@@ -2,44 +2,58 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.runtime import small
+from newsloom.runtime import BROADCAST_IDS, settle, small
 from newsloom.schemas import MAX_TAG
 
 
-def requested_tags(requests: DataFrame) -> DataFrame:
-    """(query_id, tag), each tag once per request; longer tags than the store holds match nothing."""
-    tags = requests.select("query_id", F.explode(F.array_distinct("tags")).alias("tag"))
-    return tags.where(F.length("tag") <= MAX_TAG)
+@dataclass
+class Asked:
+    """Requested tags that the store knows: (query_id, tag_id, tag), and at most how many."""
 
+    rows: DataFrame
+    at_most: int
+
+    def tag_ids(self) -> DataFrame:
+        return small(self.rows.select("tag_id").distinct(), self.at_most, BROADCAST_IDS)
+
+    def hinted(self) -> DataFrame:
+        return small(self.rows, self.at_most)
+
+
+def requested_tags(requests: DataFrame, tags: DataFrame) -> Asked:
+    """Each tag once per request. Tags match exactly; longer ones than the store holds match none."""
+    named = requests.select("query_id", F.explode(F.array_distinct("tags")).alias("tag"))
+    named = named.where(F.length("tag") <= MAX_TAG)
+    at_most = named.count()
+    known = tags.select("tag_id", "tag").join(small(named, at_most), "tag")
+    return Asked(settle(known.select("query_id", "tag_id", "tag"), "asked"), at_most)
 
-def tagged_rows(
-    tags: DataFrame, article_tags: DataFrame, asked: DataFrame, n_asked: int
-) -> DataFrame:
-    """(article_id, tag) for the requested tags only, read without shuffling the bridge."""
-    wanted = tags.join(small(asked.select("tag").distinct(), n_asked), "tag")
-    return article_tags.join(small(wanted.select("tag_id", "tag"), n_asked), "tag_id").select(
-        "article_id", "tag"
-    )
 
+def tagged_rows(article_tags: DataFrame, asked: Asked) -> DataFrame:
+    """(article_id, tag_id) for the requested tags only, read without shuffling the bridge."""
+    return article_tags.select("article_id", "tag_id").join(asked.tag_ids(), "tag_id", "left_semi")
 
-def tag_matches(tagged: DataFrame, asked: DataFrame, n_asked: int) -> DataFrame:
+
+def tag_matches(tagged: DataFrame, asked: Asked) -> DataFrame:
     """All matches: (query_id, article_id, tag_names), distinct tags in order."""
     return (
-        tagged.join(small(asked, n_asked), "tag")
+        tagged.join(asked.hinted(), "tag_id")
         .groupBy("query_id", "article_id")
         .agg(F.sort_array(F.collect_set("tag")).alias("tag_names"))
     )
 
 
-def requested_tags_per_article(tagged: DataFrame) -> DataFrame:
-    """(article_id, carried): the tags of any request that an article carries."""
-    return tagged.groupBy("article_id").agg(F.sort_array(F.collect_set("tag")).alias("carried"))
+def carried_tags(tagged: DataFrame) -> DataFrame:
+    """(article_id, carried): ids of the tags of any request that an article carries."""
+    return tagged.groupBy("article_id").agg(F.sort_array(F.collect_set("tag_id")).alias("carried"))
 
 
-def best_tagged(carried: DataFrame, asked: DataFrame, n_asked: int, k: int) -> DataFrame:
+def best_tagged(carried: DataFrame, asked: Asked, k: int) -> DataFrame:
     """The ``k`` articles with most matched tags per request, ties to the smaller article_id.
 
     Articles that carry the same requested tags match every request alike, so ``k``
@@ -54,8 +68,8 @@ def best_tagged(carried: DataFrame, asked: DataFrame, n_asked: int, k: int) -> D
         .agg(F.sort_array(F.collect_list("article_id")).alias("ids"))
     )
     matched = (
-        heads.select("carried", "ids", F.explode("carried").alias("tag"))
-        .join(small(asked, n_asked), "tag")
+        heads.select("carried", "ids", F.explode("carried").alias("tag_id"))
+        .join(asked.hinted(), "tag_id")
         .groupBy("query_id", "carried", "ids")
         .agg(F.sort_array(F.collect_set("tag")).alias("tag_names"))
         .withColumn("n_tags", F.size("tag_names"))
@@ -71,3 +85,15 @@ def best_tagged(carried: DataFrame, asked: DataFrame, n_asked: int, k: int) -> D
         .where(f"_place <= {k}")
         .select("query_id", "article_id", "tag_names")
     )
+
+
+def own_tags(carried: DataFrame, pairs: DataFrame, asked: Asked) -> DataFrame:
+    """(query_id, article_id, own_tags): requested tags of the given (query_id, article_id)
+    pairs; pairs without any are left out. ``pairs`` carries its own broadcast hint."""
+    return (
+        carried.join(pairs, "article_id")
+        .select("query_id", "article_id", F.explode("carried").alias("tag_id"))
+        .join(asked.hinted(), ["query_id", "tag_id"])
+        .groupBy("query_id", "article_id")
+        .agg(F.sort_array(F.collect_set("tag")).alias("own_tags"))
+    )

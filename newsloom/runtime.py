@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 # Rows of ids or tags (at most 255 characters each) that may be broadcast: well
 # under 100 MB even when every row has the full width.
 BROADCAST_ROWS = 200_000
+# Bare bigint ids that may be broadcast, alone or in pairs: below 200 MB as a hash table.
+BROADCAST_IDS = 4_000_000
 # Vectors that may be broadcast: about 100 MB at 1536 doubles each.
 BROADCAST_VECTORS = 8_000
 
@@ -41,15 +43,16 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/newsloom/{label}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
+def settle(df: DataFrame, label: str, folders: list[str] | None = None) -> DataFrame:
     """Write a step as a table and read it back.
 
     Later plans may use it several times without running the step again, and a
-    lost executor costs a re-read instead of the whole lineage.
+    lost executor costs a re-read instead of the whole lineage. ``folders`` names
+    columns that get a folder per value.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    df.write.partitionBy(*(folders or [])).parquet(path)
     _settled.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from newsloom.functions.embedder import HashedWords
 from newsloom.operators.responses import classify_responses, quarantined, summaries
 from newsloom.plans.upload import upload
-from newsloom.runtime import settle
+from newsloom.runtime import settle, small_if_counted
 
 
 def ingest_arrivals(
@@ -44,8 +44,10 @@ def ingest_arrivals(
         classified = settle(classify_responses(placed), "arrived")
         places = ["file_path", "block_start", "line_order"]
         parsed = summaries(classified, *places)
+        answered = small_if_counted(parsed.select("link_hash").distinct())
+        listed = category.join(answered, "link_hash", "left_semi")
         upload(
-            store_path, batch_id, category, parsed, category_order, places, run_time, make_embedder
+            store_path, batch_id, listed, parsed, category_order, places, run_time, make_embedder
         )
         quarantined(classified).write.mode("overwrite").parquet(
             f"{store_path}/quarantine/run={batch_id}"

@@ -65,7 +65,7 @@ class Tables:
 
     @staticmethod
     def tag_id(tag: Column) -> Column:
-        return F.conv(F.substring(F.md5(tag), 1, 15), 16, 10).cast("bigint")
+        return F.coalesce(F.conv(F.substring(F.md5(tag), 1, 15), 16, 10).cast("bigint"), F.lit(0))
 
     def article_tag_names(self, articles: DataFrame) -> DataFrame:
         tags = F.explode(self.tag_list(F.col("summarization"))).alias("tag")

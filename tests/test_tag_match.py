@@ -26,12 +26,16 @@ def test_best_tagged_equals_brute_force(spark, seed, k):
     pairs = [(a, tag_ids[t]) for a, ts in carried.items() for t in ts]
     bridge = spark.createDataFrame(pairs, "article_id bigint, tag_id bigint")
     asked = tag_match.requested_tags(
-        spark.createDataFrame(list(requests.items()), "query_id bigint, tags array<string>")
+        spark.createDataFrame(list(requests.items()), "query_id bigint, tags array<string>"), tags
     )
-    n_asked = asked.count()
-    tagged = tag_match.tagged_rows(tags, bridge, asked, n_asked)
-    best = tag_match.best_tagged(tag_match.requested_tags_per_article(tagged), asked, n_asked, k)
-    matches = tag_match.tag_matches(tagged, asked, n_asked)
+    tagged = tag_match.tagged_rows(bridge, asked)
+    carried_ids = tag_match.carried_tags(tagged)
+    best = tag_match.best_tagged(carried_ids, asked, k)
+    matches = tag_match.tag_matches(tagged, asked)
+    every = spark.range(17).withColumnRenamed("id", "query_id").crossJoin(
+        spark.createDataFrame([(a,) for a in carried], "article_id bigint")
+    )
+    own = tag_match.own_tags(carried_ids, every, asked)
 
     want_all, want_best = {}, {}
     for q, wanted in requests.items():
@@ -40,12 +44,13 @@ def test_best_tagged_equals_brute_force(spark, seed, k):
         ranked = sorted(hits, key=lambda a: (-len(hits[a]), a))[:k]
         want_best.update({(q, a): hits[a] for a in ranked})
     assert {(r.query_id, r.article_id): r.tag_names for r in matches.collect()} == want_all
+    assert {(r.query_id, r.article_id): r.own_tags for r in own.collect()} == want_all
     assert {(r.query_id, r.article_id): r.tag_names for r in best.collect()} == want_best
 
 
 def test_frequent_tags_are_cut_before_the_shuffle(spark):
-    carried = spark.createDataFrame([(1, ["a"])], "article_id bigint, carried array<string>")
-    asked = spark.createDataFrame([(1, "a")], "query_id bigint, tag string")
-    plan = plan_of(tag_match.best_tagged(carried, asked, 1, 5))
+    carried = spark.createDataFrame([(1, [2])], "article_id bigint, carried array<bigint>")
+    rows = spark.createDataFrame([(1, 2, "a")], "query_id bigint, tag_id bigint, tag string")
+    plan = plan_of(tag_match.best_tagged(carried, tag_match.Asked(rows, 1), 5))
     shuffle = plan.index("Exchange hashpartitioning(carried")
     assert "WindowGroupLimit" in plan[shuffle:]
