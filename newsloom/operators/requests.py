@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.text import filled, request_id
 from newsloom.operators.numbering import number_rows, range_bucket
+from newsloom.sources.jsonl import PLACES
 
 # Lines per chunk and the least content length in characters.
 CHUNK_LINES = 50
@@ -55,7 +56,7 @@ def rejection(decodable: Column | None = None) -> Column:
     return reason if decodable is None else F.when(~decodable, UNDECODABLE).otherwise(reason)
 
 
-def number_requests(indexed: DataFrame) -> DataFrame:
+def number_requests(indexed: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
     """Add chunk and request numbers to rows that carry ``row_index`` and ``reason``.
 
     Every input line counts for the chunk, only accepted ones for the request number.
@@ -64,7 +65,7 @@ def number_requests(indexed: DataFrame) -> DataFrame:
     so_far = Window.partitionBy("chunk_number").orderBy("row_index")
     number = F.count(F.when(accepted, 1)).over(so_far) - 1
     return (
-        indexed.withColumn("chunk_number", F.floor(F.col("row_index") / CHUNK_LINES))
+        indexed.withColumn("chunk_number", F.floor(F.col("row_index") / chunk_lines))
         .withColumn("request_number", F.when(accepted, number))
         .withColumn(
             "custom_id", F.when(accepted, request_id(F.col("link_hash"), F.col("request_number")))
@@ -73,11 +74,15 @@ def number_requests(indexed: DataFrame) -> DataFrame:
 
 
 def requests_from_table(
-    rows: DataFrame, order: str, rows_per_bucket: int = 200_000
+    rows: DataFrame,
+    order: str,
+    rows_per_bucket: int = 200_000,
+    chunk_lines: int = CHUNK_LINES,
 ) -> DataFrame:
     """Number the rows of a table by its unique numeric column ``order``."""
     bucketed = range_bucket(rows.withColumn("reason", rejection()), order, rows_per_bucket)
-    return number_requests(number_rows(bucketed, ["bucket"], [order]).drop("bucket"))
+    indexed = number_rows(bucketed, ["bucket"], [order]).drop("bucket")
+    return number_requests(indexed, chunk_lines)
 
 
 def judge_lines(lines: DataFrame) -> DataFrame:
@@ -85,13 +90,12 @@ def judge_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumn("reason", rejection(F.col("decodable")))
 
 
-def requests_from_lines(judged: DataFrame) -> DataFrame:
+def requests_from_lines(judged: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
     """Number judged lines in file order. Only what a request needs is shuffled."""
     content = F.when(F.col("reason").isNull(), F.col("content")).alias("content")
-    places = ["file_path", "block_start", "line_order"]
-    needed = judged.select(*places, "link", content, "link_hash", "reason")
-    indexed = number_rows(needed, ["file_path", "block_start"], ["line_order"])
-    return number_requests(indexed.drop(*places))
+    needed = judged.select(*PLACES, "link", content, "link_hash", "reason")
+    indexed = number_rows(needed, PLACES[:-1], PLACES[-1:])
+    return number_requests(indexed.drop(*PLACES), chunk_lines)
 
 
 def request_lines(numbered: DataFrame, template: RequestTemplate | None = None) -> DataFrame:

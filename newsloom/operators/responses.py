@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions.json_text import whole_object
 from newsloom.functions.text import request_id_hash, request_id_number, strip_whitespace
 
 OK = "ok"
@@ -19,18 +20,6 @@ _LINE = "custom_id variant, response struct<body variant>, error variant, seal s
 _SUMMARY = "summarization variant, tags variant, key_insights variant, seal string"
 
 
-def whole_object(text: Column, fields: str) -> Column:
-    """Parse a text that must be exactly one JSON object, else null.
-
-    The parser stops after the first value. Followed by an object that holds the
-    text's hash, inside an array of two, anything left over breaks the parse.
-    """
-    sealed = F.concat(F.lit("["), text, F.lit(',{"seal":"'), F.md5(text), F.lit('"}]'))
-    parsed = F.from_json(sealed, f"array<struct<{fields}>>", {"allowSingleQuotes": "false"})
-    intact = (F.size(parsed) == 2) & (F.try_element_at(parsed, F.lit(2))["seal"] == F.md5(text))
-    return F.when(intact, F.try_element_at(parsed, F.lit(1)))
-
-
 def _type(value: Column) -> Column:
     return F.coalesce(F.schema_of_variant(value), F.lit(""))
 

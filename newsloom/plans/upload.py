@@ -5,13 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom import schemas
 from newsloom.functions.embedder import HashedWords
 from newsloom.operators import ingest
-from newsloom.runtime import drop_settled, settle, settled_so_far
+from newsloom.runtime import scratch, settle
+from newsloom.sources import jsonl
 from newsloom.sources.store import Store, append_run, open_store
 
 
@@ -83,11 +84,27 @@ def upload(
     """Add one run to the store at ``path``. Runs are numbered upwards; repeating the
     last one replaces it. Refused articles go to ``refused`` beside the tables."""
     spark = category.sparkSession
-    mark = settled_so_far()
-    store = open_store(spark, path, before_run=run)
-    planned = plan_upload(
-        store, category, summaries, category_order, summary_order, run_time, make_embedder
+    with scratch(spark):
+        store = open_store(spark, path, before_run=run)
+        planned = plan_upload(
+            store, category, summaries, category_order, summary_order, run_time, make_embedder
+        )
+        planned.refused.write.mode("overwrite").parquet(f"{path}/refused/run={run}")
+        append_run(planned.rows, path, run)
+
+
+def upload_files(
+    spark: SparkSession,
+    path: str,
+    run: int,
+    category_file: str,
+    summary_file: str,
+    run_time: datetime,
+    make_embedder=HashedWords,
+) -> None:
+    """Add the articles of a category file and a summary file, the first row of a link wins."""
+    category = jsonl.placed(jsonl.read_jsonl(spark, category_file, schemas.CATEGORY_FILE))
+    summaries = jsonl.placed(jsonl.read_jsonl(spark, summary_file, schemas.SUMMARY_FILE))
+    upload(
+        path, run, category, summaries, jsonl.PLACES, jsonl.PLACES, run_time, make_embedder
     )
-    planned.refused.write.mode("overwrite").parquet(f"{path}/refused/run={run}")
-    append_run(planned.rows, path, run)
-    drop_settled(spark, mark)

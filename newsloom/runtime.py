@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import newsloom
 from pyspark import cloudpickle
@@ -18,7 +21,7 @@ BROADCAST_IDS = 4_000_000
 # Vectors that may be broadcast: about 100 MB at 1536 doubles each.
 BROADCAST_VECTORS = 8_000
 
-_settled: list[str] = []
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -53,20 +56,24 @@ def settle(df: DataFrame, label: str, folders: list[str] | None = None) -> DataF
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.partitionBy(*(folders or [])).parquet(path)
-    _settled.append(path)
+    paths = _scope.get()
+    if paths is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def settled_so_far() -> int:
-    return len(_settled)
-
-
-def drop_settled(spark: SparkSession, since: int = 0) -> None:
-    """Delete the tables settled after ``since``; frames built on them are of no use then."""
-    for path in _settled[since:]:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    del _settled[since:]
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete on leaving what was settled inside; results must be written before that."""
+    paths: list[str] = []
+    token = _scope.set(paths)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for path in paths:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom import schemas
+from newsloom.functions.json_text import whole_object
 
 SUFFIX = ".jsonl"
+# Columns that give the order of the input without sorting it: the last one grows
+# along a block of a file.
+PLACES = ["file_path", "block_start", "line_order"]
 
 
 def check_name(path: str) -> str:
@@ -26,6 +30,16 @@ def read_jsonl(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """Rows of a file scan with their place in the input, see ``PLACES``."""
+    return rows.select(
+        *rows.columns,
+        F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_block_start").alias("block_start"),
+        F.monotonically_increasing_id().alias("line_order"),
+    )
+
+
 def read_links(spark: SparkSession, path: str) -> DataFrame:
     """The links of a category file. The name is checked as the reader of links asks for."""
     check_name(path)
@@ -35,31 +49,19 @@ def read_links(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Raw lines with their place: (value, file_path, block_start, line_order).
-
-    ``line_order`` grows along a block of a file; with the other two it gives the
-    order of the input without sorting it.
-    """
-    return spark.read.text(path).select(
-        "value",
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-        F.monotonically_increasing_id().alias("line_order"),
-    )
+    """Raw lines with their place."""
+    return placed(spark.read.text(path))
 
 
 def content_lines(lines: DataFrame) -> DataFrame:
     """Fields of content-file lines; a line that is no JSON object stays, not decodable."""
-    parsed = F.from_json(
-        "value", f"{schemas.CONTENT_FILE}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}
-    )
-    decodable = F.col("_parsed").isNotNull() & F.col("_parsed._corrupt").isNull()
+    parsed = whole_object(F.col("value"), f"{schemas.CONTENT_FILE}, seal string")
     return lines.withColumn("_parsed", parsed).select(
-        *[c for c in lines.columns],
+        *lines.columns,
         "_parsed.link",
         "_parsed.content",
         "_parsed.link_hash",
-        F.coalesce(decodable, F.lit(False)).alias("decodable"),
+        F.col("_parsed").isNotNull().alias("decodable"),
     )
 
 

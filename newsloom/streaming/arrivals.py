@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from newsloom.functions.embedder import HashedWords
 from newsloom.operators.responses import classify_responses, quarantined, summaries
 from newsloom.plans.upload import upload
-from newsloom.runtime import settle, small_if_counted
+from newsloom.runtime import scratch, settle, small_if_counted
+from newsloom.sources.jsonl import PLACES
 
 
 def ingest_arrivals(
@@ -41,17 +42,17 @@ def ingest_arrivals(
 
     def ingest_batch(batch: DataFrame, batch_id: int) -> None:
         placed = batch.withColumn("line_order", F.monotonically_increasing_id())
-        classified = settle(classify_responses(placed), "arrived")
-        places = ["file_path", "block_start", "line_order"]
-        parsed = summaries(classified, *places)
-        answered = small_if_counted(parsed.select("link_hash").distinct())
-        listed = category.join(answered, "link_hash", "left_semi")
-        upload(
-            store_path, batch_id, listed, parsed, category_order, places, run_time, make_embedder
-        )
-        quarantined(classified).write.mode("overwrite").parquet(
-            f"{store_path}/quarantine/run={batch_id}"
-        )
+        with scratch(spark):
+            classified = settle(classify_responses(placed), "arrived")
+            parsed = summaries(classified, *PLACES)
+            answered = small_if_counted(parsed.select("link_hash").distinct())
+            listed = category.join(answered, "link_hash", "left_semi")
+            upload(
+                store_path, batch_id, listed, parsed, category_order, PLACES, run_time, make_embedder
+            )
+            quarantined(classified).write.mode("overwrite").parquet(
+                f"{store_path}/quarantine/run={batch_id}"
+            )
 
     query = (
         lines.writeStream.foreachBatch(ingest_batch)

@@ -359,7 +359,8 @@ WITH cut AS (
   SELECT page_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS place FROM cut
 ), plain AS (
   SELECT page_id, place, regexp_replace(regexp_replace(
-           replace(replace(replace(replace(piece, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'),
+           regexp_replace(replace(replace(replace(piece, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'),
+                          '&amp;?', '&', 'g'),
            '^\\s+', ''), '\\s+$', '') AS text
   FROM pieces
 ), contents AS (

@@ -28,7 +28,9 @@ def test_content_length_limit_counts_characters(spark):
 def test_files_from_lines(spark, tmp_path):
     lines = []
     for n in range(260):
-        if n % 7 == 0:
+        if n % 14 == 0:
+            lines.append(json.dumps(content(n, "x" * 150)) + " tail")
+        elif n % 7 == 0:
             lines.append("{broken")
         elif n % 11 == 0:
             lines.append(json.dumps(content(n, "short")))

@@ -1,5 +1,7 @@
+import json
 from datetime import datetime
 from functools import partial
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from newsloom.functions.embedder import HashedWords
 from newsloom.operators import audits, ingest
 from newsloom.plans.search import hybrid_search, lexical_topk, semantic_topk
 from newsloom.plans.single import article_by_link_hash, make_hashed_link, search_by_tag_names
-from newsloom.plans.upload import upload
+from newsloom.plans.upload import upload, upload_files
 from newsloom.sources.store import Store, empty_store, open_store
 
 from conftest import plan_of
@@ -73,6 +75,21 @@ def test_repeats_and_later_runs(spark, tmp_path):
     assert audits.unique_audit(third).count() == 0 and audits.orphan_audit(third).count() == 0
 
 
+def test_upload_of_files(spark, tmp_path):
+    rows = articles()
+    listed = rows + [{**rows[0], "headline": "listed again"}]
+    for name, part in (("category", listed), ("summaries", rows[:9])):
+        lines = [json.dumps(r) + "\n" for r in part]
+        (tmp_path / f"{name}.jsonl").write_text("".join(lines))
+    path, files = str(tmp_path / "store"), [str(tmp_path / f"{n}.jsonl") for n in ("category", "summaries")]
+    upload_files(spark, path, 0, *files, NOW, EMBEDDER)
+    stored = open_store(spark, path)
+    assert counts(stored)["articles"] == 9
+    assert article_by_link_hash(stored, rows[0]["link_hash"]).headline == rows[0]["headline"]
+    left = list(Path(spark.conf.get("spark.checkpoint.dir")).glob("newsloom/checked-*"))
+    assert left == []  # steps are deleted once the tables are written
+
+
 def test_refused_articles_and_repeated_lists(spark, tmp_path):
     rows = articles()[:6]
     rows[0]["headline"] = None
