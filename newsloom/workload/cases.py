@@ -13,6 +13,7 @@ from newsloom.functions import links, vectors
 from newsloom.functions.embedder import HashedWords
 from newsloom.operators import audits, cells, extract, ingest, pages, requests, responses
 from newsloom.operators.insights import insights_per_article
+from newsloom.operators.nearest import nearest
 from newsloom.operators.search_requests import validate_lookups, validate_searches
 from newsloom.plans import preparation, search, upload
 from newsloom.runtime import fresh_path, settle
@@ -107,6 +108,16 @@ def ann_topk_all_cells(t: Tables) -> DataFrame:
     return found.withColumn("distance", F.round("distance", 4))
 
 
+@case
+def ann_recall(t: Tables) -> DataFrame:
+    """What the cell search finds of the exact answer, with the share of comparisons it makes."""
+    embeddings, asked = t.store().embeddings, t.searches()
+    index = cells.build_cells(embeddings, CELLS, seed=1)
+    found = cells.nearest_in_cells(index, asked, LIMIT, NPROBE)
+    share = cells.scanned_share(index, asked, NPROBE)
+    return cells.recall(found, nearest(embeddings, asked, LIMIT)).withColumn("scanned_share", F.lit(share))
+
+
 @case
 def article_lookup(t: Tables) -> DataFrame:
     found = search.lookup_articles(t.store(), t.lookup_keys())

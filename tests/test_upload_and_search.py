@@ -241,3 +241,26 @@ def test_cascade_delete(store, spark):
     }
     doubled = Store(**{**vars(store), "tags": store.tags.union(store.tags.where("tag = 'zoo'"))})
     assert {(r.rule, r.n_rows) for r in audits.unique_audit(doubled).collect()} == {("tags_tag", 2), ("tags_id", 2)}
+
+
+def test_same_results_without_broadcasts(store, spark, monkeypatch):
+    """Beyond the broadcast limits the joins shuffle; answers must not change."""
+    from newsloom.operators import tag_match
+    from newsloom.plans import search
+
+    key_rows = store.articles.select("link_hash")
+    def answers():
+        found = search_by_tag_names(store, "zoo,technology,wildlife", 5, EMBEDDER).collect()
+        looked_up = search.lookup_articles(store, key_rows).collect()
+        return sorted(map(str, found)), sorted(map(str, looked_up))
+
+    expected = answers()
+    for module in (search, tag_match):
+        monkeypatch.setattr(module, "small", lambda df, *_: df)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert answers() == expected
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
