@@ -26,5 +26,6 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 def unit(vector: Column) -> Column:
     """The vector scaled to length one; elements are null for a zero vector."""
-    length = norm(vector)
-    return F.transform(_doubles(vector), lambda x: F.try_divide(x, length))
+    # Inside a lambda over the elements the norm would be computed once per element.
+    lengths = F.array_repeat(norm(vector), F.size(vector))
+    return F.zip_with(_doubles(vector), lengths, lambda x, length: F.try_divide(x, length))

@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.vectors import norm, unit
+from newsloom.functions.vectors import norm
 from newsloom.operators.nearest import in_passes, request_blocks
 from newsloom.runtime import fresh_path
 
@@ -37,7 +37,7 @@ def build_cells(
     vectors = embeddings.select("article_id", "embedding")
     has_direction = F.coalesce(norm(F.col("embedding")) > 0, F.lit(False))
     usable = vectors.where(has_direction).withColumn(
-        "features", array_to_vector(unit(F.col("embedding")))
+        "features", array_to_vector(F.col("embedding").cast("array<double>"))
     )
     total = usable.count()
     training = usable if total <= training_rows else usable.sample(training_rows / total, seed)
