@@ -4,9 +4,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# The characters that count as whitespace.
+WHITESPACE = (
+    "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip_whitespace(text: Column) -> Column:
-    """Remove whitespace of any script from both ends; ``trim`` knows blanks only."""
-    return F.regexp_replace(text, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    """Remove whitespace of any script from both ends; plain ``trim`` knows blanks only."""
+    return F.trim(text, F.lit(WHITESPACE))
 
 
 def split_tags(tag_names: Column) -> Column:

@@ -52,7 +52,7 @@ def classify_responses(lines: DataFrame) -> DataFrame:
     result = result.select(
         "*",
         F.when(F.col("_line").isNotNull(), custom_id).alias("custom_id"),
-        F.try_variant_get(body, "$.choices", "variant").alias("_choices"),
+        F.try_variant_get(body, "$.choices[0]", "variant").isNotNull().alias("_has_choice"),
         strip_whitespace(_text(F.try_variant_get(body, "$.choices[0].message.content", "variant"))).alias(
             "_content"
         ),
@@ -70,17 +70,17 @@ def classify_responses(lines: DataFrame) -> DataFrame:
         & F.col("tags").isNotNull()
         & F.col("key_insights").isNotNull()
     )
-    answered = _present(body)
+    has_choice = F.col("_has_choice")
     outcome = (
         F.when(F.col("_line").isNull(), UNDECODABLE)
         .when(F.col("link_hash").isNull(), MALFORMED_ID)
-        .when(answered & ~_present(F.col("_choices")), NO_CHOICES)
-        .when(answered & complete, OK)
-        .when(answered, INVALID_SUMMARY)
+        .when(has_choice & complete, OK)
+        .when(has_choice, INVALID_SUMMARY)
+        .when(_present(body), NO_CHOICES)
         .when(_present(F.col("_line.error")), API_ERROR)
         .otherwise(UNEXPECTED)
     )
-    return result.withColumn("outcome", outcome).drop("_line", "_choices", "_content", "_summary")
+    return result.withColumn("outcome", outcome).drop("_line", "_has_choice", "_content", "_summary")
 
 
 def summaries(classified: DataFrame, *more: str) -> DataFrame:
