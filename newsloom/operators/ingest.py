@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from newsloom import schemas
 from newsloom.functions.embedder import HashedWords, embed
 from newsloom.operators.numbering import hash_bucket, number_rows
-from newsloom.runtime import settle, small
+from newsloom.runtime import small
 
 JOINED = ["link", "link_hash", "headline", "date", "summarization", "tags", "key_insights"]
 
@@ -108,13 +108,22 @@ def article_tag_pairs(articles: DataFrame) -> DataFrame:
     return articles.select("article_id", F.explode(F.array_distinct("tags")).alias("tag"))
 
 
-def new_tags(pairs: DataFrame, stored_tags: DataFrame, used: int) -> DataFrame:
-    """(tag_id, tag) of the tags that are not stored yet."""
-    unknown = pairs.select("tag").distinct().join(stored_tags.select("tag"), "tag", "left_anti")
-    unknown = settle(unknown, "unknown_tags")
+def wanted_tags(pairs: DataFrame, stored_tags: DataFrame) -> DataFrame:
+    """(tag, tag_id) of the distinct tags of an upload; new ones have no id yet."""
+    tags = pairs.select("tag").distinct()
+    return tags.join(stored_tags.select("tag", "tag_id"), "tag", "left")
+
+
+def new_tags(wanted: DataFrame, used: int) -> DataFrame:
+    """(tag, tag_id) of the wanted tags that are not stored yet."""
+    unknown = wanted.where("tag_id IS NULL").select("tag")
     return number_new(unknown, "tag_id", F.md5("tag"), ["tag"], used)
 
 
+def known_tags(wanted: DataFrame) -> DataFrame:
+    return wanted.where("tag_id IS NOT NULL")
+
+
 def bridge(pairs: DataFrame, tags: DataFrame, n_tags: int) -> DataFrame:
     """(article_id, tag_id). ``tags`` holds each tag once, ``n_tags`` is their number.
 

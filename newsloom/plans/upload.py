@@ -42,11 +42,9 @@ def plan_upload(
 
     pairs = ingest.article_tag_pairs(articles)
     used = ingest.highest(store.tags, "tag_id")
-    tags = settle(ingest.new_tags(pairs, store.tags, used), "tags")
-    vocabulary = store.tags.select("tag_id", "tag").unionByName(tags)
-    needed = settle(
-        vocabulary.join(pairs.select("tag").distinct(), "tag", "left_semi"), "vocabulary"
-    )
+    wanted = settle(ingest.wanted_tags(pairs, store.tags), "wanted_tags")
+    tags = settle(ingest.new_tags(wanted, used), "tags")
+    needed = ingest.known_tags(wanted).unionByName(tags)
     used = ingest.highest(store.key_insights, "key_insight_id")
     insights = ingest.insight_rows(articles, used)
     first = articles.agg(F.min("article_id")).first()[0] or 0
@@ -64,7 +62,7 @@ def plan_upload(
     rows = Store(
         articles=shaped("articles", articles),
         tags=shaped("tags", tags),
-        article_tags=shaped("article_tags", ingest.bridge(pairs, needed, needed.count())),
+        article_tags=shaped("article_tags", ingest.bridge(pairs, needed, wanted.count())),
         key_insights=shaped("key_insights", insights),
         embeddings=shaped("embeddings", vectors),
     )

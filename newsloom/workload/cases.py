@@ -173,8 +173,8 @@ def ingest_articles(t: Tables) -> DataFrame:
 @case
 def ingest_new_tags(t: Tables) -> DataFrame:
     stored = t.stored().tags
-    pairs = t.article_tag_names(t.articles())
-    return ingest.new_tags(pairs, stored, ingest.highest(stored, "tag_id")).select("tag_id", "tag")
+    wanted = settle(ingest.wanted_tags(t.article_tag_names(t.articles()), stored), "wanted_tags")
+    return ingest.new_tags(wanted, ingest.highest(stored, "tag_id")).select("tag_id", "tag")
 
 
 @case
@@ -182,10 +182,9 @@ def ingest_article_tags(t: Tables) -> DataFrame:
     articles = _fresh_with_ids(t)
     pairs = ingest.article_tag_pairs(articles)
     stored = t.stored().tags
-    added = ingest.new_tags(pairs, stored, ingest.highest(stored, "tag_id"))
-    needed = stored.join(pairs.select("tag").distinct(), "tag", "left_semi")
-    tags = settle(needed.select("tag_id", "tag").unionByName(added.select("tag_id", "tag")), "tags")
-    return ingest.bridge(pairs, tags, tags.count())
+    wanted = settle(ingest.wanted_tags(pairs, stored), "wanted_tags")
+    added = ingest.new_tags(wanted, ingest.highest(stored, "tag_id"))
+    return ingest.bridge(pairs, ingest.known_tags(wanted).unionByName(added), wanted.count())
 
 
 @case
