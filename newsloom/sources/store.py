@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom import schemas
-from newsloom.sources.jsonl import exists
 
 
 @dataclass
@@ -28,31 +27,37 @@ def empty_store(spark: SparkSession) -> Store:
     return Store(*[spark.createDataFrame([], schemas.STORE[name]) for name in Store.names()])
 
 
+def _marker(spark: SparkSession, path: str, run: str):
+    """File system and path of the mark that a run was written completely."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/complete/run={run}")
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def complete_runs(spark: SparkSession, path: str) -> list[int]:
+    files, pattern = _marker(spark, path, "*")
+    return sorted(int(f.getPath().getName().split("=")[1]) for f in files.globStatus(pattern) or [])
+
+
 def open_store(spark: SparkSession, path: str, before_run: int | None = None) -> Store:
-    """Read the tables, optionally as they were before a run."""
+    """Read the completely written runs, optionally only those before a run."""
+    runs = [r for r in complete_runs(spark, path) if before_run is None or r < before_run]
+    if not runs:
+        return empty_store(spark)
     tables = []
     for name in Store.names():
-        folder = f"{path}/{name}"
-        if not exists(spark, folder):
-            tables.append(spark.createDataFrame([], schemas.STORE[name]))
-            continue
-        rows = spark.read.schema(f"{_ddl(schemas.STORE[name])}, run bigint").parquet(folder)
-        if before_run is not None:
-            rows = rows.where(F.col("run") < before_run)
-        tables.append(rows.drop("run"))
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schemas.STORE[name])
+        rows = spark.read.schema(f"{columns}, run bigint").parquet(f"{path}/{name}")
+        tables.append(rows.where(F.col("run").isin(runs)).drop("run"))
     return Store(*tables)
 
 
-def _ddl(schema) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-
-
-def append_run(store_rows: Store, path: str, run: int) -> None:
-    """Write the rows of one run. A repeated run replaces what it wrote before.
-
-    Articles are written last: an article that is there has all its dependents.
-    """
-    order = ["tags", "embeddings", "article_tags", "key_insights", "articles"]
-    for name in order:
-        rows = getattr(store_rows, name).select(*schemas.STORE[name].names)
-        rows.write.mode("overwrite").parquet(f"{path}/{name}/run={run}")
+def append_run(rows: Store, path: str, run: int) -> None:
+    """Write the rows of one run. A repeated run replaces what it wrote before; a run
+    that breaks off is not marked complete and readers pass over it."""
+    spark = rows.articles.sparkSession
+    files, mark = _marker(spark, path, str(run))
+    files.delete(mark, False)
+    for name in Store.names():
+        table = getattr(rows, name).select(*schemas.STORE[name].names)
+        table.write.mode("overwrite").parquet(f"{path}/{name}/run={run}")
+    files.create(mark, True).close()

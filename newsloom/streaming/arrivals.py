@@ -24,12 +24,14 @@ def ingest_arrivals(
     run_time: datetime,
     make_embedder=HashedWords,
     files_per_batch: int | None = None,
+    first_run: int = 0,
 ) -> None:
     """Ingest the response files that have arrived since the last call, then return.
 
-    A batch is one run of the store under the number of the batch: when a batch is
-    repeated after a failure it replaces its own rows, and articles of earlier
-    batches are not added again.
+    A batch is one run of the store, numbered ``first_run`` plus the number of the
+    batch: when a batch is repeated after a failure it replaces its own rows, and
+    articles of earlier runs are not added again. ``progress_path`` belongs to the
+    store; with a new one give a ``first_run`` above the runs the store has.
     """
     reader = spark.readStream
     if files_per_batch:
@@ -41,6 +43,7 @@ def ingest_arrivals(
     )
 
     def ingest_batch(batch: DataFrame, batch_id: int) -> None:
+        run = first_run + batch_id
         placed = batch.withColumn("line_order", F.monotonically_increasing_id())
         with scratch(spark):
             classified = settle(classify_responses(placed), "arrived")
@@ -48,10 +51,10 @@ def ingest_arrivals(
             answered = small_if_counted(parsed.select("link_hash").distinct())
             listed = category.join(answered, "link_hash", "left_semi")
             upload(
-                store_path, batch_id, listed, parsed, category_order, PLACES, run_time, make_embedder
+                store_path, run, listed, parsed, category_order, PLACES, run_time, make_embedder
             )
             quarantined(classified).write.mode("overwrite").parquet(
-                f"{store_path}/quarantine/run={batch_id}"
+                f"{store_path}/quarantine/run={run}"
             )
 
     query = (

@@ -4,6 +4,7 @@ from functools import partial
 from pathlib import Path
 
 import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from newsloom.functions.embedder import HashedWords
@@ -75,6 +76,26 @@ def test_repeats_and_later_runs(spark, tmp_path):
     assert audits.unique_audit(third).count() == 0 and audits.orphan_audit(third).count() == 0
 
 
+def broken_embedder():
+    raise RuntimeError("no model")
+
+
+def test_a_run_that_broke_off_is_passed_over(spark, tmp_path):
+    rows, path = articles(), str(tmp_path)
+    send(spark, path, 0, category_rows(spark, rows[:4]), summary_rows(spark))
+    with pytest.raises(PythonException):
+        upload(
+            path, 1, category_rows(spark, rows[:9]), summary_rows(spark), ["line"], ["line"], NOW, broken_embedder
+        )
+    assert (tmp_path / "article_tags" / "run=1").exists()
+    assert counts(open_store(spark, path))["article_tags"] == 9
+    later = send(spark, path, 2, category_rows(spark, rows), summary_rows(spark))
+    assert counts(later) == {
+        "articles": 17, "tags": 20, "article_tags": 36, "key_insights": 34, "embeddings": 17,
+    }
+    assert audits.unique_audit(later).count() == 0 and audits.orphan_audit(later).count() == 0
+
+
 def test_upload_of_files(spark, tmp_path):
     rows = articles()
     listed = rows + [{**rows[0], "headline": "listed again"}]
