@@ -37,10 +37,10 @@ def _shown(columns: list[str]) -> Column:
     return F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
 
 
-def unique_audit(store: Store, keys: dict | None = None) -> DataFrame:
+def unique_audit(store: Store) -> DataFrame:
     """(rule, key, n_rows) of every key held by more than one row; null keys never clash."""
     found = []
-    for rule, (table, columns) in (keys or {**UNIQUE, **PRIMARY}).items():
+    for rule, (table, columns) in {**UNIQUE, **PRIMARY}.items():
         rows = getattr(store, table).dropna(subset=columns)
         repeated = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
         found.append(repeated.select(F.lit(rule).alias("rule"), _shown(columns).alias("key"), "n_rows"))

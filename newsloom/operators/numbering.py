@@ -22,11 +22,9 @@ def range_bucket(
         total // rows_per_bucket + 1,
         min(df.sparkSession.sparkContext.defaultParallelism, total // 1000 + 1),
     )
-    buckets = min(wanted, MAX_BUCKETS)
-    if buckets == 1:
-        return df.withColumn(name, F.lit(0.0))
+    buckets = min(max(wanted, 2), MAX_BUCKETS)
     shares = [i / buckets for i in range(1, buckets)]
-    limits = sorted(set(df.approxQuantile(column, shares, 1 / (4 * buckets))))
+    limits = sorted(set(df.approxQuantile(column, shares, 1 / (4 * buckets)))) or [0.0]
     splits = [float("-inf"), *limits, float("inf")]
     return Bucketizer(splits=splits, inputCol=column, outputCol=name).transform(df)
 
