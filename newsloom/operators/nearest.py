@@ -52,8 +52,11 @@ class Shortlist:
             kth = np.full(len(rows), np.inf)
         full = self.filled[rows] == self.k
         kth = np.where(full, np.minimum(kth, self.distances[rows, -1]), kth)
+        close = scores <= kth + SLACK
+        if close.sum() > 4 * self.k * len(rows):
+            close &= first_copies(ids, vectors, self.k)[:, None]
         for column, row in enumerate(rows):
-            hits = np.flatnonzero(scores[:, column] <= kth[column] + SLACK)
+            hits = np.flatnonzero(close[:, column])
             if len(hits):
                 self._merge(row, ids[hits], vectors[hits], lengths[hits])
 
@@ -83,6 +86,20 @@ class Shortlist:
         )
 
 
+def first_copies(ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
+    """Marks the ``k`` smallest ids of each distinct vector. Copies are equally far from
+    every request, so no others can reach a shortlist."""
+    keep = np.zeros(len(ids), dtype=bool)
+    seen: dict[bytes, int] = {}
+    for row in np.argsort(ids):
+        content = vectors[row].tobytes()
+        count = seen.get(content, 0)
+        if count < k:
+            seen[content] = count + 1
+            keep[row] = True
+    return keep
+
+
 def as_matrix(vectors: pa.ListArray, width: int) -> np.ndarray:
     """List column to matrix; a missing vector or one of another width becomes NaN."""
     sizes = vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
