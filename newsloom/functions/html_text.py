@@ -1,5 +1,6 @@
 """Text of an HTML page: its text nodes, each stripped, joined by one blank."""
 
+from collections import Counter
 from html import unescape
 from html.entities import html5
 from html.parser import HTMLParser
@@ -24,6 +25,7 @@ class _TextNodes(HTMLParser):
         self.texts = []
         self._run = []
         self._open = []
+        self._count = Counter()
         self._hidden = 0
 
     def _end_run(self):
@@ -37,6 +39,7 @@ class _TextNodes(HTMLParser):
         self._end_run()
         if tag not in VOID:
             self._open.append(tag)
+            self._count[tag] += 1
             self._hidden += tag in HIDDEN
 
     def handle_startendtag(self, tag, attrs):
@@ -44,10 +47,11 @@ class _TextNodes(HTMLParser):
 
     def handle_endtag(self, tag):
         self._end_run()
-        if tag in self._open:
+        if self._count[tag]:
             closed = None
             while closed != tag:
                 closed = self._open.pop()
+                self._count[closed] -= 1
                 self._hidden -= closed in HIDDEN
 
     def handle_data(self, data):

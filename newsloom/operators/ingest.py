@@ -15,7 +15,7 @@ JOINED = ["link", "link_hash", "headline", "date", "summarization", "tags", "key
 
 def join_inputs(category: DataFrame, summaries: DataFrame) -> DataFrame:
     """Category rows with their summaries; repeated keys multiply."""
-    joined = category.withColumn("date", F.col("date").cast("date")).join(summaries, "link_hash")
+    joined = category.withColumn("date", F.col("date").try_cast("date")).join(summaries, "link_hash")
     return joined.select(*JOINED)
 
 

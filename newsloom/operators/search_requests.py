@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.embedder import HashedWords, embed
 from newsloom.functions.text import split_tags, tags_as_text
+from newsloom.runtime import settle
 
 TAGS_REQUIRED = "tag_names is required"
 LINK_HASH_REQUIRED = "link_hash is required"
@@ -28,7 +29,10 @@ def validate_lookups(requests: DataFrame) -> DataFrame:
 
 
 def embed_searches(validated: DataFrame, make_embedder=HashedWords) -> DataFrame:
-    """Accepted searches with their vectors: (query_id, tags, query_vec)."""
-    return validated.where("reason IS NULL").select(
-        "query_id", "tags", embed(F.col("query_text"), make_embedder).cast("array<double>").alias("query_vec")
-    )
+    """Accepted searches with their vectors: (query_id, tags, query_vec).
+
+    Written once, as a search reads its requests several times and embedding is costly.
+    """
+    vector = embed(F.col("query_text"), make_embedder).cast("array<double>")
+    accepted = validated.where("reason IS NULL")
+    return settle(accepted.select("query_id", "tags", vector.alias("query_vec")), "searches")

@@ -117,6 +117,7 @@ def test_unit_vector(spark):
         ("</p>stray", "stray"),
         ("<![CDATA[kept]]>", "kept"),
         ("&unknown; z", "&unknown z"),
+        ("<ul>" + "<li>x" * 3000 + "</b>" * 3000, " ".join(["x"] * 3000)),
     ],
 )
 def test_html_to_text(html, expected):

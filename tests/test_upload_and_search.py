@@ -119,6 +119,7 @@ def test_refused_articles_and_repeated_lists(spark, tmp_path):
     rows[3]["tags"] = ["a", "a", "b"]
     rows[4]["key_insights"] = ["y" * 1001]
     rows[5]["tags"] = ["ok", None]
+    rows.append({**articles()[6], "date": "some day"})
     store = send(spark, str(tmp_path), 0, category_rows(spark, rows), summary_rows(spark, rows))
     assert counts(store)["articles"] == 2 and counts(store)["key_insights"] == 4
     assert {r.tag for r in store.tags.collect()} == {*rows[2]["tags"], "a", "b"}
@@ -128,6 +129,7 @@ def test_refused_articles_and_repeated_lists(spark, tmp_path):
         rows[1]["link_hash"]: "link_too_long",
         rows[4]["link_hash"]: "key_insight_too_long",
         rows[5]["link_hash"]: "tag_missing",
+        rows[6]["link_hash"]: "date_missing",
     }
 
 
