@@ -26,7 +26,8 @@ def range_bucket(
     shares = [i / buckets for i in range(1, buckets)]
     limits = sorted(set(df.approxQuantile(column, shares, 1 / (4 * buckets)))) or [0.0]
     splits = [float("-inf"), *limits, float("inf")]
-    return Bucketizer(splits=splits, inputCol=column, outputCol=name).transform(df)
+    ranged = Bucketizer(splits=splits, inputCol=column, outputCol=name).transform(df)
+    return ranged.withColumn(name, F.col(name).cast("int"))
 
 
 def hash_bucket(df: DataFrame, hex_key: Column, name: str = "bucket") -> DataFrame:

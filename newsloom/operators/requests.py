@@ -62,10 +62,14 @@ def number_requests(indexed: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataF
     Every input line counts for the chunk, only accepted ones for the request number.
     """
     accepted = F.col("reason").isNull()
-    so_far = Window.partitionBy("chunk_number").orderBy("row_index")
+    so_far = (
+        Window.partitionBy("chunk_number")
+        .orderBy("row_index")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     number = F.count(F.when(accepted, 1)).over(so_far) - 1
     return (
-        indexed.withColumn("chunk_number", F.floor(F.col("row_index") / chunk_lines))
+        indexed.withColumn("chunk_number", F.expr(f"row_index div {chunk_lines}"))
         .withColumn("request_number", F.when(accepted, number))
         .withColumn(
             "custom_id", F.when(accepted, request_id(F.col("link_hash"), F.col("request_number")))
