@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import chat, shards, toxicity
+from newsloom.llm import chat, secrets, shards, toxicity
 from newsloom.runtime import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,9 @@ def op8_chat(spark, table):
     )
     turns = table("conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     return chat.chat_digests(chat.format_conversations(turns.union(added), tokenizer("byte_bpe_50k.json")))
+
+
+@query
+def op6_secrets(spark, table):
+    documents = table("documents")
+    return secrets.secret_digests(secrets.find_secrets(documents, secrets.fit_secrets(documents)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -214,7 +215,7 @@ def document_scores(model: OrdinalModel, texts: list[str], known: dict[str, floa
     sets = [words_of(t) for t in texts]
     new = sorted(set().union(*sets) - known.keys()) if sets else []
     known.update(zip(new, model.word_scores(new).tolist()))
-    return np.array([sum(map(known.__getitem__, sorted(words))) for words in sets])
+    return np.array([math.fsum(map(known.__getitem__, words)) for words in sets])
 
 
 def score_toxicity(docs: DataFrame, model: OrdinalModel) -> DataFrame:
@@ -225,12 +226,10 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     gets the model's prior; repeated rows get equal results; other columns are not
     looked at; an empty table gives no rows.
     """
-    spark = docs.sparkSession
     schema = arrow_rows(SCORED)
-    shared = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = shared.value, {}
+        known: dict[str, float] = {}
         for batch in slices(batches, "text"):
             if len(known) > 500_000:
                 known.clear()
@@ -247,11 +246,9 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not toxic, all columns as they were."""
     model = fit_toxicity(docs, labels)
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = shared.value, {}
+        known: dict[str, float] = {}
         for batch in slices(batches, "text"):
             if len(known) > 500_000:
                 known.clear()
