@@ -15,11 +15,16 @@ BATCH_BYTES = 8 << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that ``column`` has about ``limit`` bytes in each; a longer row stands alone."""
+    """Cut batches so that ``column`` has about ``limit`` bytes, or list items, in each.
+
+    A longer row stands alone.
+    """
     import pyarrow.compute as pc
 
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        values = batch.column(column)
+        lengths = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
+        sizes = pc.fill_null(lengths, 0).to_numpy(zero_copy_only=False)
         start = held = 0
         for row, size in enumerate(sizes):
             if held and held + size > limit:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import chat, secrets, shards, toxicity
+from newsloom.llm import chat, pieces, secrets, shards, toxicity
 from newsloom.runtime import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,9 @@ def op8_chat(spark, table):
 def op6_secrets(spark, table):
     documents = table("documents")
     return secrets.secret_digests(secrets.find_secrets(documents, secrets.fit_secrets(documents)))
+
+
+@query
+def op1_pieces(spark, table):
+    model = tokenizer("piece_bpe_32k.model")
+    return pieces.piece_digests(pieces.decode_pieces(pieces.encode_pieces(table("documents"), model), model))
