@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import chat, pieces, secrets, shards, toxicity
+from newsloom.llm import chat, merkle, pieces, secrets, shards, toxicity
 from newsloom.runtime import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,64 @@ def op6_secrets(spark, table):
 def op1_pieces(spark, table):
     model = tokenizer("piece_bpe_32k.model")
     return pieces.piece_digests(pieces.decode_pieces(pieces.encode_pieces(table("documents"), model), model))
+
+
+@query
+def op5_fingerprints(spark, table):
+    return merkle.fingerprint_edits(table("documents"))
+
+
+def _tree_sql(text: str) -> str:
+    """The fingerprint of a text column in DuckDB."""
+    cut = f"replace({text}, chr(1), chr(1) || chr(2))"
+    cut = f"regexp_replace({cut}, '([.!?;,|:] |\\n)', '\\1' || chr(1) || chr(3), 'g')"
+    cut = f"regexp_replace({cut}, '([^.!?;,|:\\n\\x01]{{200}})', '\\1' || chr(1) || chr(3), 'g')"
+    lines = (
+        f"array_to_string(list_transform(string_split({cut}, chr(1) || chr(3)), lambda c: "
+        "substr(md5(c), 1, 16) || CASE WHEN ends_with(c, chr(10)) THEN ';' ELSE ',' END), '')"
+    )
+    tree = (
+        f"array_to_string(list_transform(string_split({lines}, ';'), lambda p: "
+        "p || CASE WHEN substr(md5(p), 1, 1) < '2' THEN ' ' ELSE ';' END), '')"
+    )
+    sections = (
+        f"list_transform(list_filter(string_split({tree}, ' '), lambda s: s <> ''), lambda s: substr(sha256(s), 1, 16) "
+        "|| ':' || regexp_replace(s, '([0-9a-f]{8})[0-9a-f]{8},?', '\\1', 'g'))"
+    )
+    return f"sha256({tree}) || ' ' || array_to_string({sections}, ' ')"
+
+
+def _leaves_sql(sections: str) -> str:
+    bodies = f"array_to_string(list_transform({sections}, lambda s: string_split(s, ':')[-1]), '')"
+    return f"list_distinct(regexp_extract_all({bodies}, '[0-9a-f]{{8}}'))"
+
+
+def _likeness_sql(one: str, other: str) -> str:
+    mine, theirs = f"string_split({one}, ' ')[2:]", f"string_split({other}, ' ')[2:]"
+    return (
+        f"CASE WHEN string_split({one}, ' ')[1] = string_split({other}, ' ')[1] THEN 1.0::DOUBLE ELSE "
+        f"len(list_intersect({_leaves_sql(mine)}, {_leaves_sql(theirs)}))::DOUBLE / "
+        f"greatest(len({_leaves_sql(mine)}), len({_leaves_sql(theirs)})) END"
+    )
+
+
+SQL["op5_fingerprints"] = f"""
+WITH rows AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+following AS (
+  SELECT doc_id, text, length(text) AS n,
+         coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text
+  FROM rows WINDOW w AS (ORDER BY doc_id NULLS FIRST, text)
+),
+edited AS (
+  SELECT *, left(text, n - n // 4) || left(next_text, n // 4) AS edited FROM following
+),
+trees AS (
+  SELECT *, {_tree_sql("text")} AS fingerprint, {_tree_sql("edited")} AS edited_fingerprint,
+         {_tree_sql("next_text")} AS next_fingerprint
+  FROM edited
+)
+SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, fingerprint, edited_fingerprint,
+       {_likeness_sql("fingerprint", "edited_fingerprint")} AS near_edited,
+       {_likeness_sql("fingerprint", "next_fingerprint")} AS near_next
+FROM trees
+"""
