@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import chat, merkle, packing, pieces, secrets, shards, toxicity
+from newsloom.llm import chat, jaccard, merkle, packing, pieces, secrets, shards, toxicity
 from newsloom.runtime import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,8 @@ FROM trees
 @query
 def op4_packing(spark, table):
     return packing.pack_documents(table("documents"), tokenizer("word_bpe_49k.json"))
+
+
+@query
+def op2_jaccard(spark, table):
+    return jaccard.document_components(jaccard.jaccard_join(table("documents")))
