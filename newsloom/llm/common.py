@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,6 +36,35 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BY
             yield batch.slice(start)
 
 
+def mixed(values: np.ndarray) -> np.ndarray:
+    """Spread 64-bit numbers evenly (the finaliser of splitmix64, fixed values)."""
+    values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return values ^ (values >> np.uint64(31))
+
+
+class RollingHash:
+    """64-bit hashes of any stretches of a buffer, from running sums of its bytes."""
+
+    def __init__(self) -> None:
+        self.codes = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        base = 0x5851F42D4C957F2D
+        self.steps = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def read(self, buffer: np.ndarray) -> None:
+        size = len(buffer) + 1
+        if len(self.up) < size:
+            powers = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, s)]), dtype=np.uint64) for s in self.steps]
+            self.up, self.down = powers
+        terms = self.codes[buffer] * self.down[: len(buffer)]
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(terms, dtype=np.uint64)])
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of the stretches from ``starts`` to ``ends`` of the buffer last read."""
+        return mixed((self.sums[ends] - self.sums[starts]) * self.up[starts] + (ends - starts).astype(np.uint64))
+
+
 def arrow_rows(schema: str):
     """The Arrow schema of a DDL string, and the string itself for ``mapInArrow``."""
     from pyspark.sql.pandas.types import to_arrow_schema

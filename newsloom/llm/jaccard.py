@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import components, slices
+from newsloom.llm.common import RollingHash, components, mixed, slices
 from newsloom.runtime import BROADCAST_IDS, settle, small_if_counted
 
 WORDS, PERCENT = 5, 75
@@ -25,28 +25,12 @@ GROUP_SETS, FAMILY_SETS = 64, 256
 _SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def _mixed(values: np.ndarray) -> np.ndarray:
-    """Spread 64-bit numbers evenly (the finaliser of splitmix64, fixed values)."""
-    values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return values ^ (values >> np.uint64(31))
-
-
 class Shingler:
     """Distinct word shingles of texts as 64-bit hashes."""
 
     def __init__(self, words: int = WORDS) -> None:
         self.words = words
-        self.codes = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_SEEDS[0]))
-        self.base = np.uint64(0x5851F42D4C957F2D)
-        inverse = pow(int(self.base), -1, 1 << 64)
-        self.inverse = np.uint64(inverse)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def _powers(self, size: int) -> None:
-        if len(self.up) < size:
-            self.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, self.base)]), dtype=np.uint64)
-            self.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, self.inverse)]), dtype=np.uint64)
+        self.rolling = RollingHash()
 
     def sets(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """Sorted distinct hashes of each text's shingles; none without words.
@@ -57,8 +41,7 @@ class Shingler:
         """
         plain = [b" ".join((t or b"").lower().split()) for t in texts]
         buffer = np.frombuffer(b"\n".join([*plain, b""]), np.uint8)
-        self._powers(len(buffer) + 1)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(self.codes[buffer] * self.down[: len(buffer)], dtype=np.uint64)])
+        self.rolling.read(buffer)
         begins = np.concatenate([[0], np.cumsum([len(p) + 1 for p in plain])]).astype(np.int64)
         gaps = np.flatnonzero((buffer == 32) | (buffer == 10))  # one after each word, or after an empty text
         at = np.searchsorted(gaps, begins)
@@ -73,7 +56,7 @@ class Shingler:
                 starts, ends = starts[: 1 - self.words], ends[self.words - 1 :]
             else:
                 starts, ends = starts[:1], ends[-1:]
-            hashes = np.sort(_mixed((sums[ends] - sums[starts]) * self.up[starts] + (ends - starts).astype(np.uint64)))
+            hashes = np.sort(self.rolling.of(starts, ends))
             found.append(hashes[np.concatenate([[True], hashes[1:] != hashes[:-1]])])
         return found
 
@@ -107,7 +90,7 @@ def describe_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
         for batch in slices(batches, "text", SLICE):
             sets = shingler.sets(_binary(batch))
-            ids = [int(_long(_mixed(s).sum(keepdims=True) + np.uint64(len(s)))[0]) for s in sets]
+            ids = [int(_long(mixed(s).sum(keepdims=True) + np.uint64(len(s)))[0]) for s in sets]
             keys = [[int(_long((s * np.uint64(seed)).min(keepdims=True))[0]) for seed in _SEEDS] if len(s) else [] for s in sets]
             none = [None] * len(sets)
             values = [batch.column("doc_id"), [len(s) for s in sets], ids, keys, none, none]
@@ -138,7 +121,7 @@ def prefix_rows(docs: DataFrame, last: np.ndarray, met: np.ndarray, words: int,
             for s in shingler.sets(_binary(batch)):
                 if not len(s):
                     continue
-                name = int(_long(_mixed(s).sum(keepdims=True) + np.uint64(len(s)))[0])
+                name = int(_long(mixed(s).sum(keepdims=True) + np.uint64(len(s)))[0])
                 if name in seen:
                     continue
                 seen.add(name)
@@ -163,7 +146,7 @@ def set_tokens(docs: DataFrame, words: int) -> DataFrame:
         shingler = Shingler(words)
         for batch in slices(batches, "text", SLICE):
             sets = shingler.sets(_binary(batch))
-            names = [int(_long(_mixed(s).sum(keepdims=True) + np.uint64(len(s)))[0]) for s in sets]
+            names = [int(_long(mixed(s).sum(keepdims=True) + np.uint64(len(s)))[0]) for s in sets]
             lists = pa.array([_long(s) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists], names=["set_id", "n", "tokens"])
 

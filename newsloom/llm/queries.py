@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import chat, jaccard, merkle, packing, pieces, secrets, shards, toxicity
+from newsloom.llm import chat, jaccard, merkle, packing, pieces, secrets, shards, suffixes, toxicity
 from newsloom.runtime import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,8 @@ def op4_packing(spark, table):
 @query
 def op2_jaccard(spark, table):
     return jaccard.document_components(jaccard.jaccard_join(table("documents")))
+
+
+@query
+def op9_suffixes(spark, table):
+    return suffixes.repeat_digests(suffixes.remove_repeats(table("documents")))
