@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import chat, jaccard, merkle, packing, pieces, secrets, shards, suffixes, toxicity
+from newsloom.llm import chat, embeddings, jaccard, merkle, packing, pieces, secrets, shards, suffixes, toxicity
 from newsloom.runtime import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,8 @@ def op2_jaccard(spark, table):
 @query
 def op9_suffixes(spark, table):
     return suffixes.repeat_digests(suffixes.remove_repeats(table("documents")))
+
+
+@query
+def op10_vectors(spark, table):
+    return embeddings.near_vectors(table("embeddings"))
