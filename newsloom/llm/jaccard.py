@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import RollingHash, components, mixed, slices
-from newsloom.runtime import BROADCAST_IDS, settle, small_if_counted
+from newsloom.runtime import BROADCAST_IDS, settle, small, small_if_counted
 
 WORDS, PERCENT = 5, 75
 SLICE = 4 << 20
@@ -321,3 +321,25 @@ def document_components(joined: Joined) -> DataFrame:
     return linked.join(least, "class_id").select("doc_id", "n_shingles", "component_id").union(
         alone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     )
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of what links and equal sets reach.
+
+    Rows without words or without an id stay; rows that repeat both id and text stay once.
+    """
+    found = document_components(jaccard_join(docs, words, percent))
+    dropped = settle(found.where("component_id < doc_id").select("doc_id").distinct(), "dropped")
+    gone = small_if_counted(dropped.select(F.col("doc_id").alias("_gone")), BROADCAST_IDS)
+    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    again = settle(
+        kept.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "again"
+    )
+    rows = again.count()
+    if not rows:
+        return kept
+    again = small(again, rows, BROADCAST_IDS)
+    same = F.col("doc_id") == F.col("_again")
+    return kept.join(again, same, "left_anti").unionByName(
+        kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    )
