@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ from newsloom.runtime import BROADCAST_IDS, settle, small_if_counted
 WINDOW = 2048
 END_ID = 1
 # Distinct words whose ids a task keeps; a full table starts anew.
-TABLE_WORDS = 300_000
+TABLE_WORDS = 600_000
 
 # Chunks that the model's normaliser only lower-cases and whose words a pattern finds:
 # letters below U+0250 (but the dotted capital I), digits, and ASCII marks other than
@@ -53,36 +55,41 @@ class WordIds:
         hidden = [b for b in range(256) if b not in shown]
         return {**{b: chr(b) for b in shown}, **{b: chr(256 + i) for i, b in enumerate(hidden)}}
 
-    def _word(self, word: str) -> bytes:
-        known = self.words.get(word)
-        if known is None:
-            symbols = word if word.isascii() else "".join(map(self.symbols.__getitem__, word.encode()))
-            ids = [t.id for t in self.model.tokenize(symbols)]
-            known = self.words[word] = np.array(ids, "<u4").tobytes()
-        return known
+    def _learn_words(self, words: set[str]) -> None:
+        symbols, tokenize, known = self.symbols, self.model.tokenize, self.words
+        for word in words.difference(known):
+            shown = word if word.isascii() else "".join([symbols[b] for b in word.encode()])
+            known[word] = array("I", [t.id for t in tokenize(shown)]).tobytes()
 
     def learn(self, chunks: set[bytes]) -> None:
         """Make sure that the ids of these chunks are in the table."""
         if len(self.chunks) > TABLE_WORDS:
             self.chunks, self.words = {}, {}
-        odd = []
+        plain, parts, odd = [], [], []
         for chunk in chunks.difference(self.chunks):
             text = chunk.decode()
             if _SIMPLE.fullmatch(text):
-                self.chunks[chunk] = b"".join(map(self._word, _WORD.findall(text.lower())))
+                plain.append(chunk)
+                parts.append(_WORD.findall(text.lower()))
             else:
                 odd.append(text)
+        self._learn_words(set(chain.from_iterable(parts)))
+        find = self.words.__getitem__
+        self.chunks.update(
+            (chunk, find(words[0]) if len(words) == 1 else b"".join(map(find, words))) for chunk, words in zip(plain, parts)
+        )
         for first in range(0, len(odd), 1000):
             part = odd[first : first + 1000]
             for text, coded in zip(part, self.whole.encode_batch_fast(part, add_special_tokens=False)):
-                self.chunks[text.encode()] = np.array(coded.ids, "<u4").tobytes()
+                self.chunks[text.encode()] = array("I", coded.ids).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, END_ID after them."""
-        split = [t.split() for t in texts]
+        # The model lowers all letters; only control tokens must keep theirs until then.
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         self.learn(set().union(*split))
-        end = np.array([END_ID], "<u4").tobytes()
-        return [b"".join([*map(self.chunks.__getitem__, words), end]) for words in split]
+        find, end = self.chunks.__getitem__, array("I", [END_ID]).tobytes()
+        return [b"".join(map(find, words)) + end for words in split]
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -291,8 +298,10 @@ def token_ids(docs: DataFrame, tokenizer: str, window: int = WINDOW, keep: bool
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import gc
         from zlib import crc32
 
+        gc.disable()  # the tables hold many small objects and no cycles
         model = WordIds(tokenizer)
         for batch in slices(batches, "text"):
             coded = model.encode(_texts(batch))
