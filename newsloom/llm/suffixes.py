@@ -14,7 +14,7 @@ from newsloom.llm.common import RollingHash, mixed, slices
 from newsloom.runtime import BROADCAST_IDS, settle, small_if_counted
 
 MIN_BYTES = 400
-SLICE = 2 << 20
+SLICE = 1 << 20
 # Different surroundings of one anchor that are put in suffix order together; an
 # anchor with more is split into narrower ones.
 GROUP_REGIONS = 512
@@ -289,7 +289,7 @@ def remove_repeats(docs: DataFrame, least: int = MIN_BYTES, first_stays: bool =
     spans = repeated_spans(rows.select("doc", "crc", "text"), least, first_stays)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             texts = _binary(batch.column("text"))
             kept = [_kept(t, s, least) for t, s in zip(texts, batch.column("spans").to_pylist())]
             sizes = np.array([len(t) for t in texts], np.int64)
@@ -312,7 +312,7 @@ def without_repeats(docs: DataFrame, least: int, first_stays: bool = True) -> Da
     spans = repeated_spans(rows.select("doc", "crc", "text"), least, first_stays)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             listed = batch.column("spans").to_pylist()
             fresh = [t and _kept(t, s, least)[0].decode("utf-8", "ignore") for t, s in zip(texts, listed)]
