@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.vectors import norm
 from newsloom.operators.nearest import in_passes, request_blocks
-from newsloom.runtime import fresh_path
+from newsloom.runtime import fresh_path, in_scope
 
 
 @dataclass
@@ -26,31 +27,41 @@ class CellIndex:
     vectors: DataFrame
 
 
-def build_cells(
-    embeddings: DataFrame, cells: int, seed: int = 0, training_rows: int = 1_000_000
-) -> CellIndex:
-    """Find centres with cosine k-means and store every vector under its cell.
+def find_centres(embeddings: DataFrame, cells: int, seed: int = 0) -> np.ndarray:
+    """Centres of all vectors that have a direction, by cosine k-means."""
+    features = array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
+    usable = embeddings.where(_has_direction()).select(features)
+    model = KMeans(k=cells, seed=seed, distanceMeasure="cosine", predictionCol="cell").fit(usable)
+    return np.array(model.clusterCenters())
 
-    Only the search for centres looks at no more than about ``training_rows`` vectors.
-    """
+
+def _has_direction():
+    return F.coalesce(norm(F.col("embedding")) > 0, F.lit(False))
+
+
+def build_cells(embeddings: DataFrame, cells: int, seed: int = 0) -> CellIndex:
+    """Find centres and store every vector under its cell."""
+    return place_in_cells(embeddings, find_centres(embeddings, cells, seed))
+
+
+def place_in_cells(embeddings: DataFrame, centres: np.ndarray) -> CellIndex:
+    """Store every vector under the centre nearest in direction, the first one on a tie."""
     spark = embeddings.sparkSession
     vectors = embeddings.select("article_id", "embedding")
-    has_direction = F.coalesce(norm(F.col("embedding")) > 0, F.lit(False))
-    usable = vectors.where(has_direction).withColumn(
-        "features", array_to_vector(F.col("embedding").cast("array<double>"))
-    )
-    total = usable.count()
-    training = usable if total <= training_rows else usable.sample(training_rows / total, seed)
-    model = KMeans(
-        k=cells, seed=seed, distanceMeasure="cosine", predictionCol="cell"
-    ).fit(training.select("features"))
-    placed = model.transform(usable).select("article_id", "embedding", "cell")
-    rest = vectors.where(~has_direction).withColumn("cell", F.lit(-1))
-    path = fresh_path(spark, "cells")
+
+    @F.pandas_udf("int")
+    def nearest_cell(column: pd.Series) -> pd.Series:
+        rows = np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.zeros((0, centres.shape[1]))
+        units = centres / np.sqrt((centres * centres).sum(axis=1))[:, None]
+        return pd.Series(np.argmax(rows @ units.T, axis=1).astype(np.int32))
+
+    placed = vectors.where(_has_direction()).withColumn("cell", nearest_cell("embedding"))
+    rest = vectors.where(~_has_direction()).withColumn("cell", F.lit(-1))
+    path = in_scope(fresh_path(spark, "cells"))
     # Rebalancing splits a cell that holds much more than its share.
     placed.unionByName(rest).hint("rebalance", "cell").write.partitionBy("cell").parquet(path)
     schema = "article_id bigint, embedding array<float>, cell int"
-    return CellIndex(np.array(model.clusterCenters()), spark.read.schema(schema).parquet(path))
+    return CellIndex(centres, spark.read.schema(schema).parquet(path))
 
 
 def _probes(queries: np.ndarray, centres: np.ndarray, nprobe: int) -> np.ndarray:

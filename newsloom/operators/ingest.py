@@ -81,6 +81,23 @@ def with_violation(joined: DataFrame) -> DataFrame:
     )
 
 
+def with_link_taken(checked: DataFrame, stored_articles: DataFrame) -> DataFrame:
+    """Refuse articles whose link is stored or stands at an earlier key of the upload.
+
+    Of several keys with one link the smallest is taken. Rows refused for another
+    reason take no link.
+    """
+    links = checked.where("reason IS NULL").groupBy("link").agg(F.min("link_hash").alias("_first"))
+    stored = stored_articles.select("link", F.lit(True).alias("_stored")).distinct()
+    taken = F.col("reason").isNull() & (F.col("_stored").isNotNull() | (F.col("link_hash") != F.col("_first")))
+    return (
+        checked.join(links, "link", "left")
+        .join(stored, "link", "left")
+        .withColumn("reason", F.when(taken, "link_taken").otherwise(F.col("reason")))
+        .select(*checked.columns)
+    )
+
+
 def highest(table: DataFrame, column: str) -> int:
     """The largest id in use, 0 for an empty table."""
     return table.agg(F.max(column)).first()[0] or 0
@@ -92,7 +109,7 @@ def number_new(df: DataFrame, id_name: str, hex_key: Column, order: list[str], u
     The hash spreads the rows evenly over the buckets; unlike hashes as ids, numbers
     never collide.
     """
-    keyed = hash_bucket(df.withColumn("_hex", hex_key), F.col("_hex"))
+    keyed = hash_bucket(df.withColumn("_hex", hex_key), F.col("_hex"), df.count())
     numbered = number_rows(keyed, ["bucket"], ["_hex", *order])
     return numbered.withColumn(id_name, F.col("row_index") + used + 1).drop(
         "_hex", "bucket", "row_index"

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.runtime import fresh_path, settle
+from newsloom.runtime import fresh_path, in_scope, settle
 
 RESULT = "query_id bigint, article_id bigint, distance double"
 # Requests held by one task at a time; more requests mean more passes over the vectors.
@@ -175,7 +175,7 @@ def in_passes(spark, blocks: Iterable, vectors_for: Callable, k: int) -> DataFra
         waiting.append((best_per_request(scored, k), sent))
         if number == 0:
             continue
-        path = path or fresh_path(spark, "passes")
+        path = path or in_scope(fresh_path(spark, "passes"))
         for result, used in waiting:
             result.write.mode("append").parquet(path)
             used.destroy()

@@ -6,9 +6,6 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BUCKETS = 50_000
-
-
 def range_bucket(
     df: DataFrame, column: str, rows_per_bucket: int = 200_000, name: str = "bucket"
 ) -> DataFrame:
@@ -22,7 +19,7 @@ def range_bucket(
         total // rows_per_bucket + 1,
         min(df.sparkSession.sparkContext.defaultParallelism, total // 1000 + 1),
     )
-    buckets = min(max(wanted, 2), MAX_BUCKETS)
+    buckets = max(wanted, 2)
     shares = [i / buckets for i in range(1, buckets)]
     limits = sorted(set(df.approxQuantile(column, shares, 1 / (4 * buckets)))) or [0.0]
     splits = [float("-inf"), *limits, float("inf")]
@@ -30,9 +27,17 @@ def range_bucket(
     return ranged.withColumn(name, F.col(name).cast("int"))
 
 
-def hash_bucket(df: DataFrame, hex_key: Column, name: str = "bucket") -> DataFrame:
-    """Bucket by the first three digits of a hex hash: 4096 even buckets in hash order."""
-    return df.withColumn(name, F.substring(hex_key, 1, 3))
+def hash_bucket(
+    df: DataFrame, hex_key: Column, rows: int, rows_per_bucket: int = 100_000, name: str = "bucket"
+) -> DataFrame:
+    """Bucket by the first digits of a hex hash, even buckets in hash order.
+
+    As many digits as keep a bucket at about ``rows_per_bucket``, three at least.
+    """
+    digits = 3
+    while 16**digits * rows_per_bucket < rows:
+        digits += 1
+    return df.withColumn(name, F.substring(hex_key, 1, digits))
 
 
 def number_rows(

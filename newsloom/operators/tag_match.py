@@ -7,8 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.runtime import BROADCAST_IDS, settle, small
-from newsloom.schemas import MAX_TAG
+from newsloom.runtime import BROADCAST_BYTES, BROADCAST_IDS, settle, small
 
 
 @dataclass
@@ -26,11 +25,11 @@ class Asked:
 
 
 def requested_tags(requests: DataFrame, tags: DataFrame) -> Asked:
-    """Each tag once per request. Tags match exactly; longer ones than the store holds match none."""
+    """Each tag once per request. Tags match exactly, whatever their length."""
     named = requests.select("query_id", F.explode(F.array_distinct("tags")).alias("tag"))
-    named = named.where(F.length("tag") <= MAX_TAG)
-    at_most = named.count()
-    known = tags.select("tag_id", "tag").join(small(named, at_most), "tag")
+    at_most, size = named.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("tag") + 16), F.lit(0))).first()
+    hinted = named if size > BROADCAST_BYTES else F.broadcast(named)
+    known = tags.select("tag_id", "tag").join(hinted, "tag")
     return Asked(settle(known.select("query_id", "tag_id", "tag"), "asked"), at_most)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from newsloom import schemas
 from newsloom.operators import extract, pages, requests, responses
+from newsloom.runtime import settle
 from newsloom.sources import jsonl
 
 
@@ -17,10 +18,15 @@ def extract_category(
     output: str,
     category: str = extract.CATEGORY,
     first_day: date = extract.FIRST_DAY,
+    rejected: str | None = None,
 ) -> None:
-    """Raw dump to category file."""
-    rows = jsonl.read_jsonl(spark, dump, schemas.RAW_DUMP)
-    jsonl.write_jsonl(extract.with_link_hash(extract.select_category(rows, category, first_day)), output)
+    """Raw dump to category file. Lines that are no object, or whose date is no day, go
+    with their reason to ``rejected``, by default beside the output."""
+    rows = jsonl.checked_lines(spark, dump, schemas.RAW_DUMP, ("date",))
+    sound = rows.where("reason IS NULL")
+    jsonl.write_jsonl(extract.with_link_hash(extract.select_category(sound, category, first_day)), output)
+    beside = rejected or output.rstrip("/").removesuffix(jsonl.SUFFIX) + ".rejected" + jsonl.SUFFIX
+    jsonl.write_jsonl(rows.where("reason IS NOT NULL").select("value", "reason"), beside)
 
 
 def texts_of_pages(fetched: DataFrame, links: DataFrame, output: str) -> None:
@@ -48,7 +54,7 @@ def prepare_requests(
 
 def parse_responses(spark: SparkSession, responses_dir: str, output: str, rejected: str) -> DataFrame:
     """Folder of response files to summary file; returns the lines per outcome."""
-    classified = responses.classify_responses(jsonl.read_lines(spark, responses_dir))
+    classified = settle(responses.classify_responses(jsonl.read_lines(spark, responses_dir)), "classified")
     jsonl.write_jsonl(responses.summaries(classified), output)
     jsonl.write_jsonl(responses.quarantined(classified), rejected)
     return responses.outcome_counts(classified)

@@ -13,7 +13,7 @@ from newsloom.functions.embedder import HashedWords
 from newsloom.operators import ingest
 from newsloom.runtime import scratch, settle
 from newsloom.sources import jsonl
-from newsloom.sources.store import Store, append_run, open_store
+from newsloom.sources.store import Store, append_run, complete_runs, open_store
 
 
 @dataclass
@@ -35,7 +35,7 @@ def plan_upload(
 ) -> Upload:
     """Work out what an upload adds. ``run_time`` fills both time stamps."""
     fresh = ingest.new_articles(category, summaries, store.articles, category_order, summary_order)
-    checked = settle(ingest.with_violation(fresh), "checked")
+    checked = settle(ingest.with_link_taken(ingest.with_violation(fresh), store.articles), "checked")
     accepted = checked.where("reason IS NULL")
     used = ingest.highest(store.articles, "article_id")
     articles = settle(ingest.with_article_ids(accepted, used), "articles")
@@ -80,8 +80,11 @@ def upload(
     make_embedder=HashedWords,
 ) -> None:
     """Add one run to the store at ``path``. Runs are numbered upwards; repeating the
-    last one replaces it. Refused articles go to ``refused`` beside the tables."""
+    last one replaces it, and a lower one is refused. Refused articles go to ``refused`` beside the tables."""
     spark = category.sparkSession
+    newest = max(complete_runs(spark, path), default=run)
+    if run < newest:
+        raise ValueError(f"run {run} is below the newest complete run {newest} of {path}")
     with scratch(spark):
         store = open_store(spark, path, before_run=run)
         planned = plan_upload(
@@ -100,9 +103,14 @@ def upload_files(
     run_time: datetime,
     make_embedder=HashedWords,
 ) -> None:
-    """Add the articles of a category file and a summary file, the first row of a link wins."""
-    category = jsonl.placed(jsonl.read_jsonl(spark, category_file, schemas.CATEGORY_FILE))
-    summaries = jsonl.placed(jsonl.read_jsonl(spark, summary_file, schemas.SUMMARY_FILE))
-    upload(
-        path, run, category, summaries, jsonl.PLACES, jsonl.PLACES, run_time, make_embedder
-    )
+    """Add the articles of a category file and a summary file, the first row of a link wins.
+    Lines that cannot be read go with their reason to ``unread`` beside the tables."""
+    category = jsonl.checked_lines(spark, category_file, schemas.CATEGORY_FILE, ("date",))
+    summaries = jsonl.checked_lines(spark, summary_file, schemas.SUMMARY_FILE)
+    unread = [
+        rows.where("reason IS NOT NULL").select(F.lit(name).alias("file"), "value", "reason")
+        for name, rows in (("category", category), ("summary", summaries))
+    ]
+    sound = [rows.where("reason IS NULL").drop("reason", "value") for rows in (category, summaries)]
+    upload(path, run, *sound, jsonl.PLACES, jsonl.PLACES, run_time, make_embedder)
+    unread[0].unionByName(unread[1]).write.mode("overwrite").parquet(f"{path}/unread/run={run}")

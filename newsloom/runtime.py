@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 # Rows of ids or tags (at most 255 characters each) that may be broadcast: well
 # under 100 MB even when every row has the full width.
 BROADCAST_ROWS = 200_000
+# Bytes of texts or vectors that may be broadcast, as the sum over the rows.
+BROADCAST_BYTES = 100_000_000
 # Bare bigint ids that may be broadcast, alone or in pairs: below 200 MB as a hash table.
 BROADCAST_IDS = 4_000_000
 # Vectors that may be broadcast: about 100 MB at 1536 doubles each.
@@ -61,10 +63,16 @@ def settle(df: DataFrame, label: str, folders: list[str] | None = None) -> DataF
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.partitionBy(*(folders or [])).parquet(path)
+    in_scope(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def in_scope(path: str) -> str:
+    """Let the surrounding ``scratch``, if there is one, delete the folder when it ends."""
     paths = _scope.get()
     if paths is not None:
         paths.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 @contextmanager

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,23 @@ def read_jsonl(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def checked_lines(spark: SparkSession, path: str, fields: str, dates: tuple[str, ...] = ()) -> DataFrame:
+    """Lines with their place, their ``fields``, and why a line cannot be read, else null.
+
+    A line must be one JSON object; the named date fields are read as text and must be
+    null or days. Nothing is dropped here.
+    """
+    lines = placed(spark.read.text(path))
+    kinds = dict(f.split(" ", 1) for f in re.split(r",\s*(?![^<]*>)", fields))
+    text = ", ".join(f"`{n}` {'string' if n in dates else k}" for n, k in kinds.items())
+    parsed = lines.withColumn("_parsed", whole_object(F.col("value"), f"{text}, seal string"))
+    read = lambda n: F.col(f"_parsed.{n}").try_cast("date") if n in dates else F.col(f"_parsed.{n}")
+    reason = F.when(F.col("_parsed").isNull(), "undecodable")
+    for name in dates:
+        reason = reason.when(F.col(f"_parsed.{name}").isNotNull() & read(name).isNull(), f"{name}_unreadable")
+    return parsed.select("value", *PLACES, *[read(n).alias(n) for n in kinds], reason.alias("reason"))
+
+
 def placed(rows: DataFrame) -> DataFrame:
     """Rows of a file scan with their place in the input, see ``PLACES``."""
     return rows.select(
@@ -76,7 +95,9 @@ def append_new(df: DataFrame, path: str, key: str = "link_hash") -> None:
     if exists(spark, check_name(path)):
         field = df.schema[key]
         stored = spark.read.schema(f"`{key}` {field.dataType.simpleString()}").json(path)
-        df = df.join(stored, key, "left_anti")
+        # Null-safe: a row without a key is appended once, not with every rerun.
+        same = F.col(key).eqNullSafe(F.col("_stored"))
+        df = df.join(stored.withColumnRenamed(key, "_stored").distinct(), same, "left_anti")
     df.write.mode("append").json(path)
 
 
