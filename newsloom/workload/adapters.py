@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import request_id
-from newsloom.runtime import prepare, settle, small_if_counted
-from newsloom.sources.store import Store
+from newsloom.runtime import fresh_path, prepare, settle, small_if_counted
+from newsloom.sources.store import Store, append_run, open_store
 
 # Articles dated before this day count as stored, the others as arriving.
 STORED_BEFORE = "2016-01-01"
@@ -29,11 +29,19 @@ class Tables:
 
     # Articles and their parts
 
+    def entries(self) -> DataFrame:
+        """All documents, and an entry without text of its own for every vector beyond them."""
+        documents = self.read("documents").select("doc_id", "source", "lang", "text")
+        beyond = self.read("embeddings").select(F.col("vec_id").alias("doc_id")).join(documents, "doc_id", "left_anti")
+        text = F.concat(F.lit("Entry "), F.col("doc_id").cast("string"), F.lit(" has a vector and no document"))
+        return documents.unionByName(
+            beyond.select("doc_id", F.lit("vectors").alias("source"), F.lit("en").alias("lang"), text.alias("text"))
+        )
+
     def articles(self) -> DataFrame:
         link = F.concat(F.lit("https://example.com/entry/"), F.col("doc_id").cast("string"))
         days = (F.col("doc_id") * 37 % 4000).cast("int")
-        with_vector = self.read("embeddings").select(F.col("vec_id").alias("doc_id"))
-        return self.read("documents").join(with_vector, "doc_id", "left_semi").select(
+        return self.entries().select(
             F.col("doc_id").alias("article_id"),
             link.alias("link"),
             F.md5(link).alias("link_hash"),
@@ -73,7 +81,7 @@ class Tables:
 
     def store(self, articles: DataFrame | None = None) -> Store:
         articles = self.articles() if articles is None else articles
-        pairs = self.article_tag_names(articles)
+        pairs = settle(self.article_tag_names(articles), "article-tags")
         tag_id = self.tag_id(F.col("tag")).alias("tag_id")
         insights = articles.select(
             "article_id", F.explode(self.insight_list(F.col("summarization"))).alias("key_insight")
@@ -92,6 +100,15 @@ class Tables:
             .select(F.col("article_id").alias("embedding_id"), "summarization", "article_id", "embedding"),
         )
 
+    def written_store(self, articles: DataFrame | None = None) -> Store:
+        """The store as an upload leaves it: written as one run and opened."""
+        stamp = F.lit("2024-01-01").cast("timestamp_ntz")
+        rows = self.store(articles)
+        stamped = [getattr(rows, n).withColumns({"created_at": stamp, "updated_at": stamp}) for n in Store.names()]
+        path = fresh_path(self.spark, "store")
+        append_run(Store(*stamped), path, 0)
+        return open_store(self.spark, path)
+
     def stored_articles(self) -> DataFrame:
         return self.articles().where(F.col("date") < F.lit(STORED_BEFORE).cast("date"))
 
@@ -183,16 +200,17 @@ class Tables:
     # Files between the stages
 
     def dump(self) -> DataFrame:
-        """Raw dump: documents at the page links, every 7th link doubled."""
-        link = F.when(F.col("page_id") % 7 == 0, F.concat("url", "url")).otherwise(F.col("url"))
-        days = (F.col("page_id") * 37 % 4000).cast("int")
+        """Raw dump: all documents, at a page's link where there is one; every 7th link doubled."""
+        days = (F.col("doc_id") * 37 % 4000).cast("int")
+        own = F.concat(F.lit("https://example.com/entry/"), F.col("doc_id").cast("string"))
+        at_page = self.read("pages").select(F.col("page_id").alias("doc_id"), "url")
+        link = F.coalesce("url", own)
         return (
-            self.read("pages")
-            .select("page_id", "url")
-            .join(self.read("documents"), F.col("page_id") == F.col("doc_id"))
+            self.read("documents")
+            .join(at_page, "doc_id", "left")
             .select(
                 F.col("lang").alias("category"),
-                link.alias("link"),
+                F.when(F.col("doc_id") % 7 == 0, F.concat(link, link)).otherwise(link).alias("link"),
                 F.concat(F.lit("Entry "), F.col("doc_id").cast("string")).alias("headline"),
                 F.date_add(F.lit("2012-01-01").cast("date"), days).alias("date"),
             )

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from datetime import date, datetime
 from functools import partial, reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,21 +46,21 @@ def shown(values: Column, name: str) -> Column:
 
 @case
 def hybrid_search(t: Tables) -> DataFrame:
-    found = search.hybrid_search(t.store(), t.searches(), LIMIT)
+    found = search.hybrid_search(t.written_store(), t.searches(), LIMIT)
     lists = [shown(F.col(c), c) for c in ("tag_names", "key_insights")]
     return found.select(*[c for c in found.columns if c not in ("tag_names", "key_insights")], *lists)
 
 
 @case
 def semantic_topk(t: Tables) -> DataFrame:
-    return search.semantic_topk(t.store(), t.searches(), LIMIT).withColumn(
+    return search.semantic_topk(t.written_store(), t.searches(), LIMIT).withColumn(
         "distance", F.round("distance", 4)
     )
 
 
 @case
 def lexical_topk(t: Tables) -> DataFrame:
-    return search.lexical_topk(t.store(), t.searches(), LIMIT).select(
+    return search.lexical_topk(t.written_store(), t.searches(), LIMIT).select(
         "query_id", "article_id", shown(F.col("tag_names"), "tag_names"),
         F.size("tag_names").cast("bigint").alias("n_tags"), F.round("distance", 4).alias("distance"),
     )
@@ -67,7 +68,7 @@ def lexical_topk(t: Tables) -> DataFrame:
 
 @case
 def tag_match(t: Tables) -> DataFrame:
-    return search.all_tag_matches(t.store(), t.searches()).select(
+    return search.all_tag_matches(t.written_store(), t.searches()).select(
         "query_id", "article_id", shown(F.col("tag_names"), "tag_names")
     )
 
@@ -96,8 +97,13 @@ def cosine_distance(t: Tables) -> DataFrame:
 
 @case
 def ann_topk(t: Tables) -> DataFrame:
-    index = cells.build_cells(t.store().embeddings, CELLS, seed=1)
-    return cells.nearest_in_cells(index, t.searches(), LIMIT, NPROBE)
+    """Cells around each label's mean vector; a request searches the NPROBE nearest."""
+    mean = t.read("embeddings").select("label", F.posexplode("embedding").alias("place", "x"))
+    mean = mean.groupBy("label", "place").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    # One row per label: the centres of the cells.
+    rows = mean.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("place", "x"))).alias("m")).orderBy("label").collect()
+    index = cells.place_in_cells(t.store().embeddings, np.array([[p.x for p in r.m] for r in rows]))
+    return cells.nearest_in_cells(index, t.searches(), LIMIT, NPROBE).withColumn("distance", F.round("distance", 4))
 
 
 @case
@@ -120,7 +126,7 @@ def ann_recall(t: Tables) -> DataFrame:
 
 @case
 def article_lookup(t: Tables) -> DataFrame:
-    found = search.lookup_articles(t.store(), t.lookup_keys())
+    found = search.lookup_articles(t.written_store(), t.lookup_keys())
     lists = [shown(F.col(c), c) for c in ("tag_names", "key_insights")]
     return found.select(*[c for c in found.columns if c not in ("tag_names", "key_insights")], *lists)
 
@@ -238,7 +244,7 @@ def constraint_check(t: Tables) -> DataFrame:
 @case
 def unique_audit(t: Tables) -> DataFrame:
     """Audit of all articles together with the English ones once more."""
-    everything, again = t.store(), t.store(t.articles().where("category = 'en'"))
+    everything, again = t.written_store(), t.written_store(t.articles().where("category = 'en'"))
     both = Store(
         *[getattr(everything, n).unionByName(getattr(again, n)) for n in Store.names()]
     )
@@ -248,7 +254,7 @@ def unique_audit(t: Tables) -> DataFrame:
 @case
 def orphan_audit(t: Tables) -> DataFrame:
     """Audit after the articles and tags of later days were lost."""
-    everything, early = t.store(), t.stored()
+    everything, early = t.written_store(), t.written_store(t.stored_articles())
     return audits.orphan_audit(
         Store(early.articles, early.tags, everything.article_tags, everything.key_insights, everything.embeddings)
     )
@@ -259,7 +265,7 @@ def cascade_delete(t: Tables) -> DataFrame:
     """Delete the articles in French and every tag of the German ones: rows left per article."""
     articles = t.articles()
     gone_tags = t.store(articles.where("category = 'de'")).tags
-    left = audits.cascade_delete(t.store(), articles.where("category = 'fr'"), gone_tags)
+    left = audits.cascade_delete(t.written_store(), articles.where("category = 'fr'"), gone_tags)
     tables = ["articles", "article_tags", "key_insights", "embeddings"]
     counts = [
         getattr(left, name).groupBy("article_id").agg(F.count(F.lit(1)).alias("n_rows")).select(

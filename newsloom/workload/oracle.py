@@ -8,7 +8,10 @@ articles AS (
          concat('Entry ', d.doc_id, ' from ', d.source) AS headline,
          DATE '2012-01-01' + CAST(d.doc_id * 37 % 4000 AS INT) AS date,
          d.lang AS category, d.text AS summarization
-  FROM documents d WHERE d.doc_id IN (SELECT vec_id FROM embeddings)
+  FROM (SELECT doc_id, source, lang, text FROM documents
+        UNION ALL
+        SELECT vec_id, 'vectors', 'en', concat('Entry ', vec_id, ' has a vector and no document')
+        FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)) d
 )"""
 
 LISTS = """
@@ -189,6 +192,32 @@ SELECT l.vec_id,
        round(1 - list_cosine_similarity(CAST(l.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])), 4)
          AS unit_distance
 FROM embeddings l JOIN embeddings r ON l.vec_id = r.vec_id + 1""",
+    "ann_topk": _with(ARTICLES, SEARCHES, DISTANCES)
+    + """
+, means AS (
+  SELECT label, list(x ORDER BY place) AS centre FROM (
+    SELECT label, place, avg(CAST(x AS DOUBLE)) AS x FROM (
+      SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS place FROM embeddings) z
+    GROUP BY 1, 2) y
+  GROUP BY label
+), placed AS (
+  SELECT vec_id, label AS cell FROM (
+    SELECT e.vec_id, m.label,
+           row_number() OVER (PARTITION BY e.vec_id ORDER BY
+             list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), m.centre) DESC, m.label) AS n
+    FROM embeddings e CROSS JOIN means m) x WHERE n = 1
+), probed AS (
+  SELECT query_id, cell FROM (
+    SELECT s.query_id, m.label AS cell,
+           row_number() OVER (PARTITION BY s.query_id ORDER BY
+             list_cosine_similarity(s.query_vec, m.centre) DESC, m.label) AS n
+    FROM searches s CROSS JOIN means m) x WHERE n <= 4
+)
+SELECT query_id, article_id, round(distance, 4) AS distance FROM (
+  SELECT d.*, row_number() OVER (PARTITION BY d.query_id ORDER BY distance NULLS LAST, article_id) AS n
+  FROM distances d JOIN placed p ON p.vec_id = d.article_id
+  JOIN probed q ON q.query_id = d.query_id AND q.cell = p.cell) x
+WHERE n <= 10""",
     "ann_topk_all_cells": _with(ARTICLES, SEARCHES, DISTANCES)
     + "SELECT query_id, article_id, round(distance, 4) AS distance FROM near_k",
     "article_lookup": _with(ARTICLES, LISTS)
@@ -298,7 +327,9 @@ FROM articles a LEFT JOIN insight_lists i USING (article_id)""",
       CAST(CAST('0x' || substr(md5(concat(article_id, '|', key_insight)), 1, 15) AS BIGINT) AS VARCHAR)
       FROM again_insights
     UNION ALL SELECT 'embeddings_id', CAST(article_id AS VARCHAR) FROM again
+      WHERE article_id IN (SELECT vec_id FROM embeddings)
     UNION ALL SELECT 'one_embedding_per_article', CAST(article_id AS VARCHAR) FROM again
+      WHERE article_id IN (SELECT vec_id FROM embeddings)
   )
 SELECT rule, md5(key) AS key, CAST(2 AS BIGINT) AS n_rows FROM found""",
     "orphan_audit": _with(ARTICLES, LISTS, STORED_TAGS)
@@ -312,7 +343,8 @@ FROM words WHERE tag NOT IN (SELECT tag FROM stored_tags) GROUP BY 2
 UNION ALL
 SELECT 'key_insights_article', article_id, count(*) FROM sentences JOIN late USING (article_id) GROUP BY 2
 UNION ALL
-SELECT 'embeddings_article', article_id, count(*) FROM late GROUP BY 2""",
+SELECT 'embeddings_article', article_id, count(*) FROM late
+WHERE article_id IN (SELECT vec_id FROM embeddings) GROUP BY 2""",
     "cascade_delete": _with(ARTICLES, LISTS)
     + """
 , kept AS (SELECT article_id FROM articles WHERE category <> 'fr'),
@@ -324,13 +356,15 @@ WHERE tag NOT IN (SELECT tag FROM gone) GROUP BY 2
 UNION ALL
 SELECT 'key_insights', article_id, count(*) FROM sentences JOIN kept USING (article_id) GROUP BY 2
 UNION ALL
-SELECT 'embeddings', article_id, count(*) FROM kept GROUP BY 2""",
+SELECT 'embeddings', article_id, count(*) FROM kept
+WHERE article_id IN (SELECT vec_id FROM embeddings) GROUP BY 2""",
     "extract_filter": """
 SELECT link, headline, strftime(date, '%Y-%m-%d') AS date FROM (
-  SELECT d.lang, CASE WHEN p.page_id % 7 = 0 THEN concat(p.url, p.url) ELSE p.url END AS link,
-         concat('Entry ', d.doc_id) AS headline,
-         DATE '2012-01-01' + CAST(p.page_id * 37 % 4000 AS INT) AS date
-  FROM pages p JOIN documents d ON p.page_id = d.doc_id) x
+  SELECT lang, CASE WHEN doc_id % 7 = 0 THEN concat(base, base) ELSE base END AS link,
+         concat('Entry ', doc_id) AS headline,
+         DATE '2012-01-01' + CAST(doc_id * 37 % 4000 AS INT) AS date
+  FROM (SELECT d.doc_id, d.lang, coalesce(p.url, concat('https://example.com/entry/', d.doc_id)) AS base
+        FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id) y) x
 WHERE lang = 'en' AND NOT regexp_matches(link, 'http.+https?') AND date >= DATE '2015-01-01'""",
     "link_parts": """
 WITH parts AS (
