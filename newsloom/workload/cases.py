@@ -202,7 +202,7 @@ def ingest_key_insights(t: Tables) -> DataFrame:
 
 @case
 def ingest_run(t: Tables) -> DataFrame:
-    """Two uploads into a new store, the first one repeated: rows per table."""
+    """Two uploads into a new store, the first one repeated: all rows by their natural keys."""
     path = fresh_path(t.spark, "store")
     embedder = partial(HashedWords, VECTOR_WIDTH)
     category = t.category_rows()
@@ -210,13 +210,20 @@ def ingest_run(t: Tables) -> DataFrame:
     for run, rows in ((0, early), (0, early), (1, category)):
         upload.upload(path, run, rows, t.summary_rows(), ["line"], ["line"], RUN_TIME, embedder)
     store = open_store(t.spark, path)
-    counts = [
-        getattr(store, name).agg(F.count(F.lit(1)).alias("n_rows")).select(
-            F.lit(name).alias("table_name"), "n_rows"
-        )
-        for name in Store.names()
-    ]
-    return reduce(DataFrame.unionByName, counts)
+    keys = store.articles.select("article_id", "link_hash")
+    vector = F.transform("embedding", lambda x: F.round(x.cast("double") * 1e4).cast("bigint"))
+    parts = {
+        "articles": store.articles.select("link_hash", F.concat_ws("|", "link", "headline", F.col("date").cast("string")).alias("value")),
+        "tags": store.tags.select(F.lit("").alias("link_hash"), F.col("tag").alias("value")),
+        "article_tags": store.article_tags.join(keys, "article_id").join(store.tags, "tag_id").select("link_hash", F.col("tag").alias("value")),
+        "key_insights": store.key_insights.join(keys, "article_id").select("link_hash", F.col("key_insight").alias("value")),
+        "embeddings": store.embeddings.join(keys, "article_id").select(
+            "link_hash", F.concat_ws("|", "summarization", F.size(vector).cast("string")).alias("value")
+        ),
+    }
+    return reduce(
+        DataFrame.unionByName, [rows.select(F.lit(name).alias("table_name"), "link_hash", "value") for name, rows in parts.items()]
+    )
 
 
 @case
@@ -341,14 +348,18 @@ def request_files(t: Tables) -> DataFrame:
     path = fresh_path(t.spark, "content") + ".jsonl"
     line = F.to_json(F.struct("link", "content", "link_hash"))
     broken = F.when(F.col("doc_id") % 13 == 0, F.concat(F.lit("{"), line)).otherwise(line)
-    t.contents().select(broken.alias("value")).write.text(path)
+    t.contents().orderBy("doc_id").select(broken.alias("value")).write.text(path)
     out = fresh_path(t.spark, "chunks")
     preparation.prepare_requests(t.spark, path, out, fresh_path(t.spark, "refused") + ".jsonl")
     parsed = F.from_json("value", "custom_id string, body struct<model string, messages array<struct<role string, content string>>>")
-    written = t.spark.read.schema("value string, chunk_number int").text(out).select(parsed.alias("r"))
+    written = t.spark.read.schema("value string, chunk_number int").text(out).select(parsed.alias("r"), "chunk_number")
     text = F.col("r.body.messages")[1]["content"]
+    custom_id = F.split("r.custom_id", "_")
     return written.select(
-        F.element_at(F.split("r.custom_id", "_"), 3).alias("link_hash"), text.alias("content")
+        F.element_at(custom_id, 3).alias("link_hash"),
+        text.alias("content"),
+        F.col("chunk_number").cast("bigint").alias("chunk_number"),
+        F.element_at(custom_id, 4).cast("bigint").alias("request_number"),
     )
 
 

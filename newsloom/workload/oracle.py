@@ -271,11 +271,13 @@ FROM fresh f JOIN sentences s USING (article_id)""",
   SELECT article_id FROM articles LEFT JOIN insight_lists USING (article_id)
   WHERE coalesce(longest, 0) <= 1000
 )
-SELECT 'articles' AS table_name, count(*) AS n_rows FROM kept
-UNION ALL SELECT 'embeddings', count(*) FROM kept
-UNION ALL SELECT 'tags', count(DISTINCT tag) FROM words JOIN kept USING (article_id)
-UNION ALL SELECT 'article_tags', count(*) FROM words JOIN kept USING (article_id)
-UNION ALL SELECT 'key_insights', count(*) FROM sentences JOIN kept USING (article_id)""",
+SELECT 'articles' AS table_name, link_hash, concat_ws('|', link, headline, CAST(date AS VARCHAR)) AS value
+FROM articles JOIN kept USING (article_id)
+UNION ALL SELECT 'embeddings', link_hash, concat_ws('|', summarization, '64') FROM articles JOIN kept USING (article_id)
+UNION ALL SELECT DISTINCT 'tags', '', tag FROM words JOIN kept USING (article_id)
+UNION ALL SELECT 'article_tags', link_hash, tag FROM words JOIN kept USING (article_id) JOIN articles USING (article_id)
+UNION ALL SELECT 'key_insights', link_hash, key_insight
+FROM sentences JOIN kept USING (article_id) JOIN articles USING (article_id)""",
     "embed_delta": _with(ARTICLES)
     + """
 , changes AS (
@@ -425,8 +427,13 @@ SELECT CASE WHEN content = '' THEN 'malformed' WHEN length(content) < 100 THEN '
 FROM contents GROUP BY 1""",
     "request_files": _with(CONTENTS)
     + """
-SELECT link_hash, concat('Summarize the following web article content:', chr(10), chr(10), content) AS content
-FROM contents WHERE length(content) >= 100 AND doc_id % 13 <> 0""",
+, placed AS (
+  SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // 50 AS chunk_number FROM contents
+)
+SELECT link_hash, concat('Summarize the following web article content:', chr(10), chr(10), content) AS content,
+       CAST(chunk_number AS BIGINT) AS chunk_number,
+       row_number() OVER (PARTITION BY chunk_number ORDER BY doc_id) - 1 AS request_number
+FROM placed WHERE length(content) >= 100 AND doc_id % 13 <> 0""",
     "response_parse": _with(ARTICLES, ORDERED, RESPONSES)
     + """
 , ids AS (
