@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm import jaccard, packing, secrets, suffixes, toxicity
 from newsloom.llm.queries import tokenizer
-from newsloom.runtime import prepare, settle
+from newsloom.runtime import fresh_path, prepare, scratch
 
 # Shortest repeated stretch that is cut out: a passage of fifty short words.
 PASSAGE_BYTES = 240
@@ -65,8 +65,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to the documents; the result of each is written and read back."""
+    """Apply the stages to the documents; the result of each is written and read back.
+
+    What a stage wrote on its way is deleted when its result stands.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = fresh_path(spark, name.replace(" ", "-"))
+        with scratch(spark):
+            result = stage(spark, docs, sf_dir)
+            result.write.parquet(path)
+        docs = spark.read.schema(result.schema).parquet(path)
     return docs
