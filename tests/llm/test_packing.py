@@ -33,7 +33,7 @@ def check(rows, model, pieces, window):
     sequences = defaultdict(list)
     for p in pieces:
         sequences[p.sequence_id].append((p.offset, p.length))
-    padding = 0
+    padding = total = 0
     for parts in sequences.values():
         at = 0
         for offset, length in sorted(parts):
@@ -41,10 +41,11 @@ def check(rows, model, pieces, window):
             at += length
         assert at <= window
         padding += 0 if at & (at - 1) == 0 else window - at
-    assert padding == 0
+        total += at
+    assert padding <= 0.02 * total
 
 
-def test_every_id_once_and_no_padding(hard_docs, hard_rows, model):
+def test_every_id_once_and_little_padding(hard_docs, hard_rows, model):
     check(hard_rows, model, packing.pack_documents(hard_docs, model).collect(), 2048)
 
 
@@ -59,10 +60,20 @@ def test_plan_uses_no_length_twice():
     histogram = (400 * np.exp(-(((np.arange(65) - 24) / 10) ** 2)) * rng.uniform(0.5, 1, 65)).astype(int)
     histogram[0] = 0
     plan = packing.solve_plan(histogram, 64)
-    used = np.bincount(plan.combinations.ravel(), np.repeat(plan.counts, 3), minlength=65)
-    assert (used[1:] <= histogram[1:]).all()
-    assert (plan.combinations.sum(axis=1) == 64).all()
-    assert (used * np.arange(65)).sum() > 0.9 * (histogram * np.arange(65)).sum()
+    used = plan.left.copy()
+    for lengths, count in plan.combinations:
+        assert 0.98 * 64 <= sum(lengths) <= 64
+        for n in lengths:
+            used[n] += count
+    assert used.tolist() == histogram.tolist()
+    assert (plan.left * np.arange(65)).sum() < 0.1 * (histogram * np.arange(65)).sum()
+
+
+def test_lengths_that_find_no_partner_are_left():
+    histogram = np.zeros(65, int)
+    histogram[40] = 9
+    plan = packing.solve_plan(histogram, 64)
+    assert plan.combinations == [] and plan.left[40] == 9
 
 
 def test_no_rows(no_docs, model):
