@@ -6,7 +6,6 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +29,8 @@ _SIMPLE = re.compile(f"[{_LETTERS}0-9{_MARKS}]+")
 _WORD = re.compile(f"[{_LETTERS}]+|[0-9]|[{_MARKS}]+")
 
 
-class WordIds:
-    """Ids of white-space separated chunks, each distinct one encoded once.
+class WordIds(dict):
+    """Ids of white-space separated chunks, each distinct one encoded when it is first met.
 
     The model drops white space, so a text's ids are those of its chunks in turn.
     Plain chunks go word by word through the model, all others through the library.
@@ -43,53 +42,44 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.whole = Tokenizer.from_file(path)
-        self.model = self.whole.model
+        self.tokenize = self.whole.model.tokenize
         self.symbols = self._byte_symbols()
-        self.chunks: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
 
+    def __missing__(self, chunk: bytes) -> bytes:
+        text = chunk.decode()
+        if not _SIMPLE.fullmatch(text):
+            ids = array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        elif text.isalpha():
+            ids = self._word(text.lower())
+        else:
+            ids = b"".join([self.words.get(w) or self._word(w) for w in _WORD.findall(text.lower())])
+        self[chunk] = ids
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        known = self.words.get(word)
+        if known is None:
+            shown = word if word.isascii() else "".join([self.symbols[b] for b in word.encode()])
+            known = self.words[word] = array("I", [t.id for t in self.tokenize(shown)]).tobytes()
+        return known
+
     def _byte_symbols(self) -> dict[int, str]:
         """The character that stands for each byte: its own if visible, else the next from U+0100."""
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         return {**{b: chr(b) for b in shown}, **{b: chr(256 + i) for i, b in enumerate(hidden)}}
 
-    def _learn_words(self, words: set[str]) -> None:
-        symbols, tokenize, known = self.symbols, self.model.tokenize, self.words
-        for word in words.difference(known):
-            shown = word if word.isascii() else "".join([symbols[b] for b in word.encode()])
-            known[word] = array("I", [t.id for t in tokenize(shown)]).tobytes()
-
-    def learn(self, chunks: set[bytes]) -> None:
-        """Make sure that the ids of these chunks are in the table."""
-        if len(self.chunks) > TABLE_WORDS:
-            self.chunks, self.words = {}, {}
-        plain, parts, odd = [], [], []
-        for chunk in chunks.difference(self.chunks):
-            text = chunk.decode()
-            if _SIMPLE.fullmatch(text):
-                plain.append(chunk)
-                parts.append(_WORD.findall(text.lower()))
-            else:
-                odd.append(text)
-        self._learn_words(set(chain.from_iterable(parts)))
-        find = self.words.__getitem__
-        self.chunks.update(
-            (chunk, find(words[0]) if len(words) == 1 else b"".join(map(find, words))) for chunk, words in zip(plain, parts)
-        )
-        for first in range(0, len(odd), 1000):
-            part = odd[first : first + 1000]
-            for text, coded in zip(part, self.whole.encode_batch_fast(part, add_special_tokens=False)):
-                self.chunks[text.encode()] = array("I", coded.ids).tobytes()
-
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, END_ID after them."""
+        if len(self) > TABLE_WORDS:
+            self.clear()
+            self.words.clear()
+        find, end = self.__getitem__, array("I", [END_ID]).tobytes()
         # The model lowers all letters; only control tokens must keep theirs until then.
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        self.learn(set().union(*split))
-        find, end = self.chunks.__getitem__, array("I", [END_ID]).tobytes()
-        return [b"".join(map(find, words)) + end for words in split]
+        return [b"".join(map(find, (t if b"<|" in t else t.lower()).split())) + end for t in texts]
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -98,25 +88,27 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 
 @dataclass
 class Plan:
-    """How often each combination is used; lengths up to ``window`` that fill it exactly."""
+    """Combinations of lengths, how often each is used, and how many of each length are left over."""
 
-    combinations: np.ndarray  # rows of three lengths, the first 0 where there are two
-    counts: np.ndarray
+    combinations: list[tuple[tuple[int, ...], int]]
+    left: np.ndarray
     window: int = WINDOW
 
+    def sequences(self) -> int:
+        return sum(count for _, count in self.combinations)
+
     def slots(self) -> np.ndarray:
-        """Rows (length, first place, end place, first sequence, step, offset).
+        """Rows (length, first place, end place, first sequence, offset).
 
         Piece number ``first place + i`` of a length goes to sequence ``first sequence + i``.
         """
-        rows, place, sequence = [], np.zeros(self.window + 1, np.int64), 0
-        for lengths, count in zip(self.combinations.tolist(), self.counts.tolist()):
+        rows, place, sequence = [], [0] * (self.window + 1), 0
+        for lengths, count in self.combinations:
             offset = 0
             for length in lengths:
-                if length:
-                    rows.append((length, place[length], place[length] + count, sequence, offset))
-                    place[length] += count
-                    offset += length
+                rows.append((length, place[length], place[length] + count, sequence, offset))
+                place[length] += count
+                offset += length
             sequence += count
         return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
@@ -132,11 +124,13 @@ def combinations_of(window: int) -> np.ndarray:
     return np.stack([first, second, third], axis=1)[keep]
 
 
-def solve_plan(histogram: np.ndarray, window: int = WINDOW, rounds: int = 300) -> Plan:
+def solve_plan(histogram: np.ndarray, window: int = WINDOW, rounds: int = 100, least_fill: float = 0.98) -> Plan:
     """Repeat counts of the combinations that come nearest to the histogram, as whole numbers.
 
     Non-negative least squares by accelerated projected gradient steps, rounded down,
-    then every combination in turn raised as far as the lengths left over allow.
+    then every combination in turn raised as far as the lengths left over allow. What
+    remains is packed greedily, the longest first, into windows filled to ``least_fill``
+    at least; lengths that find no such window are left over.
     """
     combos = combinations_of(window)
     used = np.minimum(histogram[combos] + (combos == 0), 1).all(axis=1)
@@ -169,14 +163,39 @@ def solve_plan(histogram: np.ndarray, window: int = WINDOW, rounds: int = 300) -
                 counts[c] += fit
                 for length in (a, b, d):
                     rest[length] -= fit
-    kept = counts > 0
-    return Plan(combos[kept], counts[kept], window)
+    chosen = [(tuple(n for n in combos[c].tolist() if n), int(counts[c])) for c in np.flatnonzero(counts)]
+    rest[0] = 0
+    over = np.zeros(window + 1, np.int64)
+    longest = window
+    while longest:
+        if not rest[longest]:
+            longest -= 1
+            continue
+        pattern, room, length = [longest], window - longest, longest
+        while room:
+            length = min(length, room)
+            spare = rest[length] - pattern.count(length) if rest[length] else 0
+            if spare > 0:
+                more = min(spare, room // length)
+                pattern += [length] * more
+                room -= more * length
+            length -= 1
+            if not length:
+                break
+        if window - room < least_fill * window:
+            over[longest], rest[longest] = rest[longest], 0
+            continue
+        times = min(rest[n] // pattern.count(n) for n in set(pattern))
+        for n in pattern:
+            rest[n] -= times
+        chosen.append((tuple(pattern), times))
+    return Plan(chosen, over, window)
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _place_pieces(rows: DataFrame, plan: Plan, left: np.ndarray, first_full: int) -> DataFrame:
+def _place_pieces(rows: DataFrame, plan: Plan, first_full: int) -> DataFrame:
     """Give the pieces of each document their sequence and offset.
 
     Everything follows from a remainder's length and its number among those of that
@@ -187,9 +206,9 @@ def _place_pieces(rows: DataFrame, plan: Plan, left: np.ndarray, first_full: int
     slots = plan.slots()
     keys = (slots[:, 0] << 42) + slots[:, 1]
     taken = np.bincount(slots[:, 0], slots[:, 2] - slots[:, 1], minlength=window + 1).astype(np.int64)
-    sequences = int(plan.counts.sum())
+    sequences = plan.sequences()
     lengths = np.arange(window + 1)
-    line_start = np.concatenate([[0], np.cumsum(left * lengths)])
+    line_start = np.concatenate([[0], np.cumsum(plan.left * lengths)])
     total = int(line_start[window + 1])
     # The line's last stretch is cut into powers of two, which need no padding.
     tail, size, cuts = total // window * window, window, []
@@ -244,8 +263,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> Dat
     """Pieces of all documents in sequences of at most ``window`` ids, one row for each piece.
 
     A document's full windows are sequences of their own. Remainders are combined by
-    the plan; what the rounded plan leaves over is laid end to end and cut at every
-    window, and the end of that line at powers of two, so no sequence needs padding.
+    the plan, which fills windows to 98 % at least; what it leaves over is laid end to
+    end and cut at every window, and the end of that line at powers of two.
 
     A null or empty text is its end id alone; repeated rows are documents of their
     own; an empty table gives no rows; other columns are not looked at. The driver
@@ -263,10 +282,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> Dat
     for rest, count in rows.where("rest > 0").groupBy("rest").count().collect():
         histogram[rest] = count
     plan = solve_plan(histogram, window)
-    left = histogram - np.bincount(plan.combinations.ravel(), np.repeat(plan.counts, 3), minlength=window + 1).astype(np.int64)
-    left[0] = 0
-    over = int((left * np.arange(window + 1)).sum())
-    first_full = int(plan.counts.sum()) + over // window + bin(over % window).count("1")
+    over = int((plan.left * np.arange(window + 1)).sum())
+    first_full = plan.sequences() + over // window + bin(over % window).count("1")
 
     order = ["doc_id", "n", "tag"]
     numbered = place_within(rows, ["rest"], order, "place")
@@ -277,7 +294,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> Dat
     sizes = sizes.select("full", F.coalesce(F.sum("_windows").over(earlier), F.lit(0)).alias("_start"))
     numbered = numbered.join(sizes, "full").withColumn("full_start", F.expr("_start + full_place * full"))
     pieces = settle(
-        _place_pieces(numbered.select("doc_id", "n", "tag", "crcs", "place", "full_start"), plan, left, first_full), "pieces"
+        _place_pieces(numbered.select("doc_id", "n", "tag", "crcs", "place", "full_start"), plan, first_full), "pieces"
     )
     names = [c.split()[0] for c in PIECES.split(", ")]
     cut = pieces.where("cut")
@@ -303,7 +320,7 @@ def token_ids(docs: DataFrame, tokenizer: str, window: int = WINDOW, keep: bool
 
         gc.disable()  # the tables hold many small objects and no cycles
         model = WordIds(tokenizer)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 << 20):
             coded = model.encode(_texts(batch))
             step = 4 * window
             crcs = [[crc32(c[i : i + step]) for i in range(0, len(c), step)] for c in coded]
