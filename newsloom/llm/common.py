@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from newsloom.runtime import settle
 
 # Bytes of text that a task holds as Python values at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
@@ -110,11 +110,10 @@ def components(links: DataFrame) -> DataFrame:
     """Smallest node reachable from every node that has a link: ``node, component``.
 
     ``links`` has two long columns ``a, b``. Large-star and small-star steps in turn,
-    each written to the shared folder, until nothing changes. A node of many links
-    costs rows of a shuffle that adaptive execution can split, never a list.
+    each written to the shared folder, until every node points at its smallest. A node
+    of many links costs rows of a shuffle that adaptive execution can split, never a list.
     """
     edges = settle(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    state = None
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -123,10 +122,11 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         edges = settle(small.select("e.*").where("u <> v").distinct(), "small-star")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
+        # Done when every node points at one other, and none that is pointed at points on.
+        ends = edges.select("u", F.lit(1).alias("out")).union(edges.select("v", F.lit(0)).distinct())
+        ends = ends.groupBy("u").agg(F.sum("out").alias("out"), F.count(F.lit(1)).alias("rows"))
+        if ends.where("out > 1 OR (out = 1 AND rows > 1)").isEmpty():
             break
-        state = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -7,16 +7,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import RollingHash, components, mixed, slices
 from newsloom.runtime import BROADCAST_IDS, settle, small, small_if_counted
 
 WORDS, PERCENT = 5, 75
-SLICE = 4 << 20
-# Shingles counted at once in a task, and how often one must be met to be counted as frequent.
-COUNTED, FREQUENT = 4_000_000, 8
+SLICE = 2 << 20
+# Shingles of different sets counted at once in a task, and how often one must be met to
+# count as frequent.
+COUNTED, FREQUENT = 2_000_000, 2
 # Frequent shingles that go last in the order of prefixes. Any order gives whole
 # results, so a longer list would only save candidates.
 LAST_TOKENS = 1_000_000
@@ -80,6 +81,7 @@ def describe_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, held, count = Shingler(words), [], 0
+        names: set[int] = set()
 
         def frequent() -> pa.RecordBatch:
             tokens, met = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
@@ -95,28 +97,33 @@ def describe_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
             none = [None] * len(sets)
             values = [batch.column("doc_id"), [len(s) for s in sets], ids, keys, none, none]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, (_, k) in zip(values, kinds)], names=[n for n, _ in kinds])
-            held += sets
-            count += sum(map(len, sets))
+            for name, s in zip(ids, sets):
+                if name not in names:
+                    names.add(name)
+                    held.append(s)
+                    count += len(s)
             if count > COUNTED:
                 yield frequent()
-                held, count = [], 0
+                held, count, names = [], 0, set()
         yield frequent()
 
     return docs.mapInArrow(describe, schema)
 
 
 def prefix_rows(docs: DataFrame, last: np.ndarray, met: np.ndarray, words: int, percent: int) -> DataFrame:
-    """``token, set_id`` for the shingles of each set's prefix.
+    """``token, set_id, short`` for the shingles of each set's prefix.
 
     Two sets that are alike enough share a shingle among the first
-    ``n - ceil(percent * n) + 1`` of each, in any one order of all shingles. The order
-    puts frequent shingles last, and others by their hash.
+    ``n - ceil(p * n) + 1`` of each, where p is ``percent`` / 100, in any one order of
+    all shingles; of the smaller set the first ``n - ceil(2p / (1 + p) * n) + 1`` will
+    do, which are marked ``short``. The order puts frequent shingles last, and others
+    by their hash.
     """
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in slices(batches, "text", SLICE):
-            tokens, owners = [], []
+            tokens, owners, shorts = [], [], []
             seen: set[int] = set()
             for s in shingler.sets(_binary(batch)):
                 if not len(s):
@@ -126,31 +133,42 @@ def prefix_rows(docs: DataFrame, last: np.ndarray, met: np.ndarray, words: int,
                     continue
                 seen.add(name)
                 size = len(s) + (-percent * len(s)) // 100 + 1
+                short = len(s) + (-2 * percent * len(s)) // (100 + percent) + 1
                 if len(last):
                     place = np.minimum(np.searchsorted(last, s), len(last) - 1)
                     rank = np.where(last[place] == s, met[place], 0)
                     s = s[np.argsort(rank, kind="stable")]
                 tokens.append(_long(s[:size]))
                 owners.append(np.full(min(size, len(s)), name, np.int64))
-            flat = [np.concatenate([np.zeros(0, np.int64), *x]) for x in (tokens, owners)]
+                shorts.append(np.arange(min(size, len(s))) < short)
+            flat = [np.concatenate([np.zeros(0, k), *x]) for x, k in ((tokens, np.int64), (owners, np.int64), (shorts, bool))]
             for first in range(0, len(flat[0]), 65_536):
-                yield pa.RecordBatch.from_arrays([pa.array(f[first : first + 65_536]) for f in flat], names=["token", "set_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(f[first : first + 65_536]) for f in flat], names=["token", "set_id", "short"])
 
-    return docs.mapInArrow(prefixes, "token long, set_id long")
+    return docs.mapInArrow(prefixes, "token long, set_id long, short boolean")
 
 
-def set_tokens(docs: DataFrame, words: int) -> DataFrame:
-    """``set_id, n, tokens`` of every document."""
+def set_tokens(docs: DataFrame, words: int, name: str) -> DataFrame:
+    """``set_id, n`` of every document, and its shingles: as ``tokens`` whole, as ``prints`` 16 bits of each.
+
+    What two sets share in prints, and what one set shares with a union of prints,
+    bounds what they share in shingles from above.
+    """
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in slices(batches, "text", SLICE):
             sets = shingler.sets(_binary(batch))
             names = [int(_long(mixed(s).sum(keepdims=True) + np.uint64(len(s)))[0]) for s in sets]
-            lists = pa.array([_long(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists], names=["set_id", "n", "tokens"])
+            if name == "tokens":
+                lists = pa.array([_long(s) for s in sets], pa.list_(pa.int64()))
+            else:
+                lists = pa.array([np.unique((s & np.uint64(0xFFFF)).astype(np.uint16)).view(np.int16) for s in sets], pa.list_(pa.int16()))
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), sizes, lists], names=["set_id", "n", name])
 
-    return docs.select("text").mapInArrow(tokens, "set_id long, n long, tokens array<long>")
+    kind = "array<long>" if name == "tokens" else "array<short>"
+    return docs.select("text").mapInArrow(tokens, f"set_id long, n long, {name} {kind}")
 
 
 def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -159,6 +177,31 @@ def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(wanted, F.col("doc_id") == F.col("_wanted"), "left_semi")
 
 
+def _reached(sets: list[np.ndarray], percent: int) -> list[int]:
+    """The first of a bounded number of sets that links reach from each, by all their overlaps."""
+    sizes = np.array([len(s) for s in sets])
+    tokens, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    column = np.cumsum(count > 1) - 1
+    met = count[place] > 1
+    owner, column = owner[met], column[place[met]]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int((count > 1).sum()), 4096):
+        inside = (column >= first) & (column < first + 4096)
+        held = np.zeros((len(sets), 4096), np.float32)
+        held[owner[inside], column[inside] - first] = 1
+        both += held @ held.T
+    linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+    np.fill_diagonal(linked, True)
+    label = np.arange(len(sets))
+    while True:
+        reached = np.where(linked, label[None, :], len(sets)).min(axis=1)
+        reached = reached[reached]
+        if (reached == label).all():
+            return label.tolist()
+        label = reached
+
+
 def family_links(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
     """Checked links ``a, b`` between sets that agree in a least hash: a spanning part of them.
 
@@ -186,17 +229,9 @@ def family_links(docs: DataFrame, sets: DataFrame, words: int, percent: int) ->
             if b - a < 2:
                 continue
             sets = shingler.sets(table.column("text").slice(a, b - a).cast(pa.binary()).to_pylist())
-            open_sets = list(range(b - a))
-            while len(open_sets) > 1:
-                pivot, *rest = open_sets
-                flat = np.concatenate([sets[i] for i in rest])
-                place = np.minimum(np.searchsorted(sets[pivot], flat), len(sets[pivot]) - 1)
-                owner = np.repeat(np.arange(len(rest)), [len(sets[i]) for i in rest])
-                both = np.bincount(owner, sets[pivot][place] == flat, minlength=len(rest))
-                sizes = np.array([len(sets[i]) for i in rest])
-                alike = 100 * both >= percent * (sizes + len(sets[pivot]) - both)
-                out += [(names[a + pivot], names[a + i]) for i, x in zip(rest, alike) if x]
-                open_sets = [i for i, x in zip(rest, alike) if not x]
+            for i, j in zip(range(b - a), _reached(sets, percent)):
+                if i != j:
+                    out.append((names[a + j], names[a + i]))
         pairs = np.array(out, np.int64).reshape(-1, 2)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -206,7 +241,8 @@ def family_links(docs: DataFrame, sets: DataFrame, words: int, percent: int) ->
 @dataclass
 class Joined:
     """``members``: doc_id, n_shingles, set_id of every document. ``classes``: set_id, class_id, the
-    smallest set id that links reach, for sets that have links. ``links``: links between families."""
+    smallest set id that links reach, for sets that have links. ``links``: set_id, family, a set and
+    a family of others that holds a set like it."""
 
     members: DataFrame
     classes: DataFrame
@@ -220,7 +256,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     hash are checked against each other until they hang together. 3. Prefix shingles
     that two sets share name candidate sets; families are cut into groups of bounded
     size, and (token, group) rows meet (token, query) rows of other families. 4. A
-    group's union bounds the overlap with each of its members, so a query opens only
+    group's union, of 16-bit prints, bounds the overlap with each of its members, so a query opens only
     groups whose union holds enough of it, and is then compared with their members.
 
     Needs at least ``percent`` 1. Null texts and texts without words are empty sets
@@ -257,16 +293,31 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     )
 
     prefixes = prefix_rows(rows.where("doc_id IS NOT NULL"), last, met, words, percent)
-    shared = prefixes.groupBy("token").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b")).where("a <> b").select("token")
+    # Written first, so that the join below has a shuffle of its own and can split hot tokens.
+    shared = (
+        prefixes.groupBy("token")
+        .agg(F.min("set_id").alias("a"), F.max("set_id").alias("b"), F.max("short").alias("short"))
+        .where("a <> b AND short")
+    )
+    shared = settle(shared.select("token"), "tokens-of-sets")
     hits = settle(prefixes.join(shared, "token", "left_semi").distinct(), "shared-tokens")
     named = hits.join(grouped.select("set_id", "n", "family", "part"), "set_id")
-    matrix = named.groupBy("token", "family", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    matrix = named.groupBy("token", "family", "part").agg(
+        F.min("n").alias("least"),
+        F.max("n").alias("most"),
+        F.min(F.when(F.col("short"), F.col("n"))).alias("least_short"),
+        F.max(F.when(F.col("short"), F.col("n"))).alias("most_short"),
+    )
     matrix = settle(matrix, "token-groups")
-    between = matrix.groupBy("token").agg(F.min("family").alias("a"), F.max("family").alias("b")).where("a <> b").select("token")
-    queries = named.join(between, "token", "left_semi").select("token", "set_id", "n", F.col("family").alias("_family"))
+    between = matrix.groupBy("token").agg(F.min("family").alias("a"), F.max("family").alias("b")).where("a <> b")
+    between = settle(between.select("token"), "tokens-of-families")
+    queries = named.join(between, "token", "left_semi").select("token", "set_id", "n", "short", F.col("family").alias("_family"))
+    # The smaller of two sets has the token in its short prefix.
+    smaller_there = f"least_short <= n AND 100 * most_short >= {percent} * n"
+    smaller_here = f"short AND most >= n AND 100 * n >= {percent} * least"
     pairs = settle(
         queries.join(matrix.join(between, "token", "left_semi"), "token")
-        .where(f"family < _family AND 100 * n >= {percent} * least AND 100 * most >= {percent} * n")
+        .where(f"family < _family AND ({smaller_there} OR {smaller_here})")
         .groupBy("set_id", "n", "family", "part")
         .agg(F.min("least").alias("least")),
         "query-groups",
@@ -275,31 +326,41 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     opened = pairs.select("family", "part").distinct()
     inside = grouped.join(opened, ["family", "part"], "left_semi")
     asked = grouped.join(pairs.select("set_id").distinct(), "set_id", "left_semi")
-    tokens = set_tokens(only(rows, inside.select("doc_id").union(asked.select("doc_id"))), words)
-    tokens = settle(tokens.dropDuplicates(["set_id"]), "set-tokens")
-    held = inside.select("set_id", "family", "part").join(tokens, "set_id")
-    unions = held.groupBy("family", "part").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"))
-    bound = F.size(F.array_intersect("tokens", "union"))
+    prints = set_tokens(only(rows, inside.select("doc_id").union(asked.select("doc_id"))), words, "prints")
+    prints = settle(prints.dropDuplicates(["set_id"]), "set-prints")
+    held = inside.select("set_id", "family", "part").join(prints, "set_id")
+    unions = held.groupBy("family", "part").agg(F.array_distinct(F.flatten(F.collect_list("prints"))).alias("union"))
+    # Shingles that agree in their print count once in the intersection, so they are added again.
+    bound = F.size(F.array_intersect("prints", "union")) + F.col("n") - F.size("prints")
     enough = f"100 * bound >= {percent} * n AND (100 + {percent}) * bound >= {percent} * (n + least)"
-    asking = tokens.select("set_id", "tokens")
-    kept = (
-        pairs.join(asking, "set_id")
+    kept = settle(
+        pairs.join(prints.select("set_id", "prints"), "set_id")
         .join(unions, ["family", "part"])
         .select("set_id", "family", "part", bound.alias("bound"), "n", "least")
         .where(enough)
-        .select("set_id", "family", "part")
+        .select("set_id", "family", "part"),
+        "opened-groups",
     )
-    common = F.size(F.array_intersect("tokens", "_tokens"))
-    links = (
-        kept.join(asking, "set_id")
-        .join(held.select("family", "part", F.col("set_id").alias("_set"), F.col("n").alias("_n"), F.col("tokens").alias("_tokens")), ["family", "part"])
-        .select(F.col("set_id").alias("a"), F.col("_set").alias("b"), F.size("tokens").alias("n"), "_n", common.alias("both"))
-        .where(f"100 * both >= {percent} * (n + _n - both)")
-        .select("a", "b")
+    open_sets = inside.join(kept.select("family", "part").distinct(), ["family", "part"], "left_semi")
+    named_sets = kept.select("set_id").union(open_sets.select("set_id")).distinct()
+    texts = only(rows, sets.join(named_sets, "set_id", "left_semi"))
+    tokens = settle(set_tokens(texts, words, "tokens").dropDuplicates(["set_id"]), "set-tokens")
+    # A family hangs together, so one member that is alike links the query to all of it.
+    members_of = (
+        open_sets.select("set_id", "family", "part")
+        .join(tokens, "set_id")
+        .groupBy("family", "part")
+        .agg(F.collect_list(F.struct("n", "tokens")).alias("members"))
     )
-    links = settle(links, "links-between")
-    label = grouped.select("set_id", "family")
-    joined = links.join(label.toDF("a", "_a"), "a").join(label.toDF("b", "_b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    asking = kept.join(tokens, "set_id").select("set_id", "family", "part", "n", F.col("tokens").alias("asked"))
+
+    def alike(member: Column) -> Column:
+        both = F.size(F.array_intersect("asked", member["tokens"]))
+        return (100 + percent) * both >= percent * (F.col("n") + member["n"])
+
+    links = asking.join(members_of, ["family", "part"]).where(F.exists("members", alike)).select("set_id", "family")
+    links = settle(links.distinct(), "links-between")
+    joined = links.join(grouped.select("set_id", F.col("family").alias("a")), "set_id").select("a", F.col("family").alias("b"))
     classes = components(joined)
     whole = families.join(classes.select(F.col("node").alias("family"), "component"), "family", "left").select(
         "set_id", F.coalesce("component", "family").alias("class_id")
