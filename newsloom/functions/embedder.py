@@ -19,21 +19,26 @@ class HashedWords:
 
     def __init__(self, width: int = STORED_WIDTH):
         self.width = width
+        self.slots: dict[str, int] = {}
 
-    def __call__(self, texts: list[str]) -> np.ndarray:
+    def _slot(self, word: str) -> int:
         import hashlib
-        import re
-        from functools import lru_cache
 
-        @lru_cache(maxsize=100_000)
-        def slot(word: str) -> int:
-            return int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.width
+        slot = self.slots.get(word)
+        if slot is None:
+            if len(self.slots) >= 100_000:
+                self.slots.clear()
+            slot = self.slots[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.width
+        return slot
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        import re
 
         out = np.zeros((len(texts), self.width))
         for row, text in enumerate(texts):
             words = re.findall("[a-z0-9]+", text.lower())
             if words:
-                counts = np.bincount([slot(w) for w in words], minlength=self.width)
+                counts = np.bincount([self._slot(w) for w in words], minlength=self.width)
                 out[row] = counts / np.sqrt(float(np.dot(counts, counts)))
         return out
 

@@ -11,7 +11,8 @@ from newsloom.functions.embedder import HashedWords
 from newsloom.operators.responses import classify_responses, quarantined, summaries
 from newsloom.plans.upload import upload
 from newsloom.runtime import scratch, settle, small_if_counted
-from newsloom.sources.jsonl import PLACES
+from newsloom.sources.jsonl import PLACES, exists
+from newsloom.sources.store import complete_runs
 
 
 def ingest_arrivals(
@@ -31,8 +32,11 @@ def ingest_arrivals(
     A batch is one run of the store, numbered ``first_run`` plus the number of the
     batch: when a batch is repeated after a failure it replaces its own rows, and
     articles of earlier runs are not added again. ``progress_path`` belongs to the
-    store; with a new one give a ``first_run`` above the runs the store has.
+    store; with a new one give a ``first_run`` above the runs the store has, a lower one
+    is refused.
     """
+    if not exists(spark, progress_path) and max(complete_runs(spark, store_path), default=-1) >= first_run:
+        raise ValueError(f"new progress folder, but {store_path} has runs from {first_run} on")
     reader = spark.readStream
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)

@@ -2,6 +2,8 @@ import json
 from datetime import datetime
 from functools import partial
 
+import pytest
+
 from newsloom.functions.embedder import HashedWords
 from newsloom.sources.store import open_store
 from newsloom.streaming.arrivals import ingest_arrivals
@@ -40,3 +42,8 @@ def test_files_are_ingested_once_as_they_arrive(spark, tmp_path):
     assert sorted(r.article_id for r in last) == list(range(1, 18))
     quarantine = spark.read.parquet(f"{store}/quarantine")
     assert [r.value for r in quarantine.collect()] == ["{broken"] * 4
+    with pytest.raises(ValueError, match="new progress folder"):
+        ingest_arrivals(
+            spark, str(folder), category_rows(spark), ["line"], store, str(tmp_path / "other"), datetime(2024, 1, 1), EMBEDDER
+        )
+    assert open_store(spark, store).articles.count() == 17
