@@ -213,7 +213,8 @@ def repeated_spans(docs: DataFrame, least: int = MIN_BYTES, first_stays: bool =
         step = -(-step // 8)
         steps.append(step)
     for following in [*steps, 0]:
-        shared = rows.groupBy("h").count().where("count > 1").select("h")
+        # Written first, so that the join below has a shuffle of its own and can split hot anchors.
+        shared = settle(rows.groupBy("h").count().where("count > 1").select("h"), "shared-hashes")
         met = settle(rows.join(shared, "h", "left_semi"), "shared-anchors")
         regions = met.groupBy("h", "rh").agg(
             F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc", "crc", "a", "p", "b")).alias("first")
@@ -226,7 +227,7 @@ def repeated_spans(docs: DataFrame, least: int = MIN_BYTES, first_stays: bool =
         spans.append(settle(copies.select("doc", "crc", "a", "b"), "copied-spans"))
         if not following:
             break
-        kinds = regions.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+        kinds = settle(regions.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "kinds")
         open_regions = settle(regions.join(kinds, "h").drop("rh", "copies"), "open-regions")
         few = open_regions.where(F.col("kinds") <= GROUP_REGIONS)
         spans.append(settle(repeated_starts(docs, few, least, first_stays), "matched-spans"))
