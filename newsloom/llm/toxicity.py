@@ -19,6 +19,9 @@ GRAMS = (4, 5, 6)
 ROWS_PER_LABEL = 2_000
 TEXT_BYTES = 20_000
 
+# Words whose scores a task keeps; a full table starts anew.
+KNOWN_WORDS = 150_000
+
 SCORED = "doc_id long, severity double, grade int, p_toxic double, toxic boolean"
 
 
@@ -69,9 +72,14 @@ class OrdinalModel:
         edges = np.concatenate([np.zeros((len(scores), 1)), below, np.ones((len(scores), 1))], axis=1)
         return np.diff(edges, axis=1)
 
-    def word_scores(self, words: list[str]) -> np.ndarray:
-        features, owner = word_features(words)
-        return np.bincount(owner, self.weights[features], minlength=len(words))
+    def word_scores(self, words: list[str], at_once: int = 20_000) -> np.ndarray:
+        """Sum of the weights of each word's features."""
+        scores = [np.zeros(0)]
+        for first in range(0, len(words), at_once):
+            part = words[first : first + at_once]
+            features, owner = word_features(part)
+            scores.append(np.bincount(owner, self.weights[features], minlength=len(part)))
+        return np.concatenate(scores)
 
 
 def fit_ordinal(texts: list[str], grades: np.ndarray, l1: float = 6e-3, rounds: int = 300) -> OrdinalModel:
@@ -81,7 +89,7 @@ def fit_ordinal(texts: list[str], grades: np.ndarray, l1: float = 6e-3, rounds:
     Weights stay at 0 or above: words raise a grade, and the many plain words of a
     long text cannot outweigh them.
 
-    A feature's value is the number of a document's distinct words that have it. The
+    A feature's value is the number of a document's distinct words that have it, 3 at most. The
     5,000 features that speak most for a grade above 0 are used; each must stand in 1 % of
     those rows, and eight times as often as in rows of grade 0. Without rows,
     or with one grade alone, the model puts everything into that grade.
@@ -90,14 +98,12 @@ def fit_ordinal(texts: list[str], grades: np.ndarray, l1: float = 6e-3, rounds:
     weights = np.zeros(1 << BITS)
     if levels < 2 or len(set(grades.tolist())) < 2:
         return OrdinalModel(weights, np.full(max(levels - 1, 1), 20.0))
-    rows, columns, values = [], [], []
+    held = []
     seen = np.zeros((2, 1 << BITS))
-    for row, text in enumerate(texts):
+    for text, grade in zip(texts, grades):
         found, count = np.unique(word_features(sorted(words_of(text)))[0], return_counts=True)
-        rows.append(np.full(len(found), row, np.int32))
-        columns.append(found.astype(np.int32))
-        values.append(count.astype(np.float32))
-        seen[int(grades[row] > 0), found] += 1
+        held.append((found.astype(np.int32), np.minimum(count, 3).astype(np.uint8)))
+        seen[int(grade > 0), found] += 1
     shares = (seen + 0.5) / (np.array([[np.sum(grades == 0)], [np.sum(grades > 0)]]) + 1)
     apart = np.log(shares[1] / shares[0]) * np.sqrt(seen.sum(0))
     apart[(seen[1] < max(3, 0.01 * np.sum(grades > 0))) | (shares[1] < 8 * shares[0])] = 0
@@ -106,10 +112,15 @@ def fit_ordinal(texts: list[str], grades: np.ndarray, l1: float = 6e-3, rounds:
         chosen = np.argsort(-apart, kind="stable")[:1]
     place = np.full(1 << BITS, -1)
     place[chosen] = np.arange(len(chosen))
-    columns = place[np.concatenate(columns)]
-    kept = columns >= 0
-    columns, rows, values = columns[kept], np.concatenate(rows)[kept], np.concatenate(values)[kept].astype(float)
-    values = np.minimum(values, 3.0)
+    rows, columns, values = [], [], []
+    for row, (found, count) in enumerate(held):
+        column = place[found]
+        kept = column >= 0
+        columns.append(column[kept])
+        values.append(count[kept])
+        rows.append(np.full(int(kept.sum()), row))
+    del held
+    rows, columns, values = np.concatenate(rows), np.concatenate(columns), np.concatenate(values).astype(float)
     times = lambda w: np.bincount(rows, values * w[columns], minlength=len(grades))
     back = lambda e: np.bincount(columns, values * e[rows], minlength=len(chosen))
 
@@ -231,7 +242,7 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
         for batch in slices(batches, "text"):
-            if len(known) > 500_000:
+            if len(known) > KNOWN_WORDS:
                 known.clear()
             scores = document_scores(model, batch.column("text").to_pylist(), known)
             chances = model.probabilities(scores)
@@ -250,7 +261,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
         for batch in slices(batches, "text"):
-            if len(known) > 500_000:
+            if len(known) > KNOWN_WORDS:
                 known.clear()
             texts = [t or "" for t in batch.column("text").to_pylist()]
             risk = 1 - model.probabilities(document_scores(model, texts, known))[:, 0]
