@@ -16,9 +16,13 @@ from newsloom.runtime import settle
 COSINE = 0.9
 # Rows that the rotation is learned from; every row is indexed.
 SAMPLE_ROWS = 20_000
-# Hamming tables. A code is cut into parts, each the key of one table; when a code has
+# Least Hamming tables. A code is cut into parts, each the key of one table; when a code has
 # fewer parts than tables, more rotations are learned from other starts.
 TABLES = 12
+# Share of the pairs at the cosine limit that some table finds: longer keys get more tables.
+RECALL = 0.95
+# Rows of the sample that pairs at the limit are planted at, to see whether they are found.
+PLANTED = 2_000
 # Vectors that a key of a table has on average, as a power of two.
 KEY_BITS = 4
 # Vectors of a key that are compared in one block; a fuller key has more blocks.
@@ -97,6 +101,55 @@ def _labels(linked: np.ndarray) -> np.ndarray:
         label = reached
 
 
+def tables_for(length: int, cosine: float) -> int:
+    """Tables with keys of ``length`` bits that find RECALL of the pairs at ``cosine`` by random signs."""
+    agree = (1 - np.arccos(np.clip(cosine, -1, 1)) / np.pi) ** length
+    return TABLES if agree >= 1 else max(TABLES, int(np.ceil(np.log(1 - RECALL) / np.log1p(-max(agree, 1e-9)))))
+
+
+def planted_pairs(sample: np.ndarray, cosine: float, seed: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows of the sample and partners at ``cosine``: in random directions, and towards other rows."""
+    rng = np.random.default_rng(seed)
+    rows = sample[:PLANTED]
+    if not len(rows) or rows.shape[1] < 2 or not -1 < cosine < 1:
+        return []
+    pairs = []
+    for aims in (rng.normal(size=rows.shape), sample[rng.permutation(len(sample))[: len(rows)]]):
+        aside = aims - (aims * rows).sum(axis=1, keepdims=True) * rows
+        size = np.linalg.norm(aside, axis=1)
+        some = size > 1e-6
+        if some.any():
+            aside = aside[some] / size[some, None]
+            pairs.append((rows[some], cosine * rows[some] + np.sqrt(1 - cosine * cosine) * aside))
+    return pairs
+
+
+def random_rotation(width: int, bits: int, seed: int) -> Rotation:
+    rng = np.random.default_rng([seed, width])
+    return Rotation(np.zeros(width), np.linalg.qr(rng.normal(size=(max(width, bits), max(width, bits))))[0][:width, :bits])
+
+
+def learn_rotations(sample: np.ndarray, width: int, length: int, cosine: float) -> list[Rotation]:
+    """Learned rotations for ``tables_for`` tables, and random ones until RECALL of planted pairs is found.
+
+    A random rotation about zero separates a pair by its angle alone, whatever the
+    other vectors are, so each brings the planted pairs nearer to being found.
+    """
+    bits = max(width // length, 1) * length
+    turns = [learn_rotation(sample, bits, seed=r) for r in range(-(-tables_for(length, cosine) * length // bits))]
+    pairs = planted_pairs(sample, cosine)
+
+    def meet(turn: Rotation, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+        same = turn.codes(one) == turn.codes(other)
+        return same.reshape(len(one), -1, length).all(axis=2).any(axis=1)
+
+    found = [np.any([meet(t, *pair) for t in turns], axis=0) for pair in pairs]
+    while any(f.mean() < RECALL for f in found):
+        turns.append(random_rotation(width, bits, len(turns)))
+        found = [f | meet(turns[-1], *pair) for f, pair in zip(found, pairs)]
+    return turns
+
+
 FOUND = "class_id long, reached long, links long"
 
 
@@ -109,11 +162,12 @@ def linked_classes(classes: DataFrame, cosine: float, sample_rows: int) -> DataF
     total = classes.count()
     widths = sorted(r[0] for r in classes.select(F.size("embedding")).distinct().collect())
     length = int(np.clip(np.log2(max(total, 2)) - KEY_BITS, 4, 40))
-    turns = {}
-    for width in widths:
-        sample = _sample(classes, width, sample_rows)
-        parts = max(1, width // length)
-        turns[width] = [learn_rotation(sample, max(width // length, 1) * length, seed=r) for r in range(-(-TABLES // parts))]
+    turns = {w: learn_rotations(_sample(classes, w, sample_rows), w, length, cosine) for w in widths}
+    parts = {w: max(w // length, 1) for w in widths}
+    # All widths get as many tables as the one that needs most.
+    tables = max([TABLES, *(len(turns[w]) * parts[w] for w in widths)])
+    for w in widths:
+        turns[w] += [random_rotation(w, parts[w] * length, r) for r in range(len(turns[w]), -(-tables // parts[w]))]
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
@@ -125,7 +179,7 @@ def linked_classes(classes: DataFrame, cosine: float, sample_rows: int) -> DataF
                 batch = whole.filter(pa.array(sizes == width))
                 unit = _unit(_matrix(batch.column("embedding")))
                 bits = [r.codes(unit).reshape(len(unit), -1, length) @ weights for r in turns[int(width)]]
-                keys = np.concatenate(bits, axis=1)[:, :TABLES]
+                keys = np.concatenate(bits, axis=1)[:, :tables]
                 # Vectors of another width never meet.
                 keys = (keys + (np.int64(width) << np.int64(length))).tolist()
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int64()))], names=[*batch.schema.names, "keys"])
@@ -142,7 +196,7 @@ def linked_classes(classes: DataFrame, cosine: float, sample_rows: int) -> DataF
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn(
         "meeting", F.xxhash64("table", "key", F.least("block", "other"), F.greatest("block", "other"))
     ).withColumn("second", (F.col("block") > F.col("other")))
-    groups = max(1, total * TABLES // 8_000 + 1)
+    groups = max(1, total * tables // 8_000 + 1)
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by([("meeting", "ascending"), ("second", "ascending"), ("class_id", "ascending")])
@@ -184,7 +238,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, sample_rows: int =
     Equal vectors are one class, so copies are never compared. A class stands in each
     table under one part of its code; the classes of a key are compared, in blocks of
     bounded size, by their original vectors in double precision. No key, block or link
-    is capped; a pair is missed only if its codes differ in every part.
+    is capped; a pair is missed only if its codes differ in every part. The number of
+    tables follows from the length of the keys, so that about RECALL of the pairs at the
+    limit are found whatever the number of rows; nearer pairs are missed less often.
 
     ``n_links`` counts the other rows linked directly, ``component_id`` is the smallest
     vec_id that links reach, ``kept`` marks it. Vectors that are null, empty, zero or

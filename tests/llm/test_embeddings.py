@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from newsloom.llm import embeddings
 
@@ -45,6 +46,27 @@ def test_one_large_cluster_in_many_blocks(spark, monkeypatch):
     assert {r.n_links for r in got} == {149}
 
 
+@pytest.mark.parametrize("bundle", [0.0, 1.5])
+def test_pairs_at_the_limit_with_the_keys_of_ten_million_rows(spark, monkeypatch, bundle):
+    rng = np.random.default_rng(3)
+    pairs, width = 600, 64
+    one = rng.normal(size=(pairs, width)) / width**0.5
+    one[:, 0] += bundle
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    aside = rng.normal(size=one.shape)
+    aside -= (aside * one).sum(axis=1, keepdims=True) * one
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9, 0.93, (pairs, 1)) + 1e-9
+    other = cosine * one + np.sqrt(1 - cosine**2) * aside
+    vectors = list(enumerate(np.concatenate([one, other])))
+    monkeypatch.setattr(embeddings, "KEY_BITS", np.log2(len(vectors)) - np.log2(10_000_000) + 4)
+    want = expected(vectors)
+    got = {r.vec_id: r for r in embeddings.near_vectors(table(spark, vectors)).collect()}
+    assert sum(n for n, _ in want.values()) >= 2 * pairs
+    assert all(got[i].n_links <= n for i, (n, _) in want.items())
+    assert sum(r.n_links for r in got.values()) >= 0.9 * sum(n for n, _ in want.values())
+
+
 def test_hard_vectors(spark):
     nan, inf = float("nan"), float("inf")
     vectors = [
