@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,15 +14,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import arrow_rows, slices
+from newsloom.runtime import settle
 
-BITS = 18
+# Wide enough that the words of a long text do not meet the chosen features by chance of hashes.
+BITS = 31
 GRAMS = (4, 5, 6)
-# Bounds of the training sample: labelled rows per label, and bytes of a text in it.
+# Bounds of the training sample: labelled rows per label, and features that the fit uses.
 ROWS_PER_LABEL = 2_000
-TEXT_BYTES = 20_000
+FEATURES = 5_000
+# A feature counts in a document at most this often, in the fit and in scoring.
+MOST = 3
 
-# Words whose scores a task keeps; a full table starts anew.
+# Words whose features a task keeps; a full table starts anew.
 KNOWN_WORDS = 150_000
+# Words whose features are made at once.
+AT_ONCE = 20_000
 
 SCORED = "doc_id long, severity double, grade int, p_toxic double, toxic boolean"
 
@@ -54,6 +62,22 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (hashes >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(whose)
 
 
+def document_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The features of a document's distinct words, and how often each is there."""
+    features, counts = np.zeros(0, np.int64), np.zeros(0)
+    for at in range(0, len(words), AT_ONCE):
+        fresh, times = np.unique(word_features(words[at : at + AT_ONCE])[0], return_counts=True)
+        features, place = np.unique(np.concatenate([features, fresh]), return_inverse=True)
+        counts = np.bincount(place, np.concatenate([counts, times]))
+    return features, counts
+
+
+def places(features: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Where each feature stands in the sorted ``known``, -1 where it does not."""
+    place = np.minimum(np.searchsorted(known, features), len(known) - 1)
+    return np.where(known[place] == features, place, -1) if len(known) else np.full(len(features), -1)
+
+
 def words_of(text: str) -> set[str]:
     """Distinct lower-case words; the marks at the ends of a word are cut off."""
     return {w for w in (x.strip(".,;:!?\"'()[]|*#%&$^") for x in text.lower().replace("$", " ").replace("^", " ").split()) if w}
@@ -61,8 +85,12 @@ def words_of(text: str) -> set[str]:
 
 @dataclass
 class OrdinalModel:
-    """P(grade <= k) = sigmoid(bounds[k] - weights . features), one weight vector for all bounds."""
+    """P(grade <= k) = sigmoid(bounds[k] - weights . features), one weight vector for all bounds.
 
+    ``features`` are those with a weight, sorted; all others weigh nothing.
+    """
+
+    features: np.ndarray
     weights: np.ndarray
     bounds: np.ndarray
     threshold: float = 0.5
@@ -72,55 +100,115 @@ class OrdinalModel:
         edges = np.concatenate([np.zeros((len(scores), 1)), below, np.ones((len(scores), 1))], axis=1)
         return np.diff(edges, axis=1)
 
-    def word_scores(self, words: list[str], at_once: int = 20_000) -> np.ndarray:
-        """Sum of the weights of each word's features."""
-        scores = [np.zeros(0)]
-        for first in range(0, len(words), at_once):
-            part = words[first : first + at_once]
-            features, owner = word_features(part)
-            scores.append(np.bincount(owner, self.weights[features], minlength=len(part)))
-        return np.concatenate(scores)
+    def word_parts(self, words: list[str]) -> list[tuple[int, ...]]:
+        """The places in ``features`` of each word's features."""
+        parts: list[tuple[int, ...]] = [()] * len(words)
+        for first in range(0, len(words), AT_ONCE):
+            features, owner = word_features(words[first : first + AT_ONCE])
+            features = places(features, self.features)
+            features, owner = features[features >= 0], owner[features >= 0]
+            order = np.argsort(owner, kind="stable")
+            whose, begins = np.unique(owner[order], return_index=True)
+            for word, held in zip(whose.tolist(), np.split(features[order], begins[1:])):
+                parts[first + word] = tuple(held.tolist())
+        return parts
+
+
+@dataclass
+class Sample:
+    """Labelled rows in order of their id: ``row`` numbers, and their features and words as a table."""
+
+    ids: np.ndarray
+    table: DataFrame
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+
+@dataclass
+class Entries:
+    """Counts of the chosen features in sampled rows, as a sparse matrix."""
+
+    rows: np.ndarray
+    columns: np.ndarray
+    values: np.ndarray
+    chosen: np.ndarray
+
+    def of(self, wanted: np.ndarray) -> Entries:
+        """The rows where ``wanted`` is true, numbered anew."""
+        some = wanted[self.rows]
+        return Entries((np.cumsum(wanted) - 1)[self.rows[some]], self.columns[some], self.values[some], self.chosen)
 
+    def scores(self, model: OrdinalModel, total: int) -> np.ndarray:
+        place = places(self.chosen, model.features)
+        weights = np.where(place >= 0, np.append(model.weights, 0.0)[place], 0.0)
+        return np.bincount(self.rows, self.values * weights[self.columns], minlength=total)
 
-def fit_ordinal(texts: list[str], grades: np.ndarray, l1: float = 6e-3, rounds: int = 300) -> OrdinalModel:
+
+def chosen_features(sample: Sample, toxic: np.ndarray, held: np.ndarray) -> Entries:
+    """The FEATURES that speak most for a toxic row, and their counts in every sampled row.
+
+    Each must stand in 1 % of the toxic rows, and eight times as often as in clean ones;
+    rows of ``held`` have no say. The rows that have a feature are counted by Spark, so the
+    driver holds the chosen features and their counts alone.
+    """
+    aside = frozenset(sample.ids[held].tolist())
+
+    def see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "found", 32 << 20):
+            listed = list(zip(*(batch.column(c).to_pylist() for c in ("row", "_toxic", "found"))))
+            for label in (0, 1):
+                raw = b"".join(f for row, t, f in listed if t == label and row not in aside)
+                features, counts = np.unique(np.frombuffer(raw, np.int32), return_counts=True)
+                columns = [features.astype(np.int64), counts * (1 - label), counts * label]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["feature", "clean", "toxic"])
+
+    parts = sample.table.select("row", "_toxic", "found").mapInArrow(see, "feature long, clean long, toxic long")
+    clean_rows, toxic_rows = np.bincount(toxic[~held], minlength=2).tolist()
+    share = lambda c, n: (F.col(c) + 0.5) / (n + 1)
+    lift = share("toxic", toxic_rows) / share("clean", clean_rows)
+    speaking = (
+        parts.groupBy("feature")
+        .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+        .where((F.col("toxic") >= max(3, 0.01 * toxic_rows)) & (lift >= 8))
+        .orderBy((F.log(lift) * F.sqrt(F.col("toxic") + F.col("clean"))).desc(), "feature")
+    )
+    chosen = np.array(sorted(r[0] for r in speaking.select("feature").limit(FEATURES).collect()), np.int64)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, values = [], []
+            for found, count in zip(batch.column("found").to_pylist(), batch.column("count").to_pylist()):
+                column = places(np.frombuffer(found, np.int32), chosen)
+                columns.append(column[column >= 0].astype(np.int32).tobytes())
+                values.append(np.frombuffer(count, np.uint8)[column >= 0].tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), pa.array(columns, pa.binary()), pa.array(values, pa.binary())], names=["row", "columns", "counts"]
+            )
+
+    picked = sample.table.select("row", "found", "count").mapInArrow(pick, "row long, columns binary, counts binary").toArrow()
+    number = {row: i for i, row in enumerate(sample.ids.tolist())}
+    order = np.argsort([number[r] for r in picked.column("row").to_pylist()])
+    columns = [np.frombuffer(picked.column("columns")[i].as_py(), np.int32) for i in order.tolist()]
+    values = [np.frombuffer(picked.column("counts")[i].as_py(), np.uint8) for i in order.tolist()]
+    owner = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
+    return Entries(owner, np.concatenate(columns), np.concatenate(values).astype(float), chosen)
+
+
+def fit_ordinal(entries: Entries | None, grades: np.ndarray, l1: float = 6e-3, rounds: int = 300) -> OrdinalModel:
     """Fit shared weights and ordered bounds by proximal gradient steps.
 
     A first fit with an L1 penalty picks features, a second one without it fits them.
     Weights stay at 0 or above: words raise a grade, and the many plain words of a
     long text cannot outweigh them.
 
-    A feature's value is the number of a document's distinct words that have it, 3 at most. The
-    5,000 features that speak most for a grade above 0 are used; each must stand in 1 % of
-    those rows, and eight times as often as in rows of grade 0. Without rows,
-    or with one grade alone, the model puts everything into that grade.
+    A feature's value is how often a document's distinct words have it, MOST at most.
+    Without rows, or with one grade alone, the model puts everything into that grade.
     """
     levels = int(grades.max()) + 1 if len(grades) else 1
-    weights = np.zeros(1 << BITS)
-    if levels < 2 or len(set(grades.tolist())) < 2:
-        return OrdinalModel(weights, np.full(max(levels - 1, 1), 20.0))
-    held = []
-    seen = np.zeros((2, 1 << BITS))
-    for text, grade in zip(texts, grades):
-        found, count = np.unique(word_features(sorted(words_of(text)))[0], return_counts=True)
-        held.append((found.astype(np.int32), np.minimum(count, 3).astype(np.uint8)))
-        seen[int(grade > 0), found] += 1
-    shares = (seen + 0.5) / (np.array([[np.sum(grades == 0)], [np.sum(grades > 0)]]) + 1)
-    apart = np.log(shares[1] / shares[0]) * np.sqrt(seen.sum(0))
-    apart[(seen[1] < max(3, 0.01 * np.sum(grades > 0))) | (shares[1] < 8 * shares[0])] = 0
-    chosen = np.flatnonzero(apart)[np.argsort(-apart[apart != 0], kind="stable")][:5000]
-    if not len(chosen):
-        chosen = np.argsort(-apart, kind="stable")[:1]
-    place = np.full(1 << BITS, -1)
-    place[chosen] = np.arange(len(chosen))
-    rows, columns, values = [], [], []
-    for row, (found, count) in enumerate(held):
-        column = place[found]
-        kept = column >= 0
-        columns.append(column[kept])
-        values.append(count[kept])
-        rows.append(np.full(int(kept.sum()), row))
-    del held
-    rows, columns, values = np.concatenate(rows), np.concatenate(columns), np.concatenate(values).astype(float)
+    if entries is None or levels < 2 or len(set(grades.tolist())) < 2:
+        return OrdinalModel(np.zeros(0, np.int64), np.zeros(0), np.full(max(levels - 1, 1), 20.0))
+    rows, columns, values, chosen = entries.rows, entries.columns, entries.values, entries.chosen
     times = lambda w: np.bincount(rows, values * w[columns], minlength=len(grades))
     back = lambda e: np.bincount(columns, values * e[rows], minlength=len(chosen))
 
@@ -160,44 +248,58 @@ def fit_ordinal(texts: list[str], grades: np.ndarray, l1: float = 6e-3, rounds:
             )
             bounds[k] += 2.0 * pull / len(grades)
         bounds = np.maximum.accumulate(bounds + np.arange(levels - 1) * 1e-6)
-    weights[chosen] = w
-    return OrdinalModel(weights, bounds)
+    return OrdinalModel(chosen[w != 0], w[w != 0], bounds)
 
 
-def severity_grades(texts: list[str], toxic: np.ndarray) -> np.ndarray:
+def severity_grades(sample: Sample, toxic: np.ndarray) -> np.ndarray:
     """Grades 0 to 2 from a 0/1 label: toxic rows split at the median number of marked words.
 
     Marked are words that stand in at least three toxic rows and ten times as often
     in toxic rows as in clean ones. Without a marked word a toxic row has grade 1.
     """
-    from collections import Counter
-
-    counts = (Counter(), Counter())
-    sets = [words_of(t) for t in texts]
-    for words, label in zip(sets, toxic):
-        counts[int(label)].update(words)
     ratio = (np.sum(toxic == 0) + 1) / (np.sum(toxic == 1) + 1)
-    marked = {w for w, n in counts[1].items() if n >= 3 and n * ratio >= 10 * (counts[0][w] + 0.1)}
-    count = np.array([len(words & marked) for words in sets])
+    words = sample.table.select("row", "_toxic", F.explode("words").alias("word"))
+    rows = words.groupBy("word").agg(F.sum("_toxic").alias("n"), F.sum(1 - F.col("_toxic")).alias("clean"))
+    marked = rows.where((F.col("n") >= 3) & (F.col("n") * float(ratio) >= 10 * (F.col("clean") + 0.1))).select("word")
+    held = words.where("_toxic = 1").join(marked, "word").groupBy("row").count()
+    counts = {r[0]: r[1] for r in held.collect()}
+    count = np.array([counts.get(row, 0) for row in sample.ids.tolist()])
     middle = np.median(count[toxic == 1]) if (toxic == 1).any() else 0.0
     return np.where(toxic == 1, 1 + (count > middle), 0)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LABEL) -> tuple[list[str], np.ndarray]:
-    """At most ``rows_per_label`` labelled texts for each label, the first in hash order, up to TEXT_BYTES each."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LABEL) -> tuple[Sample, np.ndarray]:
+    """At most ``rows_per_label`` labelled documents for each label, the first in hash order, of any length.
+
+    Texts become features and words where they are; the driver gets numbers of rows and labels.
+    """
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("_toxic"))
-    usable = (
-        docs.select("doc_id", "text")
-        .where(f"doc_id IS NOT NULL AND octet_length(text) BETWEEN 1 AND {TEXT_BYTES}")
-        .select("doc_id")
-        .join(known, "doc_id")
-    )
+    full = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND octet_length(text) >= 1")
+    usable = full.select("doc_id").join(known, "doc_id")
     order = F.xxhash64("doc_id")
     first = [usable.where(F.col("_toxic") == x).orderBy(order, "doc_id").limit(rows_per_label) for x in (0, 1)]
     chosen = first[0].union(first[1]).dropDuplicates(["doc_id"])
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(f"octet_length(text) <= {TEXT_BYTES}")
-    table = rows.select("doc_id", "text", "_toxic").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return table.column("text").to_pylist(), np.array(table.column("_toxic").to_pylist(), np.int64)
+    rows = full.join(F.broadcast(chosen), "doc_id").select("doc_id", "_toxic", "text", F.xxhash64("text").alias("print"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            found, counts, listed = [], [], []
+            for text in batch.column("text").to_pylist():
+                words = sorted(words_of(text))
+                features, times = document_features(words)
+                found.append(features.astype(np.int32).tobytes())
+                counts.append(np.minimum(times, MOST).astype(np.uint8).tobytes())
+                listed.append(words)
+            columns = [pa.array(found, pa.binary()), pa.array(counts, pa.binary()), pa.array(listed, pa.list_(pa.string()))]
+            kept = [batch.column(c) for c in ("doc_id", "_toxic", "print")]
+            yield pa.RecordBatch.from_arrays([*kept, *columns], names=["doc_id", "_toxic", "print", "found", "count", "words"])
+
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _toxic int, print long, found binary, count binary, words array<string>"
+    table = settle(rows.mapInArrow(read, schema).withColumn("row", F.monotonically_increasing_id()), "labelled-sample")
+    order = [("doc_id", "ascending"), ("print", "ascending"), ("row", "ascending")]
+    listed = table.select("doc_id", "print", "row", "_toxic").toArrow().sort_by(order)
+    ids, toxic = (np.array(listed.column(c).to_pylist(), np.int64) for c in ("row", "_toxic"))
+    return Sample(ids, table), toxic
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LABEL) -> OrdinalModel:
@@ -206,13 +308,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_
     The threshold is the middle between the two nearest scores that separate the
     held-out labels with the fewest errors, clean rows weighing four times as much.
     """
-    texts, toxic = labelled_sample(docs, labels, rows_per_label)
-    grades = severity_grades(texts, toxic)
-    held = np.arange(len(texts)) % 5 == 4
-    if held.sum() < 10:
-        return fit_ordinal(texts, grades)
-    model = fit_ordinal([t for t, h in zip(texts, held) if not h], grades[~held])
-    chance = 1 - model.probabilities(document_scores(model, [t for t, h in zip(texts, held) if h]))[:, 0]
+    sample, toxic = labelled_sample(docs, labels, rows_per_label)
+    held = np.arange(len(sample)) % 5 == 4
+    held &= held.sum() >= 10
+    if not len(sample):
+        return fit_ordinal(None, toxic)
+    grades = severity_grades(sample, toxic)
+    entries = chosen_features(sample, toxic, held)
+    model = fit_ordinal(entries.of(~held), grades[~held])
+    if not held.any():
+        return model
+    chance = 1 - model.probabilities(entries.of(held).scores(model, int(held.sum())))[:, 0]
     wrong = lambda t: 4 * np.sum((chance >= t) & (toxic[held] == 0)) + np.sum((chance < t) & (toxic[held] == 1))
     tried = np.linspace(0.1, 0.9, 81)
     errors = np.array([wrong(t) for t in tried])
@@ -220,13 +326,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_
     return model
 
 
-def document_scores(model: OrdinalModel, texts: list[str], known: dict[str, float] | None = None) -> np.ndarray:
-    """Sum of the scores of each document's distinct words; each new word is scored once."""
+def document_scores(model: OrdinalModel, texts: list[str], known: dict[str, tuple[int, ...]] | None = None) -> np.ndarray:
+    """Sum of weights times counts in each document's distinct words, a count MOST at most as in the fit."""
     known = {} if known is None else known
     sets = [words_of(t) for t in texts]
     new = sorted(set().union(*sets) - known.keys()) if sets else []
-    known.update(zip(new, model.word_scores(new).tolist()))
-    return np.array([math.fsum(map(known.__getitem__, words)) for words in sets])
+    known.update(zip(new, model.word_parts(new)))
+    counts = [Counter(chain.from_iterable(map(known.__getitem__, words))) for words in sets]
+    return np.array([math.fsum(min(n, MOST) * model.weights[f] for f, n in count.items()) for count in counts])
 
 
 def score_toxicity(docs: DataFrame, model: OrdinalModel) -> DataFrame:
@@ -240,7 +347,7 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     schema = arrow_rows(SCORED)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
+        known: dict[str, tuple[int, ...]] = {}
         for batch in slices(batches, "text"):
             if len(known) > KNOWN_WORDS:
                 known.clear()
@@ -259,7 +366,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit_toxicity(docs, labels)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
+        known: dict[str, tuple[int, ...]] = {}
         for batch in slices(batches, "text"):
             if len(known) > KNOWN_WORDS:
                 known.clear()

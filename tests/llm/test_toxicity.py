@@ -54,3 +54,34 @@ def test_hard_rows(spark, hard_docs, hard_rows, no_docs):
     assert toxicity.score_toxicity(no_docs, model).count() == 0
     odd = spark.createDataFrame([(None, 1), (1, None), (2, 7), (10**12, 1)], "doc_id long, toxic int")
     assert not any(r.toxic for r in toxicity.score_toxicity(hard_docs, toxicity.fit_toxicity(hard_docs, odd)).collect())
+
+
+def test_long_clean_documents_stay(spark):
+    rng = np.random.default_rng(8)
+    rows, _, labels = corpus(spark)
+    rare = [" ".join("".join(rng.choice(list("abcdeimnorstuwhlc"), 7)) for _ in range(20_000)) for _ in range(21)]
+    # Some clean documents are long in training too; their labels are there already.
+    clean = [i for i, _ in rows if i % 3][:18]
+    train = spark.createDataFrame([(i, t) for i, t in rows if i not in clean] + list(zip(clean, rare)), "doc_id long, text string")
+    model = toxicity.fit_toxicity(train, labels)
+    said = {r.doc_id: r.toxic for r in toxicity.score_toxicity(spark.createDataFrame(list(enumerate(rare[18:])), "doc_id long, text string"), model).collect()}
+    assert not any(said.values())
+    found = {r.doc_id for r in toxicity.score_toxicity(train, model).where("toxic").collect()}
+    assert len(found & {i for i, _ in rows if i % 3 == 0}) > 100
+
+
+def test_scores_cap_features_as_the_fit_does():
+    words = [f"idiot{a}{b}" for a in "qwzx" for b in "qwzxjk"]
+    stem = np.intersect1d(*(toxicity.word_features([w])[0] for w in (words[0], words[-1])))
+    model = toxicity.OrdinalModel(stem, np.ones(len(stem)), np.array([1.0]))
+    few, many = toxicity.document_scores(model, [" ".join(words[:3]), " ".join(words)])
+    assert few == many == 3 * len(stem) > 0
+
+
+def test_sample_has_long_texts(spark):
+    rows, _, labels = corpus(spark)
+    long = [(i, t + " " + " ".join(f"plain{n}" for n in range(4_000)) if i % 3 else t) for i, t in rows]
+    assert max(len(t) for _, t in long) > 20_000
+    sample, toxic = toxicity.labelled_sample(spark.createDataFrame(long, "doc_id long, text string"), labels)
+    assert len(sample) == len(rows)
+    assert np.bincount(toxic).tolist() == [266, 134]
