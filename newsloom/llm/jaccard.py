@@ -388,11 +388,28 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     """The rows of ``docs`` whose id is the smallest of what links and equal sets reach.
 
     Rows without words or without an id stay; rows that repeat both id and text stay once.
+    Rows that share an id but not their set are decided each by its own set.
     """
-    found = document_components(jaccard_join(docs, words, percent))
-    dropped = settle(found.where("component_id < doc_id").select("doc_id").distinct(), "dropped")
+    joined = jaccard_join(docs, words, percent)
+    classed = joined.members.where("doc_id IS NOT NULL").join(joined.classes, "set_id", "left")
+    classed = settle(classed.select("doc_id", "n_shingles", "set_id", F.coalesce("class_id", "set_id").alias("class_id")), "classed")
+    least = classed.where("n_shingles > 0").groupBy("class_id").agg(F.min("doc_id").alias("least"))
+    judged = classed.join(least, "class_id", "left").select(
+        "doc_id", "set_id", ((F.col("n_shingles") > 0) & (F.col("least") < F.col("doc_id"))).alias("late")
+    )
+    dropped = judged.groupBy("doc_id").agg(F.max("late").alias("some"), F.min("late").alias("whole")).where("some")
+    dropped = settle(dropped.select("doc_id", "whole"), "dropped")
     gone = small_if_counted(dropped.select(F.col("doc_id").alias("_gone")), BROADCAST_IDS)
     kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    mixed_ids = dropped.where("NOT whole").select(F.col("doc_id").alias("_mixed"))
+    if not mixed_ids.isEmpty():
+        mixed = docs.join(mixed_ids, F.col("doc_id") == F.col("_mixed"), "left_semi")
+        mixed = settle(mixed.withColumn("_row", F.monotonically_increasing_id()), "mixed-ids")
+        described = describe_sets(mixed.select(F.col("_row").alias("doc_id"), "text"), words).where("token IS NULL")
+        late = judged.where("late").select(F.col("doc_id").alias("_id"), F.col("set_id").alias("_set")).distinct()
+        sets = described.select(F.col("doc_id").alias("_row"), F.col("set_id").alias("_own"))
+        stay = mixed.join(sets, "_row").join(late, (F.col("doc_id") == F.col("_id")) & (F.col("_own") == F.col("_set")), "left_anti")
+        kept = kept.unionByName(stay.select(*docs.columns))
     again = settle(
         kept.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "again"
     )

@@ -174,7 +174,10 @@ def repeated_starts(docs: DataFrame, regions: DataFrame, least: int, first_stays
                     yield from _batches(list(zip(*out[at : at + 4096])), names, types)
 
     def match(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc", "ascending"), ("crc", "ascending"), ("a", "ascending")])
+        table = table.sort_by([(c, "ascending") for c in ("doc", "crc", "a", "h")])
+        # Rows of equal names bring their regions again; such copies are settled by hash.
+        names = np.array([table.column(c).to_numpy() for c in ("doc", "crc", "a", "h")])
+        table = table.filter(pa.array(np.concatenate([[True], (names[:, 1:] != names[:, :-1]).any(axis=0)])))
         texts = table.column("bytes").to_pylist()
         a, b, doc, crc = (table.column(c).to_numpy() for c in ("a", "b", "doc", "crc"))
         counts = b - a + 1

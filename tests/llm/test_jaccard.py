@@ -73,3 +73,10 @@ def test_one_of_each(hard_docs, hard_rows):
 
 def test_no_rows(no_docs):
     assert found(no_docs) == []
+
+
+def test_one_of_each_decides_rows_of_one_id_apart(spark):
+    say = lambda name: " ".join(f"{name}{n}" for n in range(40))
+    rows = [(1, say("a")), (2, say("a")), (2, say("b")), (2, say("b")), (2, "two words"), (3, say("b")), (4, say("c")), (4, say("a"))]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(kept.collect()) == sorted([rows[0], rows[2], rows[4], rows[6]])

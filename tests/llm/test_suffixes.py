@@ -82,3 +82,14 @@ def test_columns_stay(hard_docs, hard_rows):
 def test_no_rows(no_docs):
     assert found(no_docs, 400) == []
     assert suffixes.without_repeats(no_docs, 40).count() == 0
+
+
+def test_repeated_rows_without_id_keep_their_first_passage(spark):
+    rng = np.random.default_rng(6)
+    say = lambda n: "".join(rng.choice(list("abcdefghij "), n))
+    passage = say(300)
+    first, later = say(150) + passage + say(150), say(150) + passage + say(150)
+    rows = [(None, first), (None, first), (5, later)]
+    cleaned = suffixes.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 240).collect()
+    assert [r.text for r in cleaned if r.doc_id is None] == [first, first]
+    assert all(len(r.text) < len(later) - 250 for r in cleaned if r.doc_id == 5)
