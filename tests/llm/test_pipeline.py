@@ -37,3 +37,11 @@ def test_no_documents(spark, no_docs):
     for _, stage in corpus_pipeline.STAGES:
         rows = stage(spark, empty, FOLDER)
         assert rows.count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_no_clean_document_is_dropped(spark):
+    docs, labels = spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/labels.parquet")
+    kept = corpus_pipeline.without_toxic(spark, docs, FOLDER)
+    gone = docs.join(kept.select("doc_id"), "doc_id", "left_anti").join(labels, "doc_id")
+    assert gone.where("toxic = 0").count() == 0
