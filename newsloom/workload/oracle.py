@@ -223,7 +223,8 @@ WHERE n <= 10""",
     "article_lookup": _with(ARTICLES, LISTS)
     + """
 SELECT k.link_hash, a.article_id IS NOT NULL AS found, a.link, a.headline,
-       a.date AS published_date, a.summarization,
+       a.date AS published_date,
+       CASE WHEN a.article_id IN (SELECT vec_id FROM embeddings) THEN a.summarization END AS summarization,
        CASE WHEN a.article_id IS NOT NULL THEN coalesce(t.tag_names, '') END AS tag_names,
        CASE WHEN a.article_id IS NOT NULL THEN coalesce(i.key_insights, '') END AS key_insights
 FROM (SELECT link_hash FROM articles UNION ALL SELECT md5(url) FROM pages) k

@@ -25,7 +25,3 @@ def spark(tmp_path_factory):
     yield prepare(session)
     session.stop()
 
-
-def plan_of(df) -> str:
-    """The physical plan before it runs."""
-    return df._jdf.queryExecution().executedPlan().toString()

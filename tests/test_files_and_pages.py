@@ -7,7 +7,7 @@ from newsloom.operators import extract, pages
 from newsloom.plans import preparation
 from newsloom.sources import jsonl
 
-from conftest import plan_of
+from spark_plans import plan_of
 from corpus import key
 
 

@@ -4,7 +4,7 @@ import pytest
 from newsloom.operators import cells, nearest as module
 from newsloom.operators.nearest import nearest
 
-from conftest import plan_of
+from spark_plans import plan_of
 
 
 def brute(ids, vectors, query, k):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from newsloom.operators.ingest import number_new
 from newsloom.operators.numbering import number_rows, range_bucket
 
-from conftest import plan_of
+from spark_plans import plan_of
 
 
 @pytest.mark.parametrize("spread", ["even", "crowded"])

@@ -4,7 +4,7 @@ import pytest
 
 from newsloom.operators import tag_match
 
-from conftest import plan_of
+from spark_plans import plan_of
 
 
 @pytest.mark.parametrize("seed, k", [(1, 1), (2, 3), (3, 10), (4, 1000)])

@@ -14,7 +14,7 @@ from newsloom.plans.single import article_by_link_hash, make_hashed_link, search
 from newsloom.plans.upload import upload, upload_files
 from newsloom.sources.store import Store, empty_store, open_store
 
-from conftest import plan_of
+from spark_plans import plan_of
 from corpus import articles, category_rows, key, summary_rows
 
 EMBEDDER = partial(HashedWords, 64)
@@ -287,3 +287,13 @@ def test_same_results_without_broadcasts(store, spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_lookup_of_an_article_without_vector(store):
+    """The summary comes from the embedding row: an article without one is found, summary null."""
+    from newsloom.plans import search
+
+    bare = store.articles.orderBy("article_id").first()
+    cut = Store(**{**vars(store), "embeddings": store.embeddings.where(F.col("article_id") != bare.article_id)})
+    row = search.lookup_articles(cut, store.articles.where(F.col("article_id") == bare.article_id).select("link_hash")).first()
+    assert row.found and row.link == bare.link and row.summarization is None
