@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import chat, embeddings, jaccard, merkle, packing, pieces, secrets, shards, suffixes, toxicity
+from newsloom.llm import chat, embeddings, jaccard, merkle, packing, pieces, secrets, shards, suffixes, toxicity, variants
 from newsloom.runtime import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,8 @@ def op9_suffixes(spark, table):
 @query
 def op10_vectors(spark, table):
     return embeddings.near_vectors(table("embeddings"))
+
+
+@query
+def op12_variants(spark, table):
+    return variants.spelling_variants(table("documents"))
