@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import alignment, chat, embeddings, jaccard, merkle, packing, pieces, secrets, shards, suffixes, toxicity, variants
+from newsloom.llm import alignment, chat, embeddings, jaccard, merkle, packing, pieces, private, secrets, shards, suffixes, toxicity, variants
 from newsloom.runtime import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,9 @@ def op12_variants(spark, table):
 @query
 def op13_alignment(spark, table):
     return alignment.alignment_digests(table("documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+@query
+def op11_private(spark, table):
+    documents = table("documents")
+    return private.private_digests(private.find_private(documents, private.fit_private(documents)))
