@@ -16,10 +16,10 @@ from newsloom.operators import audits, cells, extract, ingest, pages, requests,
 from newsloom.operators.insights import insights_per_article
 from newsloom.operators.nearest import nearest
 from newsloom.operators.search_requests import validate_lookups, validate_searches
-from newsloom.plans import preparation, search, upload
+from newsloom.plans import preparation, revisions, search, upload
 from newsloom.runtime import fresh_path, settle
 from newsloom.sources import jsonl
-from newsloom.sources.store import Store, open_store
+from newsloom.sources.store import Store, append_run, compact, open_store
 from newsloom.streaming.arrivals import ingest_arrivals
 from newsloom.workload.adapters import STORED_BEFORE, Tables
 
@@ -283,6 +283,57 @@ def cascade_delete(t: Tables) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
+REVISED_AT = datetime(2024, 2, 1)
+
+
+def _changed_store(t: Tables) -> str:
+    """A store of all articles (run 0), then the summaries of articles labelled of low
+    quality revised (run 1), then the articles labelled toxic deleted (run 2)."""
+    path = fresh_path(t.spark, "store")
+    stamp = F.lit("2024-01-01").cast("timestamp_ntz")
+    rows = t.store()
+    append_run(Store(*[getattr(rows, n).withColumns({"created_at": stamp, "updated_at": stamp}) for n in Store.names()]), path, 0)
+    labels = t.read("labels")
+    low = t.articles().join(labels.where("quality = 0").select(F.col("doc_id").alias("article_id")), "article_id", "left_semi")
+    revised = low.select("article_id", F.concat("summarization", F.lit(" revised")).alias("summarization"))
+    revisions.revise_summaries(path, 1, revised, REVISED_AT, partial(HashedWords, VECTOR_WIDTH))
+    revisions.delete_articles(path, 2, labels.where("toxic = 1").select(F.col("doc_id").alias("article_id")))
+    return path
+
+
+@case
+def store_revisions(t: Tables) -> DataFrame:
+    """Embedding rows read back after revisions and deletions: texts, vectors and time stamps."""
+    store = open_store(t.spark, _changed_store(t))
+    numbers = F.transform("embedding", lambda x: F.round(x.cast("double") * 1e4).cast("bigint"))
+    return store.embeddings.select(
+        "article_id", "embedding_id", "summarization", shown(numbers, "embedding"),
+        F.col("created_at").cast("string").alias("created_at"), F.col("updated_at").cast("string").alias("updated_at"),
+    )
+
+
+@case
+def store_compaction(t: Tables) -> DataFrame:
+    """All rows of the five tables, by natural keys, after the changes are compacted into a base run."""
+    path = _changed_store(t)
+    compact(t.spark, path, 3, remove=True)
+    store = open_store(t.spark, path)
+    keys = store.articles.select("article_id", "link_hash")
+    stamp = lambda c: F.col(c).cast("string")
+    parts = {
+        "articles": store.articles.select("link_hash", F.concat_ws("|", "link", "headline", F.col("date").cast("string")).alias("value")),
+        "tags": store.tags.select(F.lit("").alias("link_hash"), F.col("tag").alias("value")),
+        "article_tags": store.article_tags.join(keys, "article_id").join(store.tags, "tag_id").select("link_hash", F.col("tag").alias("value")),
+        "key_insights": store.key_insights.join(keys, "article_id").select("link_hash", F.col("key_insight").alias("value")),
+        "embeddings": store.embeddings.join(keys, "article_id").select(
+            "link_hash", F.concat_ws("|", "summarization", stamp("created_at"), stamp("updated_at")).alias("value")
+        ),
+    }
+    return reduce(
+        DataFrame.unionByName, [rows.select(F.lit(name).alias("table_name"), "link_hash", "value") for name, rows in parts.items()]
+    )
+
+
 # Preparation
 
 

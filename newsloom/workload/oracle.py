@@ -278,6 +278,52 @@ UNION ALL SELECT 'embeddings', link_hash, concat_ws('|', summarization, '64') FR
 UNION ALL SELECT DISTINCT 'tags', '', tag FROM words JOIN kept USING (article_id)
 UNION ALL SELECT 'article_tags', link_hash, tag FROM words JOIN kept USING (article_id) JOIN articles USING (article_id)
 UNION ALL SELECT 'key_insights', link_hash, key_insight
+FROM sentences JOIN kept USING (article_id) JOIN articles USING (article_id)""",
+    "store_revisions": _with(ARTICLES)
+    + """
+, stored AS (
+  SELECT a.article_id, a.summarization AS old_text, e.embedding
+  FROM articles a JOIN embeddings e ON e.vec_id = a.article_id
+  WHERE a.article_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)
+), revised AS (
+  SELECT article_id, old_text || ' revised' AS summarization FROM stored
+  WHERE old_text IS NOT NULL AND article_id IN (SELECT doc_id FROM labels WHERE quality = 0)
+), slots AS (
+  SELECT article_id, CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) % 64 AS slot, count(*) AS n
+  FROM (SELECT article_id, unnest(regexp_extract_all(lower(summarization), '[a-z0-9]+')) AS word FROM revised) x
+  GROUP BY 1, 2
+), lengths AS (
+  SELECT article_id, sqrt(CAST(sum(n * n) AS DOUBLE)) AS len FROM slots GROUP BY 1
+), vectors AS (
+  SELECT r.article_id,
+         string_agg(CAST(CAST(round(CAST(CAST(coalesce(s.n / l.len, 0) AS FLOAT) AS DOUBLE) * 1e4) AS BIGINT) AS VARCHAR),
+                    '|' ORDER BY g.slot) AS embedding
+  FROM revised r CROSS JOIN (SELECT unnest(range(64)) AS slot) g
+  LEFT JOIN slots s ON s.article_id = r.article_id AND s.slot = g.slot
+  LEFT JOIN lengths l ON l.article_id = r.article_id
+  GROUP BY 1
+)
+SELECT s.article_id, s.article_id AS embedding_id, coalesce(r.summarization, s.old_text) AS summarization,
+       coalesce(v.embedding, array_to_string(list_transform(s.embedding,
+         lambda x: CAST(round(CAST(CAST(x AS FLOAT) AS DOUBLE) * 1e4) AS BIGINT)), '|')) AS embedding,
+       '2024-01-01 00:00:00' AS created_at,
+       CASE WHEN r.article_id IS NULL THEN '2024-01-01 00:00:00' ELSE '2024-02-01 00:00:00' END AS updated_at
+FROM stored s LEFT JOIN revised r USING (article_id) LEFT JOIN vectors v USING (article_id)""",
+    "store_compaction": _with(ARTICLES, LISTS)
+    + """
+, kept AS (SELECT article_id FROM articles WHERE article_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL))
+SELECT 'articles' AS table_name, link_hash, concat_ws('|', link, headline, CAST(date AS VARCHAR)) AS value
+FROM articles JOIN kept USING (article_id)
+UNION ALL SELECT 'embeddings', link_hash,
+  concat_ws('|', CASE WHEN summarization IS NOT NULL AND article_id IN (SELECT doc_id FROM labels WHERE quality = 0)
+                      THEN summarization || ' revised' ELSE summarization END,
+            '2024-01-01 00:00:00',
+            CASE WHEN summarization IS NOT NULL AND article_id IN (SELECT doc_id FROM labels WHERE quality = 0)
+                 THEN '2024-02-01 00:00:00' ELSE '2024-01-01 00:00:00' END)
+FROM articles JOIN kept USING (article_id) WHERE article_id IN (SELECT vec_id FROM embeddings)
+UNION ALL SELECT DISTINCT 'tags', '', tag FROM words
+UNION ALL SELECT 'article_tags', link_hash, tag FROM words JOIN kept USING (article_id) JOIN articles USING (article_id)
+UNION ALL SELECT 'key_insights', link_hash, key_insight
 FROM sentences JOIN kept USING (article_id) JOIN articles USING (article_id)""",
     "embed_delta": _with(ARTICLES)
     + """
