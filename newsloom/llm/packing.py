@@ -22,7 +22,7 @@ TABLE_WORDS = 600_000
 
 # Chunks that the model's normaliser only lower-cases and whose words a pattern finds:
 # letters below U+0250 (but the dotted capital I), digits, and ASCII marks other than
-# the apostrophe and the signs of control tokens.
+# the apostrophe and the signs of control tokens; the lower-cased chunk must be such too.
 _LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-įı-ɏ"
 _MARKS = re.escape('!"#$%&()*+,-./:;=?@[\\]^_`{}~')
 _SIMPLE = re.compile(f"[{_LETTERS}0-9{_MARKS}]+")
@@ -50,7 +50,7 @@ class WordIds(dict):
 
     def __missing__(self, chunk: bytes) -> bytes:
         text = chunk.decode()
-        if not _SIMPLE.fullmatch(text):
+        if not (_SIMPLE.fullmatch(text) and _SIMPLE.fullmatch(text.lower())):
             ids = array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         elif text.isalpha():
             ids = self._word(text.lower())

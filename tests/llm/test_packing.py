@@ -78,3 +78,18 @@ def test_lengths_that_find_no_partner_are_left():
 
 def test_no_rows(no_docs, model):
     assert packing.pack_documents(no_docs, model).count() == 0
+
+
+def test_word_ids_equal_the_library_on_random_texts(model):
+    """Chunks of code points up to U+0260, capitals whose lower case lies beyond the
+    simple letters among them, give the library's ids."""
+    import random
+
+    library = Tokenizer.from_file(model)
+    ids = packing.WordIds(model)
+    rng = random.Random(4)
+    alphabet = [chr(c) for c in range(1, 0x261)] + ["Ə", "Ɛ", "Ʃ", " ", " ", "a", "e"]
+    texts = ["Əli, Əhməd.", "(Ɛkwe)", "$Ʃ"] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 30))) for _ in range(30_000)]
+    for text, got in zip(texts, ids.encode([t.encode() for t in texts])):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(got, "<u4").tolist() == [*want, packing.END_ID], repr(text)
