@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from newsloom.runtime import BROADCAST_BYTES, BROADCAST_IDS, settle, small
 
+# Shares of the tag sets of one request that are ranked apart before the last ranking.
+SHORTLIST_SHARES = 64
+
 
 @dataclass
 class Asked:
@@ -77,7 +80,8 @@ def best_tagged(carried: DataFrame, asked: Asked, k: int) -> DataFrame:
     sets_first = per_request.orderBy(F.desc("n_tags"), F.col("ids")[0])
     articles_first = per_request.orderBy(F.desc("n_tags"), "article_id")
     return (
-        matched.withColumn("_place", F.row_number().over(sets_first))
+        shortlist(matched, k)
+        .withColumn("_place", F.row_number().over(sets_first))
         .where(f"_place <= {k}")
         .select("query_id", "n_tags", "tag_names", F.explode("ids").alias("article_id"))
         .withColumn("_place", F.row_number().over(articles_first))
@@ -86,6 +90,23 @@ def best_tagged(carried: DataFrame, asked: Asked, k: int) -> DataFrame:
     )
 
 
+def shortlist(matched: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best tag sets of each request within each of SHORTLIST_SHARES shares.
+
+    Every set of a request's overall ``k`` best is among the ``k`` best of its share, so
+    the last ranking sees at most ``k`` x SHORTLIST_SHARES rows per request, however many
+    sets carry one frequent tag; the shares are ranked in tasks of their own.
+    """
+    share = F.pmod(F.xxhash64("carried"), F.lit(SHORTLIST_SHARES))
+    within = Window.partitionBy("query_id", "_share").orderBy(F.desc("n_tags"), F.col("ids")[0])
+    return (
+        matched.withColumn("_share", share)
+        .withColumn("_place", F.row_number().over(within))
+        .where(f"_place <= {k}")
+        .drop("_share", "_place")
+    )
+
+
 def own_tags(carried: DataFrame, pairs: DataFrame, asked: Asked) -> DataFrame:
     """(query_id, article_id, own_tags): requested tags of the given (query_id, article_id)
     pairs; pairs without any are left out. ``pairs`` carries its own broadcast hint."""

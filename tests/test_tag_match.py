@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from newsloom.operators import tag_match
 
@@ -54,3 +55,20 @@ def test_frequent_tags_are_cut_before_the_shuffle(spark):
     plan = plan_of(tag_match.best_tagged(carried, tag_match.Asked(rows, 1), 5))
     shuffle = plan.index("Exchange hashpartitioning(carried")
     assert "WindowGroupLimit" in plan[shuffle:]
+
+
+@pytest.mark.parametrize("requests", [10, 1_000])
+def test_rows_before_the_last_ranking_are_bounded(spark, requests):
+    """Many tag sets share one frequent tag: the last ranking sees at most k x requests x shares rows."""
+    k = 3
+    matched = spark.range(20_000).select(
+        (F.col("id") % requests).alias("query_id"),
+        F.array(F.lit(0), F.col("id")).alias("carried"),
+        F.array(F.col("id")).alias("ids"),
+        F.array(F.lit("frequent")).alias("tag_names"),
+        F.lit(1).alias("n_tags"),
+    )
+    kept = tag_match.shortlist(matched, k)
+    assert kept.count() <= k * requests * tag_match.SHORTLIST_SHARES
+    best = kept.groupBy("query_id").agg(F.min(F.col("ids")[0]).alias("first")).collect()
+    assert {r.query_id: r.first for r in best} == {q: q for q in range(requests)}
