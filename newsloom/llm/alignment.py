@@ -89,24 +89,33 @@ def refined_ends(coarse_start: np.ndarray, size: np.ndarray) -> np.ndarray:
     A token that starts a new coarse span starts where the span does; one that shares
     its span's start with the tokens before it follows them by their decoded lengths.
     """
-    ends = np.empty(len(size), np.int64)
-    at = 0
-    for k, (start, n) in enumerate(zip(coarse_start.tolist(), size.tolist())):
-        at = start if k == 0 or start != coarse_start[k - 1] else at
-        at += n
-        ends[k] = at
-    return ends
+    if not len(size):
+        return np.zeros(0, np.int64)
+    fresh = np.concatenate([[True], coarse_start[1:] != coarse_start[:-1]])
+    first = np.flatnonzero(fresh)
+    span = np.cumsum(fresh) - 1
+    total = np.cumsum(size)
+    before = total[first] - size[first]
+    return coarse_start[first][span] + total - before[span]
 
 
-def align(text: str, t: Tables) -> tuple | None:
+def _utf8_starts(text: str) -> np.ndarray:
+    """Byte offset of every code point of the text, and the length at the end."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    width = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+    return np.concatenate([[0], np.cumsum(width)])
+
+
+def align(text: str, t: Tables, enc=None, proto=None) -> tuple | None:
     """``(a_ids, b_ids, a_ends, b_ends)`` in bytes of space+text, or None when either
-    tokenizer's bytes do not join to space+text (or the text is empty)."""
+    tokenizer's bytes do not join to space+text (or the text is empty). ``enc`` and
+    ``proto`` are the libraries' encodings when they were made before."""
     if not text:
         return None
     target = np.frombuffer((" " + text).encode("utf-8", "surrogatepass"), np.uint8)
-    enc = t.a.encode(" " + text, add_special_tokens=False)
+    enc = t.a.encode(" " + text, add_special_tokens=False) if enc is None else enc
     a_ids = np.array(enc.ids, np.int64)
-    proto = t.b.encode(text, return_type="proto")
+    proto = t.b.encode(text, return_type="proto") if proto is None else proto
     spans = [(p.id, p.begin, p.end) for p in proto.pieces]
     b_ids = np.array([s[0] for s in spans], np.int64)
     for flat, starts, lengths, ids in ((t.a_flat, t.a_start, t.a_len, a_ids), (t.b_flat, t.b_start, t.b_len, b_ids)):
@@ -115,7 +124,7 @@ def align(text: str, t: Tables) -> tuple | None:
             return None
     # Coarse cuts in bytes of space+text: characters to bytes for A, the proto's spans for B
     # (moved by the space B puts first; its first piece starts at 0).
-    char_bytes = np.concatenate([[0], np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in " " + text])])
+    char_bytes = _utf8_starts(" " + text)
     a_coarse = char_bytes[np.array([o[0] for o in enc.offsets], np.int64)]
     b_coarse = np.array([s[1] + 1 for s in spans], np.int64)
     b_coarse[0] = 0
@@ -125,26 +134,29 @@ def align(text: str, t: Tables) -> tuple | None:
     return a_ids, b_ids, (a_ends if np.array_equal(a_ends, exact_a) else exact_a), (b_ends if np.array_equal(b_ends, exact_b) else exact_b)
 
 
-def describe(text: str | None, t: Tables) -> tuple[int, int, int, int, str, list[dict]]:
-    """Counts, the hash of the groups, and the distinct linked id pairs with their multiplicity."""
+def describe(text: str | None, t: Tables) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
+    """Counts, the hash of the groups, and the distinct linked id-pair keys (a * 65536 + b)
+    with their multiplicity."""
     found = align(text or "", t)
     if found is None:
-        return 0, 0, 0, 0, "", []
+        return 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
     a_ids, b_ids, a_ends, b_ends = found
     common = np.intersect1d(a_ends, b_ends, assume_unique=True)
-    a_cut = np.searchsorted(a_ends, common, "right")
-    b_cut = np.searchsorted(b_ends, common, "right")
-    a_words, b_words = list(map(str, a_ids.tolist())), list(map(str, b_ids.tolist()))
-    groups, a_at, b_at = [], 0, 0
-    for a_to, b_to in zip(a_cut.tolist(), b_cut.tolist()):
-        groups.append(",".join(a_words[a_at:a_to]) + "|" + ",".join(b_words[b_at:b_to]))
-        a_at, b_at = a_to, b_to
+    # Tokens in text order within each group, A before B: "a1,a2|b1;a3|b2,b3".
+    side = np.concatenate([2 * np.searchsorted(common, a_ends, "left"), 2 * np.searchsorted(common, b_ends, "left") + 1])
+    order = np.argsort(side, kind="stable")
+    key = side[order]
+    after = np.concatenate([key[1:], [-1]])
+    marks = np.where(after == key, ",", np.where(key % 2 == 0, "|", ";"))
+    marks[-1] = ""
+    shown = np.empty(2 * len(key), object)
+    shown[0::2] = np.concatenate([a_ids, b_ids]).astype(str)[order]
+    shown[1::2] = marks
     bounds = np.union1d(a_ends, b_ends)
     a_of, b_of = np.searchsorted(a_ends, bounds, "left"), np.searchsorted(b_ends, bounds, "left")
     keys, counts = np.unique(a_ids[a_of] * 65536 + b_ids[b_of], return_counts=True)
-    pairs = [{"a": int(k >> 16), "b": int(k & 65535), "m": int(c)} for k, c in zip(keys.tolist(), counts.tolist())]
-    digest = hashlib.sha256(";".join(groups).encode()).hexdigest()
-    return len(a_ids), len(b_ids), len(common), len(bounds), digest, pairs
+    digest = hashlib.sha256("".join(shown).encode()).hexdigest()
+    return len(a_ids), len(b_ids), len(common), len(bounds), digest, keys, counts
 
 
 def aligned_rows(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -155,10 +167,18 @@ def aligned_rows(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), *[(n, pa.int64()) for n in ("n_a", "n_b", "n_groups", "n_links")],
                             ("groups_sha256", pa.string()),
                             ("pairs", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("m", pa.int32())])))])
+        pair = schema.field("pairs").type
         for batch in slices(batches, "text"):
             out = [describe(text, t) for text in batch.column("text").to_pylist()]
+            keys = np.concatenate([np.zeros(0, np.int64), *[o[5] for o in out]])
+            offsets = np.concatenate([[0], np.cumsum([len(o[5]) for o in out])]).astype(np.int32)
+            items = pa.StructArray.from_arrays(
+                [pa.array((keys >> 16).astype(np.int32)), pa.array((keys & 65535).astype(np.int32)),
+                 pa.array(np.concatenate([np.zeros(0, np.int64), *[o[6] for o in out]]).astype(np.int32))],
+                fields=list(pair.value_type),
+            )
             columns = [batch.column("row"), batch.column("doc_id"), *[pa.array([o[k] for o in out], pa.int64()) for k in range(4)],
-                       pa.array([o[4] for o in out], pa.string()), pa.array([o[5] for o in out], schema.field("pairs").type)]
+                       pa.array([o[4] for o in out], pa.string()), pa.ListArray.from_arrays(pa.array(offsets), items, type=pair)]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
