@@ -242,11 +242,13 @@ def repeated_spans(docs: DataFrame, least: int = MIN_BYTES, first_stays: bool =
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """Name rows by id and checksum: ``doc`` (the least long for null), ``crc``."""
+    """Name rows by id and a 64-bit hash of text and length: ``doc`` (the least long for
+    null), ``crc``. Rows with one id and one text are one row to match (repeated rows)."""
+    text = F.coalesce("text", F.lit(""))
     return docs.withColumns(
         {
             "doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")),
-            "crc": F.crc32(F.coalesce("text", F.lit("")).cast("binary")),
+            "crc": F.xxhash64(text, F.octet_length(text)),
         }
     )
 

@@ -93,3 +93,42 @@ def test_repeated_rows_without_id_keep_their_first_passage(spark):
     cleaned = suffixes.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 240).collect()
     assert [r.text for r in cleaned if r.doc_id is None] == [first, first]
     assert all(len(r.text) < len(later) - 250 for r in cleaned if r.doc_id == 5)
+
+
+def forged(prefix: str, target: int) -> str:
+    """The prefix and eight letters of @..O whose crc32 is ``target`` (crc32 is affine in their low bits)."""
+    from zlib import crc32
+
+    def crc(bits: int) -> int:
+        return crc32((prefix + "".join(chr(0x40 + ((bits >> (4 * k)) & 15)) for k in range(8))).encode())
+
+    base = crc(0)
+    basis = []
+    for i in range(32):
+        v, m = crc(1 << i) ^ base, 1 << i
+        for w, n in basis:
+            if v ^ w < v:
+                v, m = v ^ w, m ^ n
+        if v:
+            basis = sorted([*basis, (v, m)], reverse=True)
+    want, x = target ^ base, 0
+    for w, n in basis:
+        if want ^ w < want:
+            want, x = want ^ w, x ^ n
+    assert want == 0
+    return prefix + "".join(chr(0x40 + ((x >> (4 * k)) & 15)) for k in range(8))
+
+
+def test_rows_with_one_id_and_one_crc32_are_told_apart(spark):
+    """Two null-id rows whose texts share a crc32: the clean one loses nothing."""
+    import random
+    from zlib import crc32
+
+    rng = random.Random(6)
+    passage = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(150))
+    dirty = passage + " x " + passage
+    clean = forged("".join(rng.choice("qrstuvwxyz ") for _ in range(300)), crc32(dirty.encode()))
+    assert crc32(clean.encode()) == crc32(dirty.encode())
+    docs = spark.createDataFrame([(None, dirty), (None, clean)], "doc_id long, text string")
+    rows = suffixes.repeat_digests(suffixes.remove_repeats(docs)).collect()
+    assert sorted(r.n_spans for r in rows) == [0, 2]
