@@ -68,11 +68,32 @@ def _escaped(part: Column) -> Column:
     return F.when(part.rlike(r"[^\x21-\x7e]|[\"<>]"), F.array_join(pieces, "")).otherwise(part)
 
 
+def without_dot_segments(path: Column) -> Column:
+    """The path with ``.`` and ``..`` segments (also as ``%2e``) resolved as RFC 3986 says:
+    ``..`` drops the segment before it but never the root, and a path ending in a dot
+    segment keeps its closing ``/``."""
+    parts = F.split(path, "/", -1)
+    lowered = lambda c: F.lower(c)
+    one = lambda c: lowered(c).isin(".", "%2e")
+    two = lambda c: lowered(c).isin("..", ".%2e", "%2e.", "%2e%2e")
+    kept = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda acc, c: F.when(one(c), acc)
+        .when(two(c), F.when(F.size(acc) > 1, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc))
+        .otherwise(F.array_append(acc, c)),
+    )
+    last = F.element_at(parts, -1)
+    closed = F.when(one(last) | two(last), F.array_append(kept, F.lit(""))).otherwise(kept)
+    return F.array_join(closed, "/")
+
+
 def normalized_link(link: Column) -> Column:
     """The link as the keying request spells it: scheme and host in lower case,
-    default port dropped, a bare host followed by ``/``; null when not valid.
+    default port dropped, a bare host followed by ``/``, dot segments of the path
+    resolved; null when not valid.
 
-    Dot segments and hosts outside ASCII stay as they are.
+    Hosts outside ASCII stay as they are (no punycode).
     """
     scheme, user, port = link_scheme(link), _part(link, 2), _part(link, 4)
     default = F.lit(False)
@@ -87,7 +108,7 @@ def normalized_link(link: Column) -> Column:
         F.when((port == "") | F.coalesce(default, F.lit(False)), "").otherwise(
             F.concat(F.lit(":"), port.try_cast("int").cast("string"))
         ),
-        F.when(path == "", "/").otherwise(_escaped(path)),
+        F.when(path == "", "/").otherwise(_escaped(without_dot_segments(path))),
         _escaped(_part(link, 6)),
         _escaped(_part(link, 7)),
     )

@@ -353,11 +353,12 @@ def link_keys(t: Tables) -> DataFrame:
 
 @case
 def link_parts(t: Tables) -> DataFrame:
-    """Page links with the host in capitals, some cut down to the bare host, some without scheme."""
+    """Page links with the host in capitals, some cut down to the bare host, some without
+    scheme, the others with dot segments before their path."""
     spelled = (
         F.when(F.col("page_id") % 3 == 0, F.regexp_extract("url", "^(https?://[^/]+)", 1))
         .when(F.col("page_id") % 3 == 1, F.regexp_replace("url", "^https?://", ""))
-        .otherwise(F.col("url"))
+        .otherwise(F.regexp_replace("url", "^(https?://[^/]+)/", "$1/./gone/../%2E%2e/"))
     )
     host = F.regexp_extract("url", "^https?://([^/]+)", 1)
     link = F.replace(spelled, host, F.upper(host))

@@ -129,3 +129,14 @@ def test_hashed_words_are_unit_vectors():
     assert abs((got[0] ** 2).sum() - 1) < 1e-12
     assert not got[1:].any()
     assert (got == HashedWords(32)(["two ONE two", "", ""])).all()
+
+
+def test_dot_segments(spark):
+    from newsloom.functions.links import without_dot_segments
+
+    cases = {
+        "/a/b/c/./../../g": "/a/g", "/a/b/../../../c": "/c", "/..": "/", "/a/.": "/a/", "/a/..": "/",
+        "/a/%2E%2e/b": "/b", "/a//b/../c": "/a//c", "/a/b": "/a/b", "": "", "/./x/../y/": "/y/",
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "path string").select("path", without_dot_segments(F.col("path")).alias("out"))
+    assert {r.path: r.out for r in rows.collect()} == cases
