@@ -65,11 +65,11 @@ ordered_lists AS (
 
 SEARCHES = """
 searches AS (
-  SELECT CAST(label AS BIGINT) AS query_id,
-         string_split(CASE label % 3 WHEN 0 THEN 'that,with,oner' WHEN 1 THEN 'nicht,pour,para'
+  SELECT CAST(vec_id AS BIGINT) AS query_id,
+         string_split(CASE vec_id % 3 WHEN 0 THEN 'that,with,oner' WHEN 1 THEN 'nicht,pour,para'
                       ELSE 'hector,achilles' END, ',') AS tags,
-         CAST(arg_min(embedding, vec_id) AS DOUBLE[]) AS query_vec
-  FROM embeddings GROUP BY label
+         CAST(embedding AS DOUBLE[]) AS query_vec
+  FROM embeddings WHERE vec_id % 50 = 0
 )"""
 
 MATCHES = """
