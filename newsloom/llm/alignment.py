@@ -13,6 +13,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -159,6 +160,95 @@ def describe(text: str | None, t: Tables) -> tuple[int, int, int, int, str, np.n
     return len(a_ids), len(b_ids), len(common), len(bounds), digest, keys, counts
 
 
+# Where both tokenizers must cut: before a space that follows some character and that a
+# character outside Unicode white space follows (fixed values: the White_Space property).
+CUT = re.compile("(?<=[\\s\\S]) (?=[^\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000])")
+# Bytes a task's table of aligned chunks may hold; a full table starts anew.
+TABLE_BYTES = 64 << 20
+
+
+def _ends(coarse: list[int], sizes: list[int]) -> list[int]:
+    """``refined_ends`` for the few tokens of a chunk."""
+    ends, at = [], 0
+    for k, (start, n) in enumerate(zip(coarse, sizes)):
+        at = (start if k == 0 or start != coarse[k - 1] else at) + n
+        ends.append(at)
+    return ends
+
+
+class ChunkTable(dict):
+    """Alignments of distinct chunks of text, each made once per task.
+
+    Neither tokenizer lets a token cross a cut of ``CUT``: there the byte-level
+    pre-tokenizer starts a word with its space and sentencepiece starts a piece with
+    U+2581. So a text's tokens are those of its chunks in turn, each chunk encoded as
+    space+chunk (A) and chunk (B, whose added space stands for the cut one).
+    """
+
+    def __init__(self, t: Tables) -> None:
+        super().__init__()
+        self.t, self.held = t, 0
+        self.a_bytes = [t.a_flat[a : a + n].tobytes() for a, n in zip(t.a_start.tolist(), t.a_len.tolist())]
+        self.b_bytes = [t.b_flat[a : a + n].tobytes() for a, n in zip(t.b_start.tolist(), t.b_len.tolist())]
+
+    def fill(self, chunks: set[str]) -> None:
+        missing = [c for c in chunks if c not in self]
+        if self.held > TABLE_BYTES:
+            self.clear()
+            self.held, missing = 0, list(chunks)
+        for at in range(0, len(missing), 4096):
+            part = missing[at : at + 4096]
+            encs = self.t.a.encode_batch([" " + c for c in part], add_special_tokens=False)
+            protos = self.t.b.encode(part, return_type="proto")
+            for chunk, enc, proto in zip(part, encs, protos):
+                found = self[chunk] = self._align(chunk, enc, proto)
+                self.held += 2 * len(chunk) + 120 + (0 if found is None else 8 * len(found[5]) + len(found[4]))
+
+    def _align(self, chunk: str, enc, proto):
+        target = (" " + chunk).encode("utf-8", "surrogatepass")
+        a_ids = enc.ids
+        pieces = [(p.id, p.begin) for p in proto.pieces]
+        b_ids = [p[0] for p in pieces]
+        if b"".join([self.a_bytes[i] for i in a_ids]) != target or b"".join([self.b_bytes[i] for i in b_ids]) != target:
+            return None
+        if chunk.isascii():
+            a_coarse = [o[0] for o in enc.offsets]
+        else:
+            starts = [0]
+            for c in " " + chunk:
+                starts.append(starts[-1] + len(c.encode("utf-8", "surrogatepass")))
+            a_coarse = [starts[o[0]] for o in enc.offsets]
+        b_coarse = [0] + [p[1] + 1 for p in pieces[1:]]
+        a_sizes = [len(self.a_bytes[i]) for i in a_ids]
+        b_sizes = [len(self.b_bytes[i]) for i in b_ids]
+        a_ends, b_ends = _ends(a_coarse, a_sizes), _ends(b_coarse, b_sizes)
+        if a_ends != list(accumulate(a_sizes)):
+            a_ends = list(accumulate(a_sizes))
+        if b_ends != list(accumulate(b_sizes)):
+            b_ends = list(accumulate(b_sizes))
+        groups, keys, i, j, a_from, b_from = [], [], 0, 0, 0, 0
+        while i < len(a_ends) and j < len(b_ends):
+            keys.append(a_ids[i] * 65536 + b_ids[j])
+            if a_ends[i] == b_ends[j]:
+                groups.append(",".join(map(str, a_ids[a_from : i + 1])) + "|" + ",".join(map(str, b_ids[b_from : j + 1])))
+                i, j, a_from, b_from = i + 1, j + 1, i + 1, j + 1
+            elif a_ends[i] < b_ends[j]:
+                i += 1
+            else:
+                j += 1
+        return len(a_ids), len(b_ids), len(groups), len(keys), ";".join(groups), np.array(keys, np.int64)
+
+
+def describe_chunked(text: str | None, table: ChunkTable) -> tuple:
+    """``describe`` from the chunks of the text, which ``table`` must hold."""
+    parts = [table[c] for c in CUT.split(text)] if text else [None]
+    if any(p is None for p in parts):
+        return 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys, counts = np.unique(np.concatenate([p[5] for p in parts]), return_counts=True)
+    digest = hashlib.sha256(";".join([p[4] for p in parts]).encode()).hexdigest()
+    return sum(p[0] for p in parts), sum(p[1] for p in parts), sum(p[2] for p in parts), sum(p[3] for p in parts), digest, keys, counts
+
+
 def aligned_rows(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """One row per document row, numbered, with its alignment (see ``alignment_digests``)."""
 
@@ -168,8 +258,11 @@ def aligned_rows(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                             ("groups_sha256", pa.string()),
                             ("pairs", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("m", pa.int32())])))])
         pair = schema.field("pairs").type
+        table = ChunkTable(t)
         for batch in slices(batches, "text"):
-            out = [describe(text, t) for text in batch.column("text").to_pylist()]
+            texts = batch.column("text").to_pylist()
+            table.fill({c for text in texts if text for c in CUT.split(text)})
+            out = [describe_chunked(text, table) for text in texts]
             keys = np.concatenate([np.zeros(0, np.int64), *[o[5] for o in out]])
             offsets = np.concatenate([[0], np.cumsum([len(o[5]) for o in out])]).astype(np.int32)
             items = pa.StructArray.from_arrays(
