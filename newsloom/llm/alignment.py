@@ -44,6 +44,10 @@ class Tables:
     """Byte strings of every id of both tokenizers, as one flat array with starts and lengths."""
 
     def __init__(self, a_path: str, b_path: str) -> None:
+        import os
+
+        # Tasks run side by side already; library threads would only add CPU time.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -199,7 +203,7 @@ class ChunkTable(dict):
         for at in range(0, len(missing), 4096):
             part = missing[at : at + 4096]
             encs = self.t.a.encode_batch([" " + c for c in part], add_special_tokens=False)
-            protos = self.t.b.encode(part, return_type="proto")
+            protos = self.t.b.encode(part, return_type="proto", num_threads=1)
             for chunk, enc, proto in zip(part, encs, protos):
                 found = self[chunk] = self._align(chunk, enc, proto)
                 self.held += 2 * len(chunk) + 120 + (0 if found is None else 8 * len(found[5]) + len(found[4]))
