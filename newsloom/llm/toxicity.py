@@ -305,8 +305,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows_per_label: int = RO
 def fit_toxicity(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LABEL) -> OrdinalModel:
     """Fit on four fifths of a bounded labelled sample, set the threshold on the last fifth.
 
-    The threshold is the middle between the two nearest scores that separate the
-    held-out labels with the fewest errors, clean rows weighing four times as much.
+    The threshold is the median of those of 81 even steps from 0.1 to 0.9 that make
+    the fewest held-out errors, a clean row wrongly rejected weighing four times as
+    much. With fewer than 10 held-out rows all rows fit and the threshold stays 0.5.
     """
     sample, toxic = labelled_sample(docs, labels, rows_per_label)
     held = np.arange(len(sample)) % 5 == 4
