@@ -141,7 +141,7 @@ def align(text: str, t: Tables, enc=None, proto=None) -> tuple | None:
 
 def describe(text: str | None, t: Tables) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
     """Counts, the hash of the groups, and the distinct linked id-pair keys (a * 65536 + b)
-    with their multiplicity."""
+    with their multiplicity, from the whole text at once: what ``describe_chunked`` must give."""
     found = align(text or "", t)
     if found is None:
         return 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -164,9 +164,11 @@ def describe(text: str | None, t: Tables) -> tuple[int, int, int, int, str, np.n
     return len(a_ids), len(b_ids), len(common), len(bounds), digest, keys, counts
 
 
-# Where both tokenizers must cut: before a space that follows some character and that a
-# character outside Unicode white space follows (fixed values: the White_Space property).
-CUT = re.compile("(?<=[\\s\\S]) (?=[^\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000])")
+# Where both tokenizers must cut: before a space between two characters outside Unicode
+# white space (fixed values: the White_Space property). A space after white space is
+# not a cut: sentencepiece may keep a run of blanks in one piece.
+_BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+CUT = re.compile(f"(?<=[^{_BLANKS}]) (?=[^{_BLANKS}])")
 # Bytes a task's table of aligned chunks may hold; a full table starts anew.
 TABLE_BYTES = 64 << 20
 
@@ -185,7 +187,7 @@ class ChunkTable(dict):
 
     Neither tokenizer lets a token cross a cut of ``CUT``: there the byte-level
     pre-tokenizer starts a word with its space and sentencepiece starts a piece with
-    U+2581. So a text's tokens are those of its chunks in turn, each chunk encoded as
+    U+2581 (a test compares chunked and whole texts on random texts). So a text's tokens are those of its chunks in turn, each chunk encoded as
     space+chunk (A) and chunk (B, whose added space stands for the cut one).
     """
 

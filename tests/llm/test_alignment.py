@@ -90,3 +90,19 @@ def test_refined_ends_follow_coarse_starts():
 
 def test_no_rows(spark, paths, no_docs):
     assert alignment.alignment_digests(no_docs, *paths).count() == 0
+
+
+def test_chunks_give_what_whole_texts_give(paths):
+    """No token of either library crosses a cut: chunk by chunk equals the whole text."""
+    import numpy as np
+
+    rng = random.Random(9)
+    alphabet = ["a", "b", "é", "日", "🎉", " ", " ", " ", "\t", "\n", "\x1c", "\xa0", "　", "'", ".", "9", "<|endoftext|>", "</s>"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 60))) for _ in range(3000)]
+    t = alignment.tables(*paths)
+    table = alignment.ChunkTable(t)
+    table.fill({c for text in texts for c in alignment.CUT.split(text)})
+    for text in texts:
+        chunked, whole = alignment.describe_chunked(text, table), alignment.describe(text, t)
+        assert chunked[:5] == whole[:5], repr(text)
+        assert np.array_equal(chunked[5], whole[5]) and np.array_equal(chunked[6], whole[6]), repr(text)
