@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.runtime import BROADCAST_BYTES, BROADCAST_IDS, settle, small
+from newsloom.runtime import BROADCAST_BYTES, BROADCAST_IDS, settle, small, small_if_counted
 
 # Shares of the tag sets of one request that are ranked apart before the last ranking.
 SHORTLIST_SHARES = 64
@@ -42,12 +42,28 @@ def tagged_rows(article_tags: DataFrame, asked: Asked) -> DataFrame:
 
 
 def tag_matches(tagged: DataFrame, asked: Asked) -> DataFrame:
-    """All matches: (query_id, article_id, tag_names), distinct tags in order."""
-    return (
-        tagged.join(asked.hinted(), "tag_id")
-        .groupBy("query_id", "article_id")
+    """All matches: (query_id, article_id, tag_names), distinct tags in order.
+
+    Articles that carry the same requested tags match alike, and so do requests for the
+    same tags. Each kind of article is matched with each kind of request once; the
+    matches, as many as requests times articles, come out of the last joins unshuffled.
+    """
+    carried = settle(carried_tags(tagged), "carried")
+    wanted = asked.rows.groupBy("query_id").agg(F.sort_array(F.collect_set(F.struct("tag", "tag_id"))).alias("wanted"))
+    wanted = settle(wanted, "wanted")
+    kinds = wanted.select("wanted").distinct().select("wanted", F.inline("wanted"))
+    alike = carried.select("carried").distinct().select("carried", F.explode("carried").alias("tag_id"))
+    matched = (
+        alike.join(kinds, "tag_id")
+        .groupBy("carried", "wanted")
         .agg(F.sort_array(F.collect_set("tag")).alias("tag_names"))
     )
+    matched = small_if_counted(settle(matched, "matched-kinds"))
+    return (
+        carried.join(matched, "carried")
+        .join(small(wanted, asked.at_most), "wanted")
+        .select("query_id", "article_id", "tag_names")
+    )
 
 
 def carried_tags(tagged: DataFrame) -> DataFrame:
