@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from newsloom import schemas
 from newsloom.functions.embedder import HashedWords
 from newsloom.operators import ingest
-from newsloom.runtime import BROADCAST_IDS, scratch, settle, small_if_counted
+from newsloom.runtime import scratch, settle
 from newsloom.sources.store import Store, append_run, complete_runs, empty_store, open_store
 
 
@@ -48,15 +48,10 @@ def revise_summaries(
 
 
 def delete_articles(path: str, run: int, gone: DataFrame) -> None:
-    """Tombstones for the articles (``article_id``) and, as a cascade, for their tag
-    links, insights and embedding rows; tags stay. Unknown ids change nothing."""
+    """Tombstones for the articles (``article_id``) that stand, as a cascade, for their tag
+    links, insights and embedding rows as well; tags stay. Unknown ids change nothing."""
     spark = gone.sparkSession
     _checked_run(spark, path, run)
     with scratch(spark):
-        store = open_store(spark, path, before_run=run)
-        ids = small_if_counted(settle(gone.select("article_id").where("article_id IS NOT NULL").distinct(), "gone"), BROADCAST_IDS)
-        deleted = {
-            name: getattr(store, name).join(ids, "article_id", "left_semi")
-            for name in ("articles", "article_tags", "key_insights", "embeddings")
-        }
-        append_run(empty_store(spark), path, run, deleted=deleted)
+        ids = settle(gone.select("article_id").where("article_id IS NOT NULL").distinct(), "gone")
+        append_run(empty_store(spark), path, run, gone=ids)

@@ -1,7 +1,7 @@
 """The five stored tables as Parquet folders, one subfolder per run.
 
 A run adds rows, new versions of stored rows (same natural key) or tombstones of
-stored rows. Readers resolve the newest version of every key that a change run
+stored rows; one tombstone of an article stands for its rows in every table. Readers resolve the newest version of every key that a change run
 touched: only the rows of change runs and the tombstones are shuffled, the rows of
 plain runs stream through a join with those keys. A compaction writes the resolved
 tables as a base run; readers start from the newest complete base.
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom import schemas
-from newsloom.runtime import BROADCAST_ROWS, small_if_counted
+from newsloom.runtime import BROADCAST_IDS, BROADCAST_ROWS, small_if_counted
 
 # Natural keys of the stored tables: a newer version of a row has the same key.
 KEYS = {
@@ -92,6 +92,20 @@ def _newest(spark: SparkSession, rows: DataFrame, path: str, name: str, changed:
     return rows.join(newest, keys, "left").where(alive).drop("_newest")
 
 
+def _of_living_articles(spark: SparkSession, rows: DataFrame, path: str, gone: list[int]) -> DataFrame:
+    """The rows whose article has no tombstone at their run or later. Only the ids of
+    deleted articles are held against the rows, which stay where they are."""
+    dead = (
+        spark.read.schema("article_id bigint, run bigint")
+        .option("basePath", f"{path}/cascade")
+        .parquet(*[f"{path}/cascade/run={r}" for r in gone])
+        .groupBy("article_id")
+        .agg(F.max("run").alias("_gone"))
+    )
+    dead = small_if_counted(dead, BROADCAST_IDS)
+    return rows.join(dead, "article_id", "left").where("_gone IS NULL OR run > _gone").drop("_gone")
+
+
 def open_store(spark: SparkSession, path: str, before_run: int | None = None) -> Store:
     """Read the completely written runs, optionally only those before a run, each key
     in its newest version and without the deleted ones."""
@@ -99,26 +113,33 @@ def open_store(spark: SparkSession, path: str, before_run: int | None = None) ->
     if not runs:
         return empty_store(spark)
     changed = [r for r in _marked(spark, path, "changes") if r in runs]
+    gone = [r for r in _marked(spark, path, "cascade") if r in runs]
     tables = []
     for name in Store.names():
         rows = spark.read.schema(f"{_columns(schemas.STORE[name])}, run bigint").parquet(f"{path}/{name}")
         rows = rows.where(F.col("run").isin(runs))
         if changed:
             rows = _newest(spark, rows, path, name, changed)
+        if gone and "article_id" in rows.columns:
+            rows = _of_living_articles(spark, rows, path, gone)
         tables.append(rows.select(*schemas.STORE[name].names))
     return Store(*tables)
 
 
-def append_run(rows: Store, path: str, run: int, deleted: dict[str, DataFrame] | None = None, changes: bool = False) -> None:
+def append_run(
+    rows: Store, path: str, run: int, deleted: dict[str, DataFrame] | None = None, changes: bool = False, gone: DataFrame | None = None
+) -> None:
     """Write the rows of one run. A repeated run replaces what it wrote before; a run
     that breaks off is not marked complete and readers pass over it.
 
     ``changes`` says that rows may be new versions of stored keys; ``deleted`` gives
-    tombstones (the key columns) per table. Either makes the run a change run.
+    tombstones (the key columns) per table. Either makes the run a change run. ``gone``
+    gives deleted articles (``article_id``): their rows of this run and before, in all tables.
     """
     spark = rows.articles.sparkSession
     files, mark = _marker(spark, path, str(run))
     files.delete(mark, False)
+    files.delete(_marker(spark, path, str(run), "cascade")[1], True)
     for name in Store.names():
         table = getattr(rows, name).select(*schemas.STORE[name].names)
         table.write.mode("overwrite").parquet(f"{path}/{name}/run={run}")
@@ -128,6 +149,8 @@ def append_run(rows: Store, path: str, run: int, deleted: dict[str, DataFrame] |
             keys = spark.createDataFrame([], schemas.STORE[name]) if keys is None else keys
             keys.select(*KEYS[name]).write.mode("overwrite").parquet(f"{path}/deleted/{name}/run={run}")
         files.create(_marker(spark, path, str(run), "changes")[1], True).close()
+    if gone is not None:
+        gone.select("article_id").write.mode("overwrite").parquet(f"{path}/cascade/run={run}")
     files.create(mark, True).close()
 
 
@@ -151,3 +174,4 @@ def compact(spark: SparkSession, path: str, run: int, remove: bool = False) -> N
             for name in Store.names():
                 files.delete(hadoop(f"{path}/{name}/run={r}"), True)
                 files.delete(hadoop(f"{path}/deleted/{name}/run={r}"), True)
+            files.delete(hadoop(f"{path}/cascade/run={r}"), True)

@@ -201,6 +201,13 @@ def ingest_key_insights(t: Tables) -> DataFrame:
     )
 
 
+def _tags_by_link(store: Store, keys: DataFrame) -> DataFrame:
+    """(link_hash, value): the tags of every article. The narrow pairs meet the tags first,
+    so that only tags are shuffled with them and the long link hashes once, at the end."""
+    tags = store.article_tags.select("article_id", "tag_id").join(store.tags.select("tag_id", "tag"), "tag_id")
+    return tags.join(keys, "article_id").select("link_hash", F.col("tag").alias("value"))
+
+
 @case
 def ingest_run(t: Tables) -> DataFrame:
     """Two uploads into a new store, the first one repeated: all rows by their natural keys."""
@@ -216,7 +223,7 @@ def ingest_run(t: Tables) -> DataFrame:
     parts = {
         "articles": store.articles.select("link_hash", F.concat_ws("|", "link", "headline", F.col("date").cast("string")).alias("value")),
         "tags": store.tags.select(F.lit("").alias("link_hash"), F.col("tag").alias("value")),
-        "article_tags": store.article_tags.join(keys, "article_id").join(store.tags, "tag_id").select("link_hash", F.col("tag").alias("value")),
+        "article_tags": _tags_by_link(store, keys),
         "key_insights": store.key_insights.join(keys, "article_id").select("link_hash", F.col("key_insight").alias("value")),
         "embeddings": store.embeddings.join(keys, "article_id").select(
             "link_hash", F.concat_ws("|", "summarization", F.size(vector).cast("string")).alias("value")
@@ -324,7 +331,7 @@ def store_compaction(t: Tables) -> DataFrame:
     parts = {
         "articles": store.articles.select("link_hash", F.concat_ws("|", "link", "headline", F.col("date").cast("string")).alias("value")),
         "tags": store.tags.select(F.lit("").alias("link_hash"), F.col("tag").alias("value")),
-        "article_tags": store.article_tags.join(keys, "article_id").join(store.tags, "tag_id").select("link_hash", F.col("tag").alias("value")),
+        "article_tags": _tags_by_link(store, keys),
         "key_insights": store.key_insights.join(keys, "article_id").select("link_hash", F.col("key_insight").alias("value")),
         "embeddings": store.embeddings.join(keys, "article_id").select(
             "link_hash", F.concat_ws("|", "summarization", stamp("created_at"), stamp("updated_at")).alias("value")
