@@ -37,11 +37,20 @@ def _shown(columns: list[str]) -> Column:
     return F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
 
 
+def _by_article(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The same keys, dealt by article: an article's rows, which lie together, are shuffled as one list."""
+    (other,) = (c for c in columns if c != "article_id")
+    held = rows.groupBy("article_id").agg(F.collect_list(other).alias("_held"))
+    return held.select("article_id", F.explode("_held").alias(other))
+
+
 def unique_audit(store: Store) -> DataFrame:
     """(rule, key, n_rows) of every key held by more than one row; null keys never clash."""
     found = []
     for rule, (table, columns) in {**UNIQUE, **PRIMARY}.items():
         rows = getattr(store, table).dropna(subset=columns)
+        if len(columns) > 1:
+            rows = _by_article(rows, columns)
         repeated = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
         found.append(repeated.select(F.lit(rule).alias("rule"), _shown(columns).alias("key"), "n_rows"))
     return reduce(DataFrame.unionByName, found)
