@@ -14,8 +14,7 @@ from newsloom.llm.common import RollingHash, components, mixed, slices
 from newsloom.runtime import BROADCAST_IDS, settle, small, small_if_counted
 
 WORDS, PERCENT = 5, 75
-# Bytes of text that a task hashes at once.
-SLICE = 1 << 20
+SLICE = 2 << 20
 # Shingles of different sets counted at once in a task, and how often one must be met to
 # count as frequent.
 COUNTED, FREQUENT = 2_000_000, 2
