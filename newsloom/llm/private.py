@@ -1,16 +1,17 @@
 """Personal data: fixed rules, and a character-level bidirectional LSTM with CRF transitions.
 
 The network is trained here, in numpy, on windows of a bounded sample of documents
-labelled with the rules' spans (B/I/O tags). It reads every candidate of a text: each
-``@`` with its unbroken run and each stretch of four or more digits joined by phone
-separators, with their surroundings. Long candidates are cut into windows that
-overlap by half; every window is decoded by Viterbi, and each character takes the tag
+labelled with the rules' spans (B/I/O tags): windows over candidates (each ``@`` with its
+unbroken run and each stretch of four or more digits joined by phone separators, with
+their surroundings) and over ordinary text. It reads every character of every text, in
+windows that overlap; each window is decoded by Viterbi, and each character takes the tag
 of the window in which it lies most central, so spans are reconciled over the whole text.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,12 +30,16 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 CARD_DIGITS, PHONE_DIGITS = (13, 19), (9, 15)
 
-# Candidates of the network and the context around them.
+# Candidates that the network learns from, and the context around them.
 AT_RUN = re.compile(r"[^\s@]*@[^\s]*")
 DIGITS = re.compile(r"[0-9](?:[\x20().+-]*[0-9])+")
 CONTEXT, WIDTH = 8, 48
 ALPHABET = "".join(map(chr, range(32, 127)))
 O, B, I = 0, 1, 2
+# Windows in which texts are read, and how far each starts after the one before. Batches of
+# windows are filled up to a multiple of FILLED rows, so that every row is computed alike.
+READ, READ_STEP = 192, 160
+READ_ROWS, FILLED = 1024, 64
 
 # Bounds of the training sample: documents searched, windows of each label.
 SAMPLE_DOCUMENTS = 20_000
@@ -67,7 +72,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches of the text the network reads: candidates with CONTEXT characters on
+    """Stretches of the text the network learns from: candidates with CONTEXT characters on
     each side, overlapping ones merged."""
     found = [m.span() for m in AT_RUN.finditer(text)] if "@" in text else []
     found += [m.span() for m in DIGITS.finditer(text) if sum(c.isdigit() for c in m[0]) >= 4]
@@ -80,12 +85,12 @@ def regions(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in merged]
 
 
-def window_starts(a: int, b: int) -> list[int]:
-    """Starts of windows of WIDTH over [a, b) that overlap by half; the last ends at b."""
-    if b - a <= WIDTH:
+def window_starts(a: int, b: int, width: int = WIDTH, step: int = WIDTH // 2) -> list[int]:
+    """Starts of windows over [a, b) that overlap, by half unless ``step`` says else; the last ends at b."""
+    if b - a <= width:
         return [a]
-    starts = list(range(a, b - WIDTH, WIDTH // 2))
-    return starts + [b - WIDTH]
+    starts = list(range(a, b - width, step))
+    return starts + [b - width]
 
 
 def codes(texts: list[str]) -> np.ndarray:
@@ -97,6 +102,12 @@ def codes(texts: list[str]) -> np.ndarray:
     return out
 
 
+def code_row(text: str) -> np.ndarray:
+    """The numbers of all characters of one text, as in ``codes``."""
+    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where((raw >= 32) & (raw < 127), raw - 32, len(ALPHABET)).astype(np.uint8)
+
+
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -205,24 +216,64 @@ class Tagger:
         grads["embed"] = embed
         return loss, grads
 
+    def _spoken(self, x_codes) -> np.ndarray:
+        """``emissions`` in single precision, one row per place and tag, nothing kept for gradients."""
+        p = {k: v.astype(np.float32) for k, v in self.p.items()}
+        n, steps = x_codes.shape
+        size, tags = p["wh_f"].shape[0], len(p["start"])
+        places = np.ascontiguousarray(x_codes.T).astype(np.intp)
+        u = np.zeros((steps, tags, n), np.float32) + p["out_bias"][None, :, None]
+        # A sigmoid is half a tanh of half its argument; so one tanh does for all gates.
+        half = np.repeat(np.array([0.5, 1], np.float32), [3 * size, size])
+        ways = (("f", p["out"][:size], range(steps), 1), ("b", p["out"][size:], range(steps - 1, -1, -1), -1))
+        for way, out, order, ahead in ways:
+            seen = (p["embed"] @ p[f"wx_{way}"] + p[f"bias_{way}"]) * half
+            # The last state's emissions come with the next step's gates.
+            both = np.ascontiguousarray(np.concatenate([p[f"wh_{way}"] * half, out], axis=1).T)
+            h, c = np.zeros((size, n), np.float32), np.zeros((size, n), np.float32)
+            read, said = np.empty((n, 4 * size), np.float32), np.empty((len(both), n), np.float32)
+            for t in order:
+                np.matmul(both, h, out=said)
+                if t != order[0]:
+                    u[t - ahead] += said[4 * size :]
+                np.take(seen, places[t], axis=0, out=read, mode="clip")
+                z = said[: 4 * size]
+                z += read.T
+                np.tanh(z, out=z)
+                gates = z[: 3 * size]
+                gates *= 0.5
+                gates += 0.5
+                c *= gates[size : 2 * size]
+                c += gates[:size] * z[3 * size :]
+                np.multiply(gates[2 * size :], np.tanh(c), out=h)
+            u[order[-1]] += np.matmul(both, h)[4 * size :]
+        return u
+
     def decode(self, x_codes) -> np.ndarray:
         """The most likely tag sequence of each window (Viterbi)."""
         if not len(x_codes):
             return np.zeros((0, x_codes.shape[1]), np.int64)
-        u, _ = self.emissions(x_codes)
-        trans = self.p["trans"]
-        score = self.p["start"] + u[:, 0]
-        back = np.zeros(u.shape, np.int64)
-        for t in range(1, u.shape[1]):
-            total = score[:, :, None] + trans[None]
-            back[:, t] = total.argmax(1)
-            score = total.max(1) + u[:, t]
-        best = np.zeros(u.shape[:2], np.int64)
-        best[:, -1] = (score + self.p["end"]).argmax(1)
-        rows = np.arange(len(u))
-        for t in range(u.shape[1] - 1, 0, -1):
-            best[:, t - 1] = back[rows, t, best[:, t]]
-        return best
+        u = self._spoken(np.pad(x_codes, ((0, -len(x_codes) % FILLED), (0, 0))))
+        steps, tags, rows = u.shape
+        trans = self.p["trans"].astype(np.float32)
+        score = self.p["start"].astype(np.float32)[:, None] + u[0]
+        back = np.zeros(u.shape, np.uint8)
+        for t in range(1, steps):
+            fresh = np.empty_like(score)
+            for tag in range(tags):
+                top = score[0] + trans[0, tag]
+                for before in range(1, tags):
+                    other = score[before] + trans[before, tag]
+                    back[t, tag][other > top] = before
+                    top = np.maximum(top, other)
+                fresh[tag] = top
+            score = fresh + u[t]
+        best = np.zeros((steps, rows), np.int64)
+        best[-1] = (score + self.p["end"].astype(np.float32)[:, None]).argmax(0)
+        every = np.arange(rows)
+        for t in range(steps - 1, 0, -1):
+            best[t - 1] = back[t, best[t], every]
+        return best.T[: len(x_codes)]
 
 
 def fit_tagger(windows: list[str], tags: np.ndarray, rounds: int = 4, seed: int = 11) -> Tagger:
@@ -276,7 +327,8 @@ def _reshaped(text: str, a: int, b: int, turn: int) -> str:
 
 def labelled_windows(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS, sample_windows: int = SAMPLE_WINDOWS):
     """Windows over candidates of a bounded sample of documents (chosen by the hash of
-    their id), tagged with the rules' spans; ``SAMPLE_WINDOWS`` of each label at most."""
+    their id), and one of ordinary text from each, tagged with the rules' spans; ``SAMPLE_WINDOWS``
+    with spans, without, and of ordinary text at most."""
     share = max(1, -(-docs.count() // sample_documents))
     rows = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
 
@@ -287,6 +339,8 @@ def labelled_windows(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS,
                 if not text:
                     continue
                 spans = base_spans(text)
+                at = zlib.crc32(text.encode("utf-8", "surrogatepass")) % max(1, len(text) - WIDTH)
+                out.append((text[at : at + WIDTH], ",".join(map(str, _tags_of(text, at, spans))), 2))
                 for a, b in regions(text):
                     for s in window_starts(a, b):
                         tags = _tags_of(text, s, spans)
@@ -300,8 +354,8 @@ def labelled_windows(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS,
 
     found = rows.mapInArrow(look, "window string, tags string, found int").distinct()
     order = F.xxhash64("window", "tags")
-    chosen = [found.where(F.col("found") == s).orderBy(order, "window", "tags").limit(sample_windows) for s in (0, 1)]
-    return chosen[0].union(chosen[1]).toArrow().sort_by([("found", "ascending"), ("window", "ascending"), ("tags", "ascending")])
+    chosen = [found.where(F.col("found") == s).orderBy(order, "window", "tags").limit(sample_windows) for s in (0, 1, 2)]
+    return chosen[0].union(chosen[1]).union(chosen[2]).toArrow().sort_by([("found", "ascending"), ("window", "ascending"), ("tags", "ascending")])
 
 
 def fit_private(docs: DataFrame, **bounds: int) -> Tagger:
@@ -312,40 +366,51 @@ def fit_private(docs: DataFrame, **bounds: int) -> Tagger:
     return fit_tagger(windows, tags)
 
 
+def read_tags(texts: list[str], net: Tagger) -> list[np.ndarray]:
+    """The network's tag of every character of each text; nothing is passed over."""
+    starts = [window_starts(0, len(t), READ, READ_STEP) if t else [] for t in texts]
+    held, tags = [], []
+
+    def decode() -> None:
+        x = np.full((len(held), READ), len(ALPHABET) + 1, np.uint8)
+        for row, part in zip(x, held):
+            row[: len(part)] = part
+        tags.extend(net.decode(x).astype(np.uint8))
+        held.clear()
+
+    for text, firsts in zip(texts, starts):
+        row = code_row(text) if firsts else None
+        for s in firsts:
+            held.append(row[s : s + READ])
+            if len(held) == READ_ROWS:
+                decode()
+    if held:
+        decode()
+    # Of two windows that overlap, the one whose middle is nearer decides.
+    out, at = [], 0
+    for text, firsts in zip(texts, starts):
+        cuts = [0, *[(a + READ - 1 + b) // 2 + 1 for a, b in zip(firsts, firsts[1:])], len(text)]
+        parts = [tags[at + k][cuts[k] - s : cuts[k + 1] - s] for k, s in enumerate(firsts)]
+        out.append(np.concatenate([np.zeros(0, np.uint8), *parts]))
+        at += len(firsts)
+    return out
+
+
 def find_in(texts: list[str], net: Tagger) -> list[list[tuple[int, int, int]]]:
-    """The rules' spans and the network's other spans (kind 4) of each text."""
-    pending, owner = [], []
-    for number, text in enumerate(texts):
-        for a, b in regions(text):
-            for s in window_starts(a, b):
-                pending.append(text[s : s + WIDTH])
-                owner.append((number, a, b, s))
-    tags = np.concatenate([net.decode(codes(pending[i : i + 1024])) for i in range(0, len(pending), 1024)]) if pending else []
-    best: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]] = {}
-    for (number, a, b, s), row in zip(owner, tags):
-        kept, centre = best.setdefault((number, a, b), (np.zeros(b - a, np.int64), np.full(b - a, -1)))
-        lo, hi = s - a, min(s + WIDTH, b) - a
-        place = np.arange(lo, hi)
-        central = np.minimum(place - lo, s + WIDTH - 1 - (place + a))
-        better = central > centre[lo:hi]
-        kept[lo:hi][better] = row[: hi - lo][better]
-        centre[lo:hi][better] = central[better]
+    """The rules' spans and the network's other spans (kind 4) of each text, read whole."""
     results = []
-    for number, text in enumerate(texts):
-        spans = base_spans(text)
-        results.append(spans)
-    for (number, a, b), (kept, _) in best.items():
-        base = results[number]
-        at = None
-        for k, tag in enumerate([*kept.tolist(), O]):
-            if at is not None and tag != I:
-                x, y = a + at, a + k
+    for text, tags in zip(texts, read_tags(texts, net)):
+        base = base_spans(text)
+        added = []
+        if tags.any():
+            before = np.concatenate([[O], tags[:-1]])
+            outside = np.append(np.flatnonzero(tags != I), len(tags))
+            for x in np.flatnonzero((tags == B) | ((tags == I) & (before == O))).tolist():
+                y = int(outside[np.searchsorted(outside, x, "right")])
                 if y - x >= 2 and not any(p < y and x < q for p, q, _ in base):
-                    results[number] = results[number] + [(x, y, 4)]
-                at = None
-            if tag == B or (tag == I and at is None):
-                at = k
-    return [sorted(r, key=lambda s: (s[2], s[0])) for r in results]
+                    added.append((x, y, 4))
+        results.append(sorted(base + added, key=lambda s: (s[2], s[0])))
+    return results
 
 
 def find_private(docs: DataFrame, net: Tagger) -> DataFrame:

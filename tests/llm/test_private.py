@@ -102,3 +102,31 @@ def test_rows_and_digests(spark, hard_docs, hard_rows):
 def test_no_rows(spark, no_docs):
     net = private.fit_private(no_docs)
     assert private.find_private(no_docs, net).count() == 0
+
+
+def test_texts_are_read_whole():
+    """A network that marks everything marks all of a text without a digit or an ``@``."""
+    net = private.Tagger.new(seed=1)
+    net.p["out"][:] = 0
+    net.p["out_bias"][private.I] = 5.0
+    texts = ["plain words " * 70, "", "ab", "x" * private.READ]
+    assert private.find_in(texts, net) == [[(0, len(t), 4)] if t else [] for t in texts]
+
+
+def test_the_most_central_window_decides(monkeypatch):
+    monkeypatch.setattr(private, "READ", 12)
+    monkeypatch.setattr(private, "READ_STEP", 7)
+    net = private.Tagger.new(seed=5)
+    net.p["trans"] = np.random.default_rng(6).normal(0, 2, (3, 3))
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab 1@é日.") for _ in range(n)) for n in (1, 11, 12, 13, 20, 57, 300)]
+    for text, got in zip(texts, private.read_tags(texts, net)):
+        want, centre = [None] * len(text), [-1] * len(text)
+        for s in private.window_starts(0, len(text), 12, 7):
+            part = text[s : s + 12]
+            x = np.full((1, 12), len(private.ALPHABET) + 1)
+            x[0, : len(part)] = private.codes([part])[0, : len(part)]
+            for k, tag in enumerate(net.decode(x)[0, : len(part)].tolist()):
+                if min(k, 11 - k) > centre[s + k]:
+                    want[s + k], centre[s + k] = tag, min(k, 11 - k)
+        assert got.tolist() == want
