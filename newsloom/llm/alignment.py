@@ -3,7 +3,8 @@
 Coarse cuts come from the libraries' own spans: character offsets of ``tokenizers`` and
 the byte spans of sentencepiece's proto. Several tokens inside one coarse span (a
 character cut into bytes, byte-fallback pieces) are refined with the lengths of their
-decoded bytes. A task aligns whole texts with numpy; Spark counts the id pairs over
+decoded bytes. A task cuts texts into chunks, encodes many distinct ones as one text and
+aligns them with numpy, by the tokens' decoded lengths; Spark counts the id pairs over
 the corpus and brings the counts back to the documents.
 """
 
@@ -169,6 +170,9 @@ def describe(text: str | None, t: Tables) -> tuple[int, int, int, int, str, np.n
 # not a cut: sentencepiece may keep a run of blanks in one piece.
 _BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CUT = re.compile(f"(?<=[^{_BLANKS}]) (?=[^{_BLANKS}])")
+BLANK_END = re.compile(f"\\A[{_BLANKS}]|[{_BLANKS}]\\Z")
+# Chunks that are encoded as one text, and how few are encoded one by one when that fails.
+JOINED, FEW = 4096, 8
 # Bytes a task's table of aligned chunks may hold; a full table starts anew.
 TABLE_BYTES = 64 << 20
 
@@ -196,19 +200,84 @@ class ChunkTable(dict):
         self.t, self.held = t, 0
         self.a_bytes = [t.a_flat[a : a + n].tobytes() for a, n in zip(t.a_start.tolist(), t.a_len.tolist())]
         self.b_bytes = [t.b_flat[a : a + n].tobytes() for a, n in zip(t.b_start.tolist(), t.b_len.tolist())]
+        self.said = np.array([str(i) for i in range(max(len(t.a_len), len(t.b_len)))], object)
 
     def fill(self, chunks: set[str]) -> None:
         missing = [c for c in chunks if c not in self]
         if self.held > TABLE_BYTES:
             self.clear()
             self.held, missing = 0, list(chunks)
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            encs = self.t.a.encode_batch([" " + c for c in part], add_special_tokens=False)
-            protos = self.t.b.encode(part, return_type="proto", num_threads=1)
-            for chunk, enc, proto in zip(part, encs, protos):
-                found = self[chunk] = self._align(chunk, enc, proto)
-                self.held += 2 * len(chunk) + 120 + (0 if found is None else 8 * len(found[5]) + len(found[4]))
+        # A blank at the end of a chunk could run together with the space between two chunks, and
+        # U+2581 with it; chunks of plain letters are kept apart, as they never fail.
+        plain, odd, alone = [], [], []
+        for c in missing:
+            joins = c and "▁" not in c and not BLANK_END.search(c)
+            (alone if not joins else plain if c.isascii() and c.isprintable() else odd).append(c)
+        for group in (plain, odd):
+            for at in range(0, len(group), JOINED):
+                self._fill_joined(group[at : at + JOINED])
+        for at in range(0, len(alone), JOINED):
+            self._fill_alone(alone[at : at + JOINED])
+
+    def _keep(self, chunk: str, found: tuple | None) -> None:
+        self[chunk] = found
+        self.held += 2 * len(chunk) + 120 + (0 if found is None else 8 * len(found[5]) + len(found[4]))
+
+    def _fill_alone(self, part: list[str]) -> None:
+        encs = self.t.a.encode_batch([" " + c for c in part], add_special_tokens=False)
+        protos = self.t.b.encode(part, return_type="proto", num_threads=1)
+        for chunk, enc, proto in zip(part, encs, protos):
+            self._keep(chunk, self._align(chunk, enc, proto))
+
+    def _fill_joined(self, part: list[str]) -> None:
+        """Encode the chunks as one text, which has a cut between any two, and align all at once;
+        a text that is not given back byte for byte is tried in halves."""
+        found = self._align_joined(part)
+        if found is not None:
+            for chunk, one in zip(part, found):
+                self._keep(chunk, one)
+        elif len(part) <= FEW:
+            self._fill_alone(part)
+        else:
+            self._fill_joined(part[: len(part) // 2])
+            self._fill_joined(part[len(part) // 2 :])
+
+    def _align_joined(self, part: list[str]) -> list[tuple] | None:
+        t, text = self.t, " ".join(part)
+        a_ids = np.array(t.a.encode(" " + text, add_special_tokens=False).ids, np.int64)
+        b_ids = np.array(t.b.encode(text), np.int64)
+        target = np.frombuffer((" " + text).encode("utf-8", "surrogatepass"), np.uint8)
+        sizes = [len(c) if c.isascii() else len(c.encode("utf-8", "surrogatepass")) for c in part]
+        cuts = np.cumsum(np.array(sizes, np.int64) + 1)
+        a_ends, b_ends = np.cumsum(t.a_len[a_ids]), np.cumsum(t.b_len[b_ids])
+        for flat, starts, lengths, ids, ends in (
+            (t.a_flat, t.a_start, t.a_len, a_ids, a_ends), (t.b_flat, t.b_start, t.b_len, b_ids, b_ends)
+        ):
+            if not len(ends) or ends[-1] != len(target) or not np.array_equal(_joined(flat, starts, lengths, ids), target):
+                return None
+            if not np.array_equal(ends[np.searchsorted(ends, cuts)], cuts):
+                return None
+        bounds = np.union1d(a_ends, b_ends)
+        common = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        keys = a_ids[np.searchsorted(a_ends, bounds)] * 65536 + b_ids[np.searchsorted(b_ends, bounds)]
+        # Tokens in text order within each group, A before B; a line for each chunk.
+        side = np.concatenate([2 * np.searchsorted(common, a_ends), 2 * np.searchsorted(common, b_ends) + 1])
+        order = np.argsort(side, kind="stable")
+        side = side[order]
+        last = np.flatnonzero(np.append(side[1:] != side[:-1], True))
+        marks = np.full(len(side), ",", object)
+        marks[last] = np.where(side[last] % 2 == 0, "|", ";")
+        upto = np.searchsorted(common, cuts, "right")
+        marks[last[2 * upto - 1]] = "\n"
+        shown = np.empty(2 * len(side), object)
+        shown[0::2] = self.said[np.concatenate([a_ids, b_ids])[order]]
+        shown[1::2] = marks
+        lines = "".join(shown.tolist()).split("\n")
+        link_ends = np.searchsorted(bounds, cuts, "right")
+        counts = [np.diff(e, prepend=0).tolist() for e in (
+            np.searchsorted(a_ends, cuts, "right"), np.searchsorted(b_ends, cuts, "right"), upto, link_ends)]
+        parts = np.split(keys, link_ends[:-1])
+        return list(zip(*counts, lines, parts))
 
     def _align(self, chunk: str, enc, proto):
         target = (" " + chunk).encode("utf-8", "surrogatepass")
@@ -245,14 +314,15 @@ class ChunkTable(dict):
         return len(a_ids), len(b_ids), len(groups), len(keys), ";".join(groups), np.array(keys, np.int64)
 
 
-def describe_chunked(text: str | None, table: ChunkTable) -> tuple:
-    """``describe`` from the chunks of the text, which ``table`` must hold."""
-    parts = [table[c] for c in CUT.split(text)] if text else [None]
+def describe_chunked(text: str | None, table: ChunkTable, chunks: list[str] | None = None) -> tuple:
+    """``describe`` from the chunks of the text, which ``table`` must hold; ``chunks`` when it was cut before."""
+    parts = [table[c] for c in (CUT.split(text) if chunks is None else chunks)] if text else [None]
     if any(p is None for p in parts):
         return 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
-    keys, counts = np.unique(np.concatenate([p[5] for p in parts]), return_counts=True)
-    digest = hashlib.sha256(";".join([p[4] for p in parts]).encode()).hexdigest()
-    return sum(p[0] for p in parts), sum(p[1] for p in parts), sum(p[2] for p in parts), sum(p[3] for p in parts), digest, keys, counts
+    n_a, n_b, n_groups, n_links, groups, keys = zip(*parts)
+    keys, counts = np.unique(np.concatenate(keys), return_counts=True)
+    digest = hashlib.sha256(";".join(groups).encode()).hexdigest()
+    return sum(n_a), sum(n_b), sum(n_groups), sum(n_links), digest, keys, counts
 
 
 def aligned_rows(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -267,8 +337,9 @@ def aligned_rows(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         table = ChunkTable(t)
         for batch in slices(batches, "text"):
             texts = batch.column("text").to_pylist()
-            table.fill({c for text in texts if text for c in CUT.split(text)})
-            out = [describe_chunked(text, table) for text in texts]
+            chunks = [CUT.split(text) if text else [] for text in texts]
+            table.fill({c for cut in chunks for c in cut})
+            out = [describe_chunked(text, table, cut) for text, cut in zip(texts, chunks)]
             keys = np.concatenate([np.zeros(0, np.int64), *[o[5] for o in out]])
             offsets = np.concatenate([[0], np.cumsum([len(o[5]) for o in out])]).astype(np.int32)
             items = pa.StructArray.from_arrays(

@@ -106,3 +106,27 @@ def test_chunks_give_what_whole_texts_give(paths):
         chunked, whole = alignment.describe_chunked(text, table), alignment.describe(text, t)
         assert chunked[:5] == whole[:5], repr(text)
         assert np.array_equal(chunked[5], whole[5]) and np.array_equal(chunked[6], whole[6]), repr(text)
+
+
+def test_joined_chunks_give_what_single_chunks_give(paths, monkeypatch):
+    """Chunks encoded as one text equal chunks encoded alone, also beside ones that fail."""
+    import numpy as np
+
+    rng = random.Random(11)
+    letters = "abcdeé日'.9-" * 6 + "ﬁ①Å ▁\n"
+    chunks = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for _ in range(1500)]
+    chunks = sorted({c for text in chunks for c in alignment.CUT.split(text)} | {"</s>", "<|endoftext|>", "x" * 5000})
+    t = alignment.tables(*paths)
+    joined, single = alignment.ChunkTable(t), alignment.ChunkTable(t)
+    single._fill_alone(chunks)
+    calls = []
+    alone = joined._fill_alone
+    monkeypatch.setattr(joined, "_fill_alone", lambda part: (calls.extend(part), alone(part)))
+    joined.fill(set(chunks))
+    assert set(joined) == set(chunks) and joined.held == single.held
+    for c in chunks:
+        a, b = joined[c], single[c]
+        assert (a is None) == (b is None), repr(c)
+        assert a is None or (a[:5] == b[:5] and np.array_equal(a[5], b[5])), repr(c)
+    assert any(single[c] is None for c in chunks)
+    assert not any(c.isascii() and c.isprintable() and c == c.strip() for c in calls)
