@@ -39,7 +39,9 @@ O, B, I = 0, 1, 2
 # Windows in which texts are read, and how far each starts after the one before. Batches of
 # windows are filled up to a multiple of FILLED rows, so that every row is computed alike.
 READ, READ_STEP = 192, 160
-READ_ROWS, FILLED = 1024, 64
+READ_ROWS, FILLED = 512, 64
+# By how much a window must lie outside at every place to need no Viterbi: far more than rounding.
+SURE = 0.25
 
 # Bounds of the training sample: documents searched, windows of each label.
 SAMPLE_DOCUMENTS = 20_000
@@ -220,25 +222,30 @@ class Tagger:
         """``emissions`` in single precision, one row per place and tag, nothing kept for gradients."""
         p = {k: v.astype(np.float32) for k, v in self.p.items()}
         n, steps = x_codes.shape
-        size, tags = p["wh_f"].shape[0], len(p["start"])
+        size, depth, tags = p["wh_f"].shape[0], p["embed"].shape[1], len(p["start"])
         places = np.ascontiguousarray(x_codes.T).astype(np.intp)
         u = np.zeros((steps, tags, n), np.float32) + p["out_bias"][None, :, None]
         # A sigmoid is half a tanh of half its argument; so one tanh does for all gates.
         half = np.repeat(np.array([0.5, 1], np.float32), [3 * size, size])
         ways = (("f", p["out"][:size], range(steps), 1), ("b", p["out"][size:], range(steps - 1, -1, -1), -1))
         for way, out, order, ahead in ways:
-            seen = (p["embed"] @ p[f"wx_{way}"] + p[f"bias_{way}"]) * half
-            # The last state's emissions come with the next step's gates.
-            both = np.ascontiguousarray(np.concatenate([p[f"wh_{way}"] * half, out], axis=1).T)
-            h, c = np.zeros((size, n), np.float32), np.zeros((size, n), np.float32)
-            read, said = np.empty((n, 4 * size), np.float32), np.empty((len(both), n), np.float32)
+            # One product gives a step's gates, from the state before, the character and the bias, and
+            # the emissions of the state before.
+            both = np.zeros((4 * size + tags, size + depth + 1), np.float32)
+            both[: 4 * size, :size] = (p[f"wh_{way}"] * half).T
+            both[: 4 * size, size:-1] = (p[f"wx_{way}"] * half).T
+            both[: 4 * size, -1] = p[f"bias_{way}"] * half
+            both[4 * size :, :size] = out.T
+            given, c = np.zeros((size + depth + 1, n), np.float32), np.zeros((size, n), np.float32)
+            given[-1] = 1
+            h, read, said = given[:size], np.empty((n, depth), np.float32), np.empty((len(both), n), np.float32)
             for t in order:
-                np.matmul(both, h, out=said)
+                np.take(p["embed"], places[t], axis=0, out=read, mode="clip")
+                given[size:-1] = read.T
+                np.matmul(both, given, out=said)
                 if t != order[0]:
                     u[t - ahead] += said[4 * size :]
-                np.take(seen, places[t], axis=0, out=read, mode="clip")
                 z = said[: 4 * size]
-                z += read.T
                 np.tanh(z, out=z)
                 gates = z[: 3 * size]
                 gates *= 0.5
@@ -246,14 +253,37 @@ class Tagger:
                 c *= gates[size : 2 * size]
                 c += gates[:size] * z[3 * size :]
                 np.multiply(gates[2 * size :], np.tanh(c), out=h)
-            u[order[-1]] += np.matmul(both, h)[4 * size :]
+            u[order[-1]] += np.matmul(both, given)[4 * size :]
         return u
 
     def decode(self, x_codes) -> np.ndarray:
         """The most likely tag sequence of each window (Viterbi)."""
         if not len(x_codes):
             return np.zeros((0, x_codes.shape[1]), np.int64)
-        u = self._spoken(np.pad(x_codes, ((0, -len(x_codes) % FILLED), (0, 0))))
+        u = self._spoken(np.pad(x_codes, ((0, -len(x_codes) % FILLED), (0, 0))))[:, :, : len(x_codes)]
+        found = np.zeros((len(x_codes), len(u)), np.int64)
+        open_rows = np.flatnonzero(~self._outside(u))
+        if len(open_rows):
+            found[open_rows] = self._viterbi(np.ascontiguousarray(u[:, :, open_rows]))
+        return found
+
+    def _outside(self, u: np.ndarray) -> np.ndarray:
+        """Windows that no path can read better than the one that is outside at every place.
+
+        Each place's best step to another tag must lose to the step from outside to
+        outside, by more than rounding; then every other path loses in sum.
+        """
+        p = {k: self.p[k].astype(np.float32) for k in ("trans", "start", "end")}
+        into = p["trans"].max(0)[:, None] + u[1:]
+        best = np.concatenate([p["start"][:, None] + u[:1], into])
+        best[-1] += p["end"].max() - p["end"][O]
+        base = np.concatenate([p["start"][O] + u[:1, O], p["trans"][O, O] + u[1:, O]])
+        out_again = p["trans"][:, O].max() - p["trans"][O, O]
+        lead = base - np.delete(best, O, axis=1).max(1)
+        # A path may gain by coming back outside, at most once for each place it was away.
+        return (lead > max(0.0, float(out_again)) + SURE).all(0)
+
+    def _viterbi(self, u: np.ndarray) -> np.ndarray:
         steps, tags, rows = u.shape
         trans = self.p["trans"].astype(np.float32)
         score = self.p["start"].astype(np.float32)[:, None] + u[0]
@@ -273,7 +303,7 @@ class Tagger:
         every = np.arange(rows)
         for t in range(steps - 1, 0, -1):
             best[t - 1] = back[t, best[t], every]
-        return best.T[: len(x_codes)]
+        return best.T
 
 
 def fit_tagger(windows: list[str], tags: np.ndarray, rounds: int = 4, seed: int = 11) -> Tagger:

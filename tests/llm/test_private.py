@@ -45,6 +45,23 @@ def test_viterbi_equals_all_sequences():
         assert list(best) == got[r, :6].tolist()
 
 
+def test_sure_windows_need_no_viterbi(monkeypatch):
+    rng = np.random.default_rng(5)
+    net = private.Tagger.new(seed=5)
+    net.p["trans"], net.p["start"], net.p["end"] = rng.normal(0, 1, (3, 3)), rng.normal(0, 1, 3), rng.normal(0, 1, 3)
+    viterbi, asked = net._viterbi, []
+    monkeypatch.setattr(net, "_viterbi", lambda u: asked.append(u.shape[2]) or viterbi(u))
+    for lead in (0.0, 1.5, 3.0, 6.0):
+        net.p["out_bias"] = np.array([lead, 0.0, 0.0])
+        u = net._spoken(rng.integers(0, 97, (400, 12)).astype(np.uint8))
+        sure = net._outside(u)
+        assert not viterbi(u)[sure].any()
+    x = rng.integers(0, 97, (400, 12)).astype(np.uint8)
+    assert net.decode(x).shape == (400, 12) and sum(asked) < 400
+    net.p["out_bias"] = np.array([-9.0, 0.0, 0.0])
+    assert net.decode(x).all() and asked[-1] == 400
+
+
 def test_rules_as_stated():
     text = "mail a.b@x.org, ip 10.0.0.1 and 300.1.1.1, card 4111 1111 1111 1111, bad 4111 1111 1111 1112, call +1 (555) 010-9999 or +12 3"
     spans = private.base_spans(text)
