@@ -21,6 +21,9 @@ COUNTED, FREQUENT = 2_000_000, 2
 # Frequent shingles that go last in the order of prefixes. Any order gives whole
 # results, so a longer list would only save candidates.
 LAST_TOKENS = 1_000_000
+# Leading bits of shingles that deal them into arrays, at least; more in larger tables. Shingles
+# of a task that are dealt at once.
+HEAD_BITS, DEALT = 8, 1_000_000
 # Members of a group whose union is stored, and rows of a bucket that finds families.
 GROUP_SETS, FAMILY_SETS = 64, 256
 _SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -110,18 +113,25 @@ def describe_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.mapInArrow(describe, schema)
 
 
-def prefix_rows(docs: DataFrame, last: np.ndarray, met: np.ndarray, words: int, percent: int) -> DataFrame:
-    """``token, set_id, short`` for the shingles of each set's prefix.
+@dataclass
+class Prefixes:
+    """The first shingles of each set, in an order that puts frequent shingles last, and
+    others by their hash.
 
     Two sets that are alike enough share a shingle among the first
     ``n - ceil(p * n) + 1`` of each, where p is ``percent`` / 100, in any one order of
     all shingles; of the smaller set the first ``n - ceil(2p / (1 + p) * n) + 1`` will
-    do, which are marked ``short``. The order puts frequent shingles last, and others
-    by their hash.
+    do, which are marked ``short``.
     """
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
+    last: np.ndarray
+    met: np.ndarray
+    words: int
+    percent: int
+
+    def of(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Shingles, the ids of their sets, and whether they are short, slice by slice."""
+        shingler = Shingler(self.words)
         for batch in slices(batches, "text", SLICE):
             tokens, owners, shorts = [], [], []
             seen: set[int] = set()
@@ -132,20 +142,71 @@ def prefix_rows(docs: DataFrame, last: np.ndarray, met: np.ndarray, words: int,
                 if name in seen:
                     continue
                 seen.add(name)
-                size = len(s) + (-percent * len(s)) // 100 + 1
-                short = len(s) + (-2 * percent * len(s)) // (100 + percent) + 1
-                if len(last):
-                    place = np.minimum(np.searchsorted(last, s), len(last) - 1)
-                    rank = np.where(last[place] == s, met[place], 0)
+                size = len(s) + (-self.percent * len(s)) // 100 + 1
+                short = len(s) + (-2 * self.percent * len(s)) // (100 + self.percent) + 1
+                if len(self.last):
+                    place = np.minimum(np.searchsorted(self.last, s), len(self.last) - 1)
+                    rank = np.where(self.last[place] == s, self.met[place], 0)
                     s = s[np.argsort(rank, kind="stable")]
-                tokens.append(_long(s[:size]))
+                tokens.append(s[:size])
                 owners.append(np.full(min(size, len(s)), name, np.int64))
                 shorts.append(np.arange(min(size, len(s))) < short)
-            flat = [np.concatenate([np.zeros(0, k), *x]) for x, k in ((tokens, np.int64), (owners, np.int64), (shorts, bool))]
-            for first in range(0, len(flat[0]), 65_536):
+            yield tuple(np.concatenate([np.zeros(0, k), *x]) for x, k in ((tokens, np.uint64), (owners, np.int64), (shorts, bool)))
+
+
+def prefix_rows(docs: DataFrame, prefixes: Prefixes) -> DataFrame:
+    """``token, set_id, short`` for the shingles of each set's prefix."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tokens, owners, shorts in prefixes.of(batches):
+            flat = [_long(tokens), owners, shorts]
+            for first in range(0, len(tokens), 65_536):
                 yield pa.RecordBatch.from_arrays([pa.array(f[first : first + 65_536]) for f in flat], names=["token", "set_id", "short"])
 
-    return docs.mapInArrow(prefixes, "token long, set_id long, short boolean")
+    return docs.mapInArrow(rows, "token long, set_id long, short boolean")
+
+
+def met_again(docs: DataFrame, prefixes: Prefixes, bits: int) -> DataFrame:
+    """``head``: the first ``bits`` + 31 bits of each prefix shingle that is met again, at least once short.
+
+    A superset of the shingles that different sets share: copies of a text and shingles
+    that agree in their head are in it as well. Shingles travel as four bytes in arrays
+    per ``bits`` leading bits, each at most twice from a task's part, so that frequent
+    ones stay few.
+    """
+    low = np.uint64((1 << 32) - 1)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+
+        def part() -> pa.RecordBatch:
+            codes = np.sort(np.concatenate([np.zeros(0, np.uint64), *held]))
+            fresh = np.append(True, (codes[1:] | np.uint64(1)) != (codes[:-1] | np.uint64(1)))[: len(codes)]
+            codes = codes[fresh | np.append(fresh[1:], True)[: len(codes)]]
+            buckets = (codes >> np.uint64(32)).astype(np.int64)
+            begins = np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1])[: len(buckets)])
+            offsets = (4 * np.append(begins, len(codes))).astype(np.int32)
+            data = (codes & low).astype(np.uint32)
+            arrays = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+            return pa.RecordBatch.from_arrays([pa.array(buckets[begins]), arrays], names=["bucket", "codes"])
+
+        for tokens, _, shorts in prefixes.of(batches):
+            held.append((tokens >> np.uint64(33 - bits) << np.uint64(1)) | shorts.astype(np.uint64))
+            count += len(tokens)
+            if count > DEALT:
+                yield part()
+                held, count = [], 0
+        yield part()
+
+    def again(table: pa.Table) -> pa.Table:
+        codes = np.sort(np.concatenate([np.frombuffer(c, np.uint32) for c in table.column("codes").to_pylist()]))
+        edges = np.flatnonzero(np.concatenate([[True], codes[1:] >> 1 != codes[:-1] >> 1, [True]]))
+        ends = edges[1:] - 1
+        found = codes[ends[(np.diff(edges) > 1) & (codes[ends] & 1 == 1)]] >> 1
+        return pa.table({"head": found.astype(np.int64) + (table.column("bucket")[0].as_py() << 31)})
+
+    rows = docs.select("text").mapInArrow(packed, "bucket long, codes binary")
+    return rows.groupBy("bucket").applyInArrow(again, "head long")
 
 
 def set_tokens(docs: DataFrame, words: int, name: str) -> DataFrame:
@@ -292,15 +353,22 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
         "groups",
     )
 
-    prefixes = prefix_rows(rows.where("doc_id IS NOT NULL"), last, met, words, percent)
+    texts = rows.where("doc_id IS NOT NULL")
+    prefixes = Prefixes(last, met, words, percent)
+    bits = max(HEAD_BITS, int(sets.agg(F.sum("n")).first()[0] or 0).bit_length() - 24)
+    heads = settle(met_again(texts, prefixes, bits), "heads")
+    hits = prefix_rows(texts, prefixes).join(
+        small_if_counted(heads, BROADCAST_IDS), F.shiftrightunsigned("token", 33 - bits) == F.col("head"), "left_semi"
+    )
+    hits = settle(hits.distinct(), "hits")
     # Written first, so that the join below has a shuffle of its own and can split hot tokens.
     shared = (
-        prefixes.groupBy("token")
+        hits.groupBy("token")
         .agg(F.min("set_id").alias("a"), F.max("set_id").alias("b"), F.max("short").alias("short"))
         .where("a <> b AND short")
     )
     shared = settle(shared.select("token"), "tokens-of-sets")
-    hits = settle(prefixes.join(shared, "token", "left_semi").distinct(), "shared-tokens")
+    hits = settle(hits.join(shared, "token", "left_semi"), "shared-tokens")
     named = hits.join(grouped.select("set_id", "n", "family", "part"), "set_id")
     matrix = named.groupBy("token", "family", "part").agg(
         F.min("n").alias("least"),

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from newsloom.llm import jaccard
 
 
@@ -80,3 +82,22 @@ def test_one_of_each_decides_rows_of_one_id_apart(spark):
     rows = [(1, say("a")), (2, say("a")), (2, say("b")), (2, say("b")), (2, "two words"), (3, say("b")), (4, say("c")), (4, say("a"))]
     kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(kept.collect()) == sorted([rows[0], rows[2], rows[4], rows[6]])
+
+
+def test_heads_hold_what_sets_share(spark):
+    """Shingles met again, as heads in small arrays: none that two sets share is missing, and few others."""
+    rng = random.Random(8)
+    lines = [" ".join(rng.choice("abcdefghijkl") * 3 for _ in range(12)) for _ in range(60)]
+    rows = [(i, " ".join(rng.sample(lines, 6))) for i in range(120)] + [(500, lines[0]), (501, lines[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    none = np.zeros(0, np.uint64)
+    prefixes = jaccard.Prefixes(none, none, 5, 75)
+    owners = {}
+    for r in jaccard.prefix_rows(docs, prefixes).collect():
+        owners.setdefault(r.token % 2**64, []).append((r.set_id, r.short))
+    for bits in (8, 11):
+        heads = [r.head for r in jaccard.met_again(docs, prefixes, bits).collect()]
+        assert len(heads) == len(set(heads))
+        shared = {t >> (33 - bits) for t, o in owners.items() if len({s for s, _ in o}) > 1 and any(x for _, x in o)}
+        once = {t >> (33 - bits) for t, o in owners.items() if len(o) == 1} - {t >> (33 - bits) for t, o in owners.items() if len(o) > 1}
+        assert shared and shared <= set(heads) and not once & set(heads)
