@@ -1,4 +1,5 @@
 import json
+import threading
 from datetime import datetime
 from functools import partial
 from pathlib import Path
@@ -12,7 +13,7 @@ from newsloom.operators import audits, ingest
 from newsloom.plans.search import hybrid_search, lexical_topk, semantic_topk
 from newsloom.plans.single import article_by_link_hash, make_hashed_link, search_by_tag_names
 from newsloom.plans.upload import upload, upload_files
-from newsloom.sources.store import Store, empty_store, open_store
+from newsloom.sources.store import Store, append_run, complete_runs, empty_store, open_store
 
 from spark_plans import plan_of
 from corpus import articles, category_rows, key, summary_rows
@@ -297,3 +298,32 @@ def test_lookup_of_an_article_without_vector(store):
     cut = Store(**{**vars(store), "embeddings": store.embeddings.where(F.col("article_id") != bare.article_id)})
     row = search.lookup_articles(cut, store.articles.where(F.col("article_id") == bare.article_id).select("link_hash")).first()
     assert row.found and row.link == bare.link and row.summarization is None
+
+
+def test_tables_of_a_run_are_written_at_the_same_time(spark, tmp_path):
+    """Each write waits until all five have begun; a run of which one fails is not complete."""
+    begun = threading.Barrier(5, timeout=30)
+
+    class Rows:
+        sparkSession = spark
+
+        def __init__(self, fails=False):
+            self.fails, self.write = fails, self
+
+        def select(self, *names):
+            return self
+
+        def mode(self, name):
+            return self
+
+        def parquet(self, path):
+            begun.wait()
+            if self.fails:
+                raise OSError("disk full")
+
+    path = str(tmp_path / "store")
+    append_run(Store(*[Rows() for _ in range(5)]), path, 0)
+    assert complete_runs(spark, path) == [0]
+    with pytest.raises(OSError):
+        append_run(Store(*[Rows(k == 2) for k in range(5)]), path, 1)
+    assert complete_runs(spark, path) == [0]
