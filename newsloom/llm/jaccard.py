@@ -14,7 +14,8 @@ from newsloom.llm.common import RollingHash, components, mixed, slices
 from newsloom.runtime import BROADCAST_IDS, settle, small, small_if_counted
 
 WORDS, PERCENT = 5, 75
-SLICE = 2 << 20
+# Bytes of texts hashed at once: a task holds some fifty times as much while it hashes.
+SLICE = 1 << 19
 # Shingles of different sets counted at once in a task, and how often one must be met to
 # count as frequent.
 COUNTED, FREQUENT = 2_000_000, 2
@@ -118,6 +119,10 @@ class Prefixes:
     """The first shingles of each set, in an order that puts frequent shingles last, and
     others by their hash.
 
+    ``last`` has the first 32 bits of the frequent ones, sorted, and ``met`` their counts: every
+    task holds both, so they are kept short. A shingle that begins like a frequent one goes last
+    with it, in all sets.
+
     Two sets that are alike enough share a shingle among the first
     ``n - ceil(p * n) + 1`` of each, where p is ``percent`` / 100, in any one order of
     all shingles; of the smaller set the first ``n - ceil(2p / (1 + p) * n) + 1`` will
@@ -145,8 +150,9 @@ class Prefixes:
                 size = len(s) + (-self.percent * len(s)) // 100 + 1
                 short = len(s) + (-2 * self.percent * len(s)) // (100 + self.percent) + 1
                 if len(self.last):
-                    place = np.minimum(np.searchsorted(self.last, s), len(self.last) - 1)
-                    rank = np.where(self.last[place] == s, self.met[place], 0)
+                    begun = (s >> np.uint64(32)).astype(np.uint32)
+                    place = np.minimum(np.searchsorted(self.last, begun), len(self.last) - 1)
+                    rank = np.where(self.last[place] == begun, self.met[place], 0)
                     s = s[np.argsort(rank, kind="stable")]
                 tokens.append(s[:size])
                 owners.append(np.full(min(size, len(s)), name, np.int64))
@@ -180,10 +186,13 @@ def met_again(docs: DataFrame, prefixes: Prefixes, bits: int) -> DataFrame:
         held, count = [], 0
 
         def part() -> pa.RecordBatch:
-            codes = np.sort(np.concatenate([np.zeros(0, np.uint64), *held]))
-            fresh = np.append(True, (codes[1:] | np.uint64(1)) != (codes[:-1] | np.uint64(1)))[: len(codes)]
+            codes = np.concatenate([np.zeros(0, np.uint64), *held])
+            held.clear()
+            codes.sort()
+            same = codes | np.uint64(1)
+            fresh = np.append(True, same[1:] != same[:-1])[: len(codes)]
             codes = codes[fresh | np.append(fresh[1:], True)[: len(codes)]]
-            buckets = (codes >> np.uint64(32)).astype(np.int64)
+            buckets = (codes >> np.uint64(32)).view(np.int64)
             begins = np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1])[: len(buckets)])
             offsets = (4 * np.append(begins, len(codes))).astype(np.int32)
             data = (codes & low).astype(np.uint32)
@@ -195,7 +204,7 @@ def met_again(docs: DataFrame, prefixes: Prefixes, bits: int) -> DataFrame:
             count += len(tokens)
             if count > DEALT:
                 yield part()
-                held, count = [], 0
+                count = 0
         yield part()
 
     def again(table: pa.Table) -> pa.Table:
@@ -335,9 +344,10 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     )
     counts = described.where("token IS NOT NULL").groupBy("token").agg(F.sum("met").alias("met"))
     frequent = counts.orderBy(F.desc("met"), "token").limit(LAST_TOKENS).toArrow()
-    order = np.argsort(frequent.column("token").to_numpy().view(np.uint64))
-    last = frequent.column("token").to_numpy().view(np.uint64)[order]
-    met = frequent.column("met").to_numpy()[order]
+    # The most frequent of those that begin alike comes first and counts.
+    last, first = np.unique((frequent.column("token").to_numpy().view(np.uint64) >> np.uint64(32)).astype(np.uint32), return_index=True)
+    met = frequent.column("met").to_numpy()[first]
+    met = met.astype(np.min_scalar_type(met.max())) if len(met) else met
 
     families = components(family_links(rows, sets, words, percent)).select(
         F.col("node").alias("set_id"), F.col("component").alias("family")

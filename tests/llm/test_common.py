@@ -6,6 +6,7 @@ import pytest
 
 from newsloom.llm import common
 from newsloom.llm.common import components, place_within
+from newsloom.runtime import HANDED_BYTES, prepare
 
 
 @pytest.mark.parametrize("seed, nodes, links", [(1, 40, 30), (2, 200, 260), (3, 60, 50)])
@@ -63,3 +64,26 @@ def test_freed_memory_goes_back_to_the_system():
     rows.clear()
     common.give_back()
     assert resident() < before - 100_000_000 and all(k[0] == 1 for k in kept)
+
+
+def test_workers_get_bounded_batches(spark):
+    """By bytes, not by rows alone: a batch of 10,000 long texts is held by Spark and by the worker."""
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": pa.array([batch.nbytes], pa.int64())})
+
+    texts = spark.range(0, 6_000, 1, 1).selectExpr("repeat(cast(id % 10 AS string), 2000) AS text")
+    found = [r.bytes for r in texts.mapInArrow(sizes, "bytes long").collect()]
+    assert sum(found) >= 12_000_000 and max(found) <= HANDED_BYTES + 10_000
+
+
+def test_a_bound_of_the_session_stays(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "1000000")
+        assert prepare(spark).conf.get(name) == "1000000"
+        spark.conf.unset(name)
+        assert prepare(spark).conf.get(name) == str(HANDED_BYTES)
+    finally:
+        spark.conf.set(name, before)

@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from newsloom.llm import jaccard
 
@@ -101,3 +103,29 @@ def test_heads_hold_what_sets_share(spark):
         shared = {t >> (33 - bits) for t, o in owners.items() if len({s for s, _ in o}) > 1 and any(x for _, x in o)}
         once = {t >> (33 - bits) for t, o in owners.items() if len(o) == 1} - {t >> (33 - bits) for t, o in owners.items() if len(o) > 1}
         assert shared and shared <= set(heads) and not once & set(heads)
+
+
+def test_prefix_tasks_hold_little():
+    """Texts are hashed in small slices, whatever the size of the batch."""
+    rng = random.Random(4)
+    texts = [" ".join(str(rng.randrange(10**6)) for _ in range(300)) for _ in range(2_000)]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    assert batch.nbytes > 4_000_000
+    tracemalloc.start()
+    try:
+        none = np.zeros(0, np.uint64)
+        n = sum(len(tokens) for tokens, _, _ in jaccard.Prefixes(none, none, 5, 75).of(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n > 100_000 and peak < 60_000_000
+
+
+def test_frequent_shingles_go_last_by_their_beginning():
+    """In all sets alike; the counts need no more than four bytes a shingle beside them."""
+    text = "a b c d e f g h i"
+    of = lambda last, met: [t for t, _, _ in jaccard.Prefixes(last, met, 5, 1).of(iter([pa.RecordBatch.from_pydict({"text": [text]})]))][0]
+    none = np.zeros(0, np.uint64)
+    plain = of(none, none)
+    often = (np.sort(plain)[:2] >> np.uint64(32)).astype(np.uint32)
+    assert of(often, np.array([3, 2], np.uint8)).tolist() == np.sort(plain)[[*range(2, len(plain)), 1, 0]].tolist()
