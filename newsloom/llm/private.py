@@ -258,14 +258,17 @@ class Tagger:
 
     def decode(self, x_codes) -> np.ndarray:
         """The most likely tag sequence of each window (Viterbi)."""
-        if not len(x_codes):
-            return np.zeros((0, x_codes.shape[1]), np.int64)
+        found = np.zeros(x_codes.shape, np.uint8)
+        if len(x_codes):
+            open_rows, u = self.open_windows(x_codes)
+            found[open_rows] = self._viterbi(u)
+        return found
+
+    def open_windows(self, x_codes) -> tuple[np.ndarray, np.ndarray]:
+        """The windows that are not surely outside at every place, and their emissions for ``_viterbi``."""
         u = self._spoken(np.pad(x_codes, ((0, -len(x_codes) % FILLED), (0, 0))))[:, :, : len(x_codes)]
-        found = np.zeros((len(x_codes), len(u)), np.int64)
         open_rows = np.flatnonzero(~self._outside(u))
-        if len(open_rows):
-            found[open_rows] = self._viterbi(np.ascontiguousarray(u[:, :, open_rows]))
-        return found
+        return open_rows, np.ascontiguousarray(u[:, :, open_rows])
 
     def _outside(self, u: np.ndarray) -> np.ndarray:
         """Windows that no path can read better than the one that is outside at every place.
@@ -397,16 +400,31 @@ def fit_private(docs: DataFrame, **bounds: int) -> Tagger:
 
 
 def read_tags(texts: list[str], net: Tagger) -> list[np.ndarray]:
-    """The network's tag of every character of each text; nothing is passed over."""
+    """The network's tag of every character of each text; nothing is passed over.
+
+    Few windows need Viterbi, so those of many batches take its steps together.
+    """
     starts = [window_starts(0, len(t), READ, READ_STEP) if t else [] for t in texts]
-    held, tags = [], []
+    tags = np.zeros((sum(map(len, starts)), READ), np.uint8)
+    held, waiting, done = [], [], 0
+
+    def settle_open() -> None:
+        rows = np.concatenate([rows for rows, _ in waiting])
+        tags[rows] = net._viterbi(np.concatenate([u for _, u in waiting], axis=2))
+        waiting.clear()
 
     def decode() -> None:
+        nonlocal done
         x = np.full((len(held), READ), len(ALPHABET) + 1, np.uint8)
         for row, part in zip(x, held):
             row[: len(part)] = part
-        tags.extend(net.decode(x).astype(np.uint8))
+        rows, u = net.open_windows(x)
+        if len(rows):
+            waiting.append((done + rows, u))
+        done += len(held)
         held.clear()
+        if sum(len(rows) for rows, _ in waiting) >= READ_ROWS:
+            settle_open()
 
     for text, firsts in zip(texts, starts):
         row = code_row(text) if firsts else None
@@ -416,6 +434,8 @@ def read_tags(texts: list[str], net: Tagger) -> list[np.ndarray]:
                 decode()
     if held:
         decode()
+    if waiting:
+        settle_open()
     # Of two windows that overlap, the one whose middle is nearer decides.
     out, at = [], 0
     for text, firsts in zip(texts, starts):

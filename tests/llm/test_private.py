@@ -147,3 +147,19 @@ def test_the_most_central_window_decides(monkeypatch):
                 if min(k, 11 - k) > centre[s + k]:
                     want[s + k], centre[s + k] = tag, min(k, 11 - k)
         assert got.tolist() == want
+
+
+def test_viterbi_takes_windows_of_many_batches_together(monkeypatch):
+    """Few windows of a batch need it; their tags are as if each batch took its own steps."""
+    net = private.Tagger.new(seed=2)
+    # About every twentieth window is open, whatever batch it is in.
+    monkeypatch.setattr(net, "_outside", lambda u: (u[0, 0] * 500).astype(int) % 20 != 0)
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdefgh ij") for _ in range(rng.randrange(150, 420))) for _ in range(300)] + ["", "@"]
+    alone = [private.read_tags([t], net)[0].tolist() for t in texts]
+    monkeypatch.setattr(private, "READ_ROWS", 64)
+    viterbi, asked = net._viterbi, []
+    monkeypatch.setattr(net, "_viterbi", lambda u: asked.append(u.shape[2]) or viterbi(u))
+    assert [t.tolist() for t in private.read_tags(texts, net)] == alone
+    batches = -(-sum(len(private.window_starts(0, len(t), private.READ, private.READ_STEP)) for t in texts if t) // 64)
+    assert 0 < sum(asked) and len(asked) <= sum(asked) // 64 + 1 < batches
