@@ -27,28 +27,32 @@ def range_bucket(
     return ranged.withColumn(name, F.col(name).cast("int"))
 
 
-def hash_bucket(
-    df: DataFrame, hex_key: Column, rows: int, rows_per_bucket: int = 100_000, name: str = "bucket"
-) -> DataFrame:
-    """Bucket by the first digits of a hex hash, even buckets in hash order.
-
-    As many digits as keep a bucket at about ``rows_per_bucket``, three at least.
-    """
+def hash_digits(hex_key: Column, rows: int, rows_per_bucket: int = 100_000) -> Column:
+    """The first digits of a hex hash: as many as keep a bucket at about ``rows_per_bucket``,
+    three at least."""
     digits = 3
     while 16**digits * rows_per_bucket < rows:
         digits += 1
-    return df.withColumn(name, F.substring(hex_key, 1, digits))
+    return F.substring(hex_key, 1, digits)
+
+
+def hash_bucket(
+    df: DataFrame, hex_key: Column, rows: int, rows_per_bucket: int = 100_000, name: str = "bucket"
+) -> DataFrame:
+    """Bucket by the first digits of a hex hash, even buckets in hash order."""
+    return df.withColumn(name, hash_digits(hex_key, rows, rows_per_bucket))
 
 
 def number_rows(
-    df: DataFrame, buckets: list[str], order: list[str], name: str = "row_index"
+    df: DataFrame, buckets: list[str], order: list[str], name: str = "row_index", sized: DataFrame | None = None
 ) -> DataFrame:
     """Number the rows from 0 in the order of ``buckets`` and then ``order``.
 
     Rows are sorted inside their bucket only. The one window without partitions
-    runs over the bucket sizes, never over the rows.
+    runs over the bucket sizes, never over the rows. ``sized`` holds the same rows where
+    they can be counted before ``df`` shuffles them.
     """
-    sizes = df.groupBy(*buckets).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = (df if sized is None else sized).groupBy(*buckets).agg(F.count(F.lit(1)).alias("_size"))
     earlier = Window.orderBy(*buckets).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(
         *buckets, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start")

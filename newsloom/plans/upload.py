@@ -34,22 +34,26 @@ def plan_upload(
     make_embedder=HashedWords,
 ) -> Upload:
     """Work out what an upload adds. ``run_time`` fills both time stamps."""
-    fresh = ingest.new_articles(category, summaries, store.articles, category_order, summary_order)
+    told = ingest.listed_summaries(category, summaries, store.articles, summary_order)
+    # Articles are chosen and numbered by narrow rows; the texts stay in ``told``.
+    judged = told.select(*dict.fromkeys(["link_hash", *summary_order, *ingest.JUDGED]))
+    fresh = ingest.new_articles(category, judged, store.articles, category_order, summary_order, ingest.JUDGED)
     checked = settle(ingest.with_link_taken(ingest.with_violation(fresh), store.articles), "checked")
     accepted = checked.where("reason IS NULL")
     used = ingest.highest(store.articles, "article_id")
     articles = settle(ingest.with_article_ids(accepted, used), "articles")
 
-    pairs = ingest.article_tag_pairs(articles)
+    texts = ingest.texts_of(articles, told)
+    pairs = ingest.article_tag_pairs(texts)
     used = ingest.highest(store.tags, "tag_id")
     wanted = settle(ingest.wanted_tags(pairs, store.tags), "wanted_tags")
     tags = settle(ingest.new_tags(wanted, used), "tags")
     needed = ingest.known_tags(wanted).unionByName(tags)
     used = ingest.highest(store.key_insights, "key_insight_id")
-    insights = ingest.insight_rows(articles, used)
+    insights = ingest.insight_rows(texts, used)
     first = articles.agg(F.min("article_id")).first()[0] or 0
     used = ingest.highest(store.embeddings, "embedding_id")
-    vectors = ingest.embedded(articles, make_embedder).withColumn(
+    vectors = ingest.embedded(texts, make_embedder).withColumn(
         "embedding_id", F.col("article_id") - first + used + 1
     )
 
@@ -62,11 +66,11 @@ def plan_upload(
     rows = Store(
         articles=shaped("articles", articles),
         tags=shaped("tags", tags),
-        article_tags=shaped("article_tags", ingest.bridge(pairs, needed, wanted.count())),
+        article_tags=shaped("article_tags", ingest.bridge(pairs, needed, wanted.count(), wanted)),
         key_insights=shaped("key_insights", insights),
         embeddings=shaped("embeddings", vectors),
     )
-    return Upload(rows, checked.where("reason IS NOT NULL"))
+    return Upload(rows, ingest.refused_rows(checked.where("reason IS NOT NULL"), told))
 
 
 def upload(
