@@ -18,6 +18,8 @@ JOINED = [*LISTED, *TOLD]
 JUDGED = ["row", "faults", "n_repeated_insights"]
 # Rows to number (tags, insights) in one task, about 100 MB of insights.
 ROWS_PER_TASK = 500_000
+# Articles of an upload so small that it may have come in one file: their texts are spread over all tasks.
+SPREAD_KEYS = 20_000
 
 
 def join_inputs(category: DataFrame, summaries: DataFrame, told: list[str] = TOLD) -> DataFrame:
@@ -42,6 +44,8 @@ def listed_summaries(
     if n <= BROADCAST_IDS:
         hashed = summaries.withColumn("_key", key)
         summaries = hashed.join(small(open_keys, n, BROADCAST_IDS), "_key", "left_semi")
+    if n <= SPREAD_KEYS:
+        summaries = summaries.repartition(summaries.sparkSession.sparkContext.defaultParallelism)
     columns = dict.fromkeys(["link_hash", *summary_order, *TOLD])
     faults = F.struct(*[broken.alias(name) for name, broken in text_faults().items()])
     return settle(
