@@ -19,7 +19,7 @@ JUDGED = ["row", "faults", "n_repeated_insights"]
 # Rows to number (tags, insights) in one task, about 100 MB of insights.
 ROWS_PER_TASK = 500_000
 # Articles of an upload so small that it may have come in one file: their texts are spread over all tasks.
-SPREAD_KEYS = 20_000
+SPREAD_KEYS = 10_000
 
 
 def join_inputs(category: DataFrame, summaries: DataFrame, told: list[str] = TOLD) -> DataFrame:
